@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DIM, SHARD_ROWS, LEAF_ROWS, FIT_ROWS = 64, 16_384, 48, 20_000
+DIM, SHARD_ROWS, LEAF_ROWS, FIT_ROWS = 64, 16_384, 48, 8_000
 #: Copies of one vector that are paired with one another; of a larger group each copy is paired with the first.
 EXPAND = 100
 
@@ -100,7 +100,9 @@ def _unit(s: pd.Series) -> np.ndarray:
 
 def _shards(vectors: DataFrame, n: int, shard_rows: int, fit_rows: int, dim: int) -> Tree:
     depth = max(0, math.ceil(math.log2(max(1, n) / shard_rows))) if n else 0
-    sample = [r.embedding for r in vectors.select("embedding").orderBy(F.xxhash64("id")).limit(fit_rows).collect()] if depth else []
+    # a share by hash first, so that what tasks send to the driver stays about two samples however many tasks there are
+    share = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(2e6 * fit_rows / n)) if depth else vectors
+    sample = [r.embedding for r in share.select("embedding").orderBy(F.xxhash64("id")).limit(fit_rows).collect()] if depth else []
     x = _unit(pd.Series(sample)) @ projections(depth, dim) if sample else np.zeros((0, depth), np.float32)
     return Tree(x, depth if sample else 0)
 

@@ -12,6 +12,7 @@ MODULES = {
     "consistent": ("p9_found", "p9_text"),
     "leakage": ("p8_found", "p8_items"),
     "splitting": ("p4_found", "p4_pieces"),
+    "near_duplicates": ("p2_found", "p2_groups"),
     "neighbours": ("p5_found", "p5_neighbours"),
 }
 
