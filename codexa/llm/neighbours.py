@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codexa.functions.frames import frame
+
 DIM, SHARD_ROWS, LEAF_ROWS, FIT_ROWS = 64, 16_384, 48, 8_000
 #: Copies of one vector that are paired with one another; of a larger group each copy is paired with the first.
 EXPAND = 100
@@ -261,7 +263,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, p: float = 0.995
                         d2 = min(d2, 2 - 2 * float(best_s.min()))
                         limit = reach(d2, depth, p)
                 rows += [(int(qid[i]), int(o2), float(s2)) for s2, o2 in zip(best_s, best_i)]
-        return pd.DataFrame(rows, columns=["id", "other_id", "similarity"]).astype({"id": "int64", "other_id": "int64", "similarity": "float64"})
+        return frame(rows, ["id", "other_id", "similarity"]).astype({"id": "int64", "other_id": "int64", "similarity": "float64"})
 
     out = "id bigint, other_id bigint, similarity double"
     homes = src.mapInPandas(place(False), schema)

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module of each query; a name is the function's own.
 MODULES = {
+    "standing_lines": ("p1_found", "p1_text", "p1_boilerplate"),
     "consistent": ("p9_found", "p9_text"),
     "leakage": ("p8_found", "p8_items"),
     "splitting": ("p4_found", "p4_pieces"),
     "near_duplicates": ("p2_found", "p2_groups"),
+    "packing": ("p7_containers",),
     "neighbours": ("p5_found", "p5_neighbours"),
 }
 
