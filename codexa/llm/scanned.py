@@ -28,6 +28,8 @@ from codexa.functions.frames import frame
 
 #: The lexicon sent to the executors: words seen this often, at most so many of the most frequent.
 LEAST_COUNT, MOST_WORDS, FIT_ROWS = 3, 300_000, 4000
+#: Only words seen this often are taken for what was misread.
+SURE = 50
 #: A misreading is at least so many times rarer than the word it stands for.
 RATIO = 20
 
@@ -36,7 +38,7 @@ CONFUSIONS = [
     ("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("$", "s"),
     ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("q", "g"), ("g", "q"), ("b", "h"), ("h", "b"), ("u", "n"), ("n", "u"), ("l", "i"), ("i", "l"),
     ("o", "0"), ("l", "1"), ("s", "5"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("w", "vv"), ("ii", "u"), ("u", "ii"), ("cl", "d"), ("d", "cl"),
-    ("li", "h"), ("h", "li"), ("ri", "n"), ("n", "ri"), ("nn", "m"), ("m", "nn"), ("ll", "u"), ("a", "o"), ("o", "a"), ("c", "o"), ("o", "c"), ("y", "v"), ("v", "y"), ("I", "l"), ("l", "t"), ("t", "l"), ("z", "2"), ("2", "z"), ("ln", "m"), ("tn", "m"),
+    ("li", "h"), ("h", "li"), ("ri", "n"), ("n", "ri"), ("nn", "m"), ("m", "nn"), ("ll", "u"), ("c", "o"), ("o", "c"), ("z", "2"), ("2", "z"), ("ln", "m"), ("tn", "m"),
 ]
 MARKS = "-‐‑¬­–"
 
@@ -46,7 +48,6 @@ for _s, _t in CONFUSIONS:
 _TOKEN = re.compile(r"[!|]?[^\W_]+(?:[!|][^\W_]+)*(?:[-'’][!|]?[^\W_]+(?:[!|][^\W_]+)*)*")
 _BROKEN = re.compile(rf"([!|]?[^\W_]+(?:[-'’!|][^\W_]+)*)([{MARKS}])\s*$")
 _NUMBER = re.compile(r"\s*(?:[-–—\[(|•·*~]\s*)?(?:page|pg\.?|p\.)?\s*\d{1,4}\s*(?:(?:of|/)\s*\d{1,4}\s*)?(?:[-–—\])|•·*~]\s*)?$", re.I)
-_EDGES = re.compile(r"^[\W_]*(?:(?:page|p\.)\s*)?(?:\d{1,4}\b)?[\W_]*|[\W_]*(?:\(?continued\)?|\(?cont(?:inued|\.|')?d?\)?)?[\W_]*(?:(?:page|p\.)\s*)?(?:\b\d{1,4}(?:\s*(?:of|/)\s*\d+)?)?[\W_]*$", re.I)
 _WORD = re.compile(r"[^\W_]+")
 STATES = ("body", "header", "break")
 
@@ -95,7 +96,7 @@ class Lexicon:
     def _index(self) -> None:
         self.by = defaultdict(list)
         for w, n in self.counts.items():
-            if n >= RATIO and len(w) >= 3 and w.isalpha():
+            if n >= SURE and len(w) >= 3 and w.isalpha():
                 self.by[_skeleton(w), len(w)].append(w)
 
     def correction(self, word: str) -> tuple[str, list[int]] | None:
@@ -104,7 +105,7 @@ class Lexicon:
             return self.cache[word]
         out = None
         own = self.counts.get(word, 1)
-        if len(word) >= 3 and sum(map(str.isalpha, word)) >= max(2, len(word) // 2):
+        if 3 <= len(word) <= 24 and sum(map(str.isalpha, word)) >= max(2, len(word) // 2):
             if self.by is None:
                 self._index()
             best = 0
@@ -115,7 +116,7 @@ class Lexicon:
                         at = explains(word, w, max(1, len(word) // 3))
                         if at:
                             best, out = n, (w, at)
-        if len(self.cache) > 300_000:
+        if len(self.cache) > 500_000:
             self.cache.clear()
         self.cache[word] = out
         return out
@@ -160,21 +161,27 @@ class Layout:
 
     def __init__(self, document_id: str | None, title: str | None):
         self.title = [w.lower() for w in _WORD.findall(title or "")]
-        self.names = {w for w in re.split(r"[^a-z]+", (document_id or "").lower()) if len(w) > 3}
+        self.names = set(re.findall(r"[a-z]{4,}", (document_id or "").lower())[-1:])  # the id ends with the name of what the document is for
+
+    def marks(self, line: str) -> tuple[int, int, int]:
+        """Whether the line is a number, the title, or ends with the document's own name; -1 where it can't be told."""
+        core = [w.lower() for w in _WORD.findall(line)]
+        if core and (core[-1] == "continued" or core[-1].isdigit()):
+            core.pop()
+        if core and core[0].isdigit():
+            core.pop(0)
+        # a header may break off, so most of the title from its begin on will do
+        title = -1 if not self.title else int(len(core) >= max(1, 0.6 * len(self.title)) and core == self.title[: len(core)])
+        name = int(len(core) >= 4 and not self.names.isdisjoint(core[-2:]) and "for" in core[:-1])
+        return int(bool(_NUMBER.match(line))), title, name
 
-    def features(self, line: str, width: int, scanned: bool) -> tuple[int, ...] | None:
+    def features(self, line: str, width: int, scanned: bool, marks: tuple[int, int, int] | None = None) -> tuple[int, ...] | None:
         """None for a blank line. Each feature is a small number; -1 where it can't be told."""
         if not line.strip():
             return None
-        core = [w.lower() for w in _WORD.findall(_EDGES.sub("", line))]
-        number = int(bool(_NUMBER.match(line)))
-        title = -1 if not self.title else int(core == self.title)
-        # the document's own name ends the line
-        name = int(len(core) >= 4 and not self.names.isdisjoint(core[-2:]) and "for" in core[:-1])
         words = _WORD.findall(line)
         caps = sum(w[:1].isupper() for w in words) / max(1, len(words))
-        end = line.rstrip()[-1:]
-        return number, title, name, int(caps > 0.9), int(end in ".;:?!"), min(2, 3 * len(line) // max(1, width)), int(scanned)
+        return (*(marks or self.marks(line)), int(caps > 0.9), int(line.rstrip()[-1:] in ".;:?!"), min(2, 3 * len(line) // max(1, width)), int(scanned))
 
 
 class LineModel:
@@ -256,13 +263,13 @@ class Repair:
 
     def labels(self, lines: list[str], lay: Layout, scanned: bool) -> list[int | None]:
         """The state of each line; None for blank ones."""
-        width = _width(lines)
-        fs = [lay.features(x, width, scanned) for x in lines]
+        seen = [lay.marks(x) if x.strip() else None for x in lines]
         # the model is only asked where a line could be furniture
-        if not any(f and (f[0] or f[1] == 1 or f[2]) for f in fs):
-            return [f and 0 for f in fs]
-        path = iter(self.model.label([f for f in fs if f]))
-        return [None if f is None else next(path) for f in fs]
+        if not any(m and (m[0] or m[1] == 1 or m[2]) for m in seen):
+            return [None if m is None else 0 for m in seen]
+        width = _width(lines)
+        path = iter(self.model.label([lay.features(x, width, scanned, m) for x, m in zip(lines, seen) if m]))
+        return [None if m is None else next(path) for m in seen]
 
     def is_split(self, before: str, mark: str, after: str) -> bool:
         """Whether the line end broke one word, rather than parting a compound at its own hyphen."""
@@ -291,7 +298,7 @@ class Repair:
         spans: dict[int, list[tuple[int, int]]] = {}
         fixes = []
         for i, j in zip(body, body[1:]):
-            m = _BROKEN.search(lines[i])
+            m = lines[i].rstrip()[-1:] in MARKS and _BROKEN.search(lines[i])
             n = m and _TOKEN.match(lines[j].lstrip())
             if n and self.is_split(m.group(1), m.group(2), n.group()):
                 breaks[i] = j
@@ -306,16 +313,13 @@ class Repair:
                         fixes.append((i, *m.span(1), c[0][:cut]))
                     if any(p >= cut for p in c[1]):
                         fixes.append((j, shift, shift + n.end(), c[0][cut:]))
-        for i, line in enumerate(lines):
-            if states[i] is None:
-                continue
-            for t in _TOKEN.finditer(line):
-                w = t.group().lower()
-                if self.words.counts.get(w, 0) >= 2000 or t.span() in spans.get(i, ()):
-                    continue
-                c = self._fix(w)
-                if c:
-                    fixes.append((i, *t.span(), c[0]))
+        wrong = {w: c[0] for w in set(_TOKEN.findall(text.lower())) if (c := self._fix(w))}
+        if wrong:
+            for i, line in enumerate(lines):
+                for t in _TOKEN.finditer(line) if states[i] is not None else ():
+                    w = wrong.get(t.group().lower())
+                    if w and t.span() not in spans.get(i, ()):
+                        fixes.append((i, *t.span(), w))
         return lines, states, breaks, fixes
 
     def _fix(self, w: str) -> tuple[str, list[int]] | None:
@@ -340,7 +344,7 @@ class Repair:
         body = [i for i, s in enumerate(states) if s == 0]
         wrapped = breaks or sum(lines[j][:1].islower() for j in body[1:]) >= 0.3 * max(1, len(body) - 1)
         out: list[str] = []
-        glue = ""
+        glue = False
         for k, i in enumerate(body):
             line = new[i].strip() if wrapped else new[i]
             gap = k > 0 and any(states[x] is None for x in range(body[k - 1], i))
@@ -358,9 +362,11 @@ class Repair:
                 out[-1] += " " + line
             else:
                 out.append(line)
-            glue = "x" if i in breaks else ""
+            glue = i in breaks
             if glue:
                 out[-1] = re.sub(rf"[{MARKS}]\s*$", "", out[-1])
+            elif wrapped and k + 1 < len(body) and re.search(r"[^\W\d_]-$", out[-1]) and lines[body[k + 1]].lstrip()[:1].islower():
+                glue = True  # a compound parted at its own hyphen
         return "\n".join(out)
 
 
