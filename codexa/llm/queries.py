@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module of each query; a name is the function's own.
 MODULES = {
+    "scanned": ("p3_found", "p3_text"),
+    "quality": ("p6_found", "p6_measures", "p6_documents"),
     "standing_lines": ("p1_found", "p1_text", "p1_boilerplate"),
     "consistent": ("p9_found", "p9_text"),
     "leakage": ("p8_found", "p8_items"),
