@@ -77,12 +77,24 @@ def explains(seen: str, true: str, most: int = 4) -> list[int] | None:
     return go(0, 0, most)
 
 
-_LOOSE = frozenset("".join(s + t for s, t in CONFUSIONS))
-
-
-def _skeleton(word: str) -> str:
-    """What stays the same whatever was misread: letters no confusion touches, in order."""
-    return "".join(x for x in word if x not in _LOOSE)
+# single characters that are taken for one another fall together; the others are tried one by one
+_CLASSES = ("o0ce", "l1i!|", "tf", "s5$", "hb86", "gq9", "nu", "z2")
+_CANON = str.maketrans({c: g[0] for g in _CLASSES for c in g})
+_LONG = [(s, t) for s, t in CONFUSIONS if len(s) + len(t) > 2]
+
+
+def _variants(word: str) -> set[str]:
+    """The word, and the word with one kind of longer confusion undone, at one place or everywhere."""
+    out = {word}
+    for s, t in _LONG:
+        at = word.find(s)
+        if at < 0:
+            continue
+        out.add(word.replace(s, t))
+        while at >= 0:
+            out.add(word[:at] + t + word[at + len(s) :])
+            at = word.find(s, at + 1)
+    return out
 
 
 class Lexicon:
@@ -90,29 +102,30 @@ class Lexicon:
 
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
-        self.by: dict[tuple[str, int], list[str]] | None = None
+        self.by: dict[str, list[str]] | None = None
         self.cache: dict[str, tuple[str, list[int]] | None] = {}
 
     def _index(self) -> None:
         self.by = defaultdict(list)
         for w, n in self.counts.items():
             if n >= SURE and len(w) >= 3 and w.isalpha():
-                self.by[_skeleton(w), len(w)].append(w)
+                self.by[w.translate(_CANON)].append(w)
 
     def correction(self, word: str) -> tuple[str, list[int]] | None:
         """The word that ``word`` (lower case) is a misreading of, and where; None if it is none."""
-        if word in self.cache:
+        try:
             return self.cache[word]
-        out = None
+        except KeyError:
+            pass
+        out, best = None, 0
         own = self.counts.get(word, 1)
         if 3 <= len(word) <= 24 and sum(map(str.isalpha, word)) >= max(2, len(word) // 2):
             if self.by is None:
                 self._index()
-            best = 0
-            for d in (0, -1, 1, -2, 2):
-                for w in self.by.get((_skeleton(word), len(word) + d), ()):
+            for v in _variants(word):
+                for w in self.by.get(v.translate(_CANON), ()):
                     n = self.counts[w]
-                    if n >= RATIO * own and n > best and w != word:
+                    if n >= RATIO * own and (n, w) > (best, "") and w != word:
                         at = explains(word, w, max(1, len(word) // 3))
                         if at:
                             best, out = n, (w, at)
@@ -122,8 +135,16 @@ class Lexicon:
         return out
 
 
-def _tokens(line: str) -> list[re.Match]:
-    return list(_TOKEN.finditer(line))
+_PLAIN = bytes(ord(chr(i).lower()) if chr(i).isascii() and (chr(i).isalnum() or chr(i) in "-'!|") else 32 for i in range(256))
+_LINE_END = re.compile(rf"\S*[{MARKS}][^\S\n]*\n\s*\S*")
+
+
+def lexicon_words(text: str) -> list[str]:
+    """Words and hyphenated words of a text in lower case, without those at broken line ends."""
+    text = _LINE_END.sub(" ", text)
+    if not text.isascii():
+        return _TOKEN.findall(text.lower())
+    return [w if w[0].isalnum() and w[-1].isalnum() else w.strip("-'!|") for w in text.encode().translate(_PLAIN).decode().split()]
 
 
 def lexicon(records: DataFrame, least_count: int = LEAST_COUNT, most_words: int = MOST_WORDS) -> Lexicon:
@@ -133,13 +154,7 @@ def lexicon(records: DataFrame, least_count: int = LEAST_COUNT, most_words: int
         c: Counter[str] = Counter()
         for b in batches:
             for t in b.text:
-                skip = False
-                for line in t.lower().split("\n"):
-                    found = _TOKEN.findall(line)
-                    broken = _BROKEN.search(line) is not None
-                    if found:
-                        c.update(found[1 if skip else 0 : len(found) - 1 if broken else None])
-                    skip = broken or skip and not found
+                c.update(lexicon_words(t))
             if len(c) > 1_000_000:
                 yield frame(c.items(), ["word", "n"])
                 c.clear()
