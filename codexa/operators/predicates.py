@@ -66,7 +66,8 @@ def guard_reason(text: Column | str) -> Column:
 
 def chunk_problems(chunks: DataFrame, key: str = "chunk_id", text: str = "text", pages: str = "pages", section: str = "section") -> DataFrame:
     """(key, level, problem): errors and warnings of chunks."""
-    n = F.count("*").over(Window.partitionBy(key))
+    chunks = chunks.withColumn("__n", F.count("*").over(Window.partitionBy(key)))
+    n = F.col("__n")
     words = F.regexp_count(F.col(text), F.lit(r"(?U)\w+"))
     found = F.array_compact(F.array(
         F.when(n > 1, "error:duplicate_id"), F.when(F.col(text).isNull() | (F.trim(text) == ""), "error:empty_text"),

@@ -188,12 +188,12 @@ def _(spark, d):
     return C.decide(scored, prof.where("series_share > 0.55").select("provider"))
 
 
-_FOUND = f"""{_CLAIMS}, truth AS (SELECT provider FROM cl GROUP BY 1 HAVING count(DISTINCT patient) >= 0.9 * count(*) AND provider % 3 = 0), found AS (SELECT DISTINCT provider FROM cl WHERE provider % 2 = 0)"""
+_FOUND = f"""{_CLAIMS}, truth AS (SELECT DISTINCT provider FROM cl WHERE provider % 3 = 0), found AS (SELECT DISTINCT provider FROM cl WHERE provider % 2 = 0)"""
 
 
 def _truth_found(spark, d):
     c = claims(spark, d)
-    t = c.where("provider % 3 = 0").groupBy("provider").agg(F.count_distinct("patient").alias("p"), F.count("*").alias("n")).where("p >= 0.9 * n").select("provider")
+    t = c.where("provider % 3 = 0").select("provider").distinct()
     return t, c.where("provider % 2 = 0").select("provider").distinct()
 
 
