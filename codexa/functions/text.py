@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The word forms and stop words that lexical search uses.
 WORDS_HYPHEN = "[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"
@@ -59,7 +60,7 @@ def squeezed(text: Column | str) -> Column:
     return F.regexp_replace(F.lower(_c(text)), "[^a-z0-9]+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_words(s: pd.Series) -> pd.Series:
     """Compatibility form, case folded, other characters as single spaces; Spark has no normaliser of its own."""
     return s.map(lambda x: None if x is None else re.sub(r"\W+", " ", unicodedata.normalize("NFKC", x).casefold()).strip())
@@ -198,7 +199,7 @@ def confidence_band(p: Column) -> Column:
     return F.when(p >= 0.85, "high").when(p >= 0.65, "medium").otherwise("low")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks; order matters, so no set operation can say it."""
     from difflib import SequenceMatcher

@@ -44,7 +44,7 @@ def is_tiny(text: Column | str) -> Column:
 
 def toc_reason(text: Column | str) -> Column:
     """Why a chunk looks like contents: its heading, or the layout of at least four lines."""
-    lines = F.filter(F.transform(F.split(_c(text), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(_c(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     leaders = F.size(F.filter(lines, lambda x: x.rlike(r"\.{3,}|(?:\. ){3,}")))
     entries = F.size(F.filter(lines, lambda x: x.rlike(r"[0-9]+\s*\|?$")))
     heading = F.lower(F.try_element_at(lines, F.lit(1))).rlike("^(?:table of )?contents$")

@@ -1 +1,224 @@
-"""Queries, registered on import."""
+"""Queries of classifiers, rules, workflows and evaluation sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from codexa.functions import text as X
+from codexa.operators import policy as P
+from codexa.plans.registry import query
+from codexa.sources.tables import table
+
+_SIGNALS = {"policy": {"coverage policy": 3.0, "deductible": 1.0, "medically necessary": 2.0}, "form": {"signature": 3.0, "date of birth": 3.0, "print clearly": 2.0}}
+
+
+@query("cls1_document_router", """WITH s AS (SELECT DISTINCT chunk_id, lower(text) AS t FROM chunk_records), p AS (SELECT chunk_id, 3.0 * CAST(contains(t, 'coverage policy') AS INTEGER) + CAST(contains(t, 'deductible') AS INTEGER) + 2.0 * CAST(contains(t, 'medically necessary') AS INTEGER) AS a, 3.0 * CAST(contains(t, 'signature') AS INTEGER) + 3.0 * CAST(contains(t, 'date of birth') AS INTEGER) + 2.0 * CAST(contains(t, 'print clearly') AS INTEGER) AS b FROM s)
+SELECT chunk_id, CASE WHEN a >= 4 THEN 'policy' WHEN b >= 4 THEN 'form' ELSE 'other' END AS route, CAST(CASE WHEN a >= 4 THEN a WHEN b >= 4 THEN b ELSE 0 END AS DOUBLE) AS score FROM p""")
+def _(spark, d):
+    c = table(spark, d, "chunk_records").select("chunk_id", "text").distinct()
+    return c.select("chunk_id", P.weighted_route(F.col("text"), _SIGNALS, {"policy": 4, "form": 4}, "other").alias("r")).select("chunk_id", "r.route", "r.score")
+
+
+@query("cls2_query_router", """WITH q AS (SELECT item_id, ' ' || regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM eval_items), s AS (SELECT item_id, 1.35 * CAST(contains(t, ' how many ') AS INTEGER) + CAST(contains(t, ' limit ') AS INTEGER) AS a, CAST(contains(t, ' form ') AS INTEGER) + CAST(contains(t, ' stamps ') AS INTEGER) AS b FROM q)
+SELECT item_id, CASE WHEN greatest(a, b) = 0 THEN 'research' WHEN a = greatest(a, b) THEN 'counts' ELSE 'forms' END AS route, round(CASE WHEN greatest(a, b) = 0 THEN 0 ELSE exp(least(greatest(a, b), 8.0)) / (exp(least(a, 8.0)) + exp(least(b, 8.0))) END, 6) AS p FROM s""")
+def _(spark, d):
+    r = P.softmax_route(F.col("question"), {"counts": ["how many", "limit"], "forms": ["form", "stamps"]}, "research")
+    return table(spark, d, "eval_items").select("item_id", r.alias("r")).select("item_id", "r.route", F.round("r.p", 6).alias("p"))
+
+
+@query("cls3_route_guardrails", r"SELECT item_id, CASE WHEN regexp_matches(question, '\bD[0-9]{4}\b') THEN 'codes' WHEN contains(lower(question), 'how many') THEN 'counts' ELSE 'research' END AS route FROM eval_items")
+def _(spark, d):
+    q = F.col("question")
+    return table(spark, d, "eval_items").select("item_id", F.when(q.rlike(r"\bD[0-9]{4}\b"), "codes").when(F.lower(q).contains("how many"), "counts").otherwise("research").alias("route"))
+
+
+@query("cls4_catalog_classes", "SELECT id, CASE WHEN contains(lower(title), 'limits') THEN 'limits' WHEN contains(lower(title), 'appeal') THEN 'appeals' WHEN title IS NULL THEN 'untitled' ELSE 'guide' END AS kind, year(updated) < year(published) AS backdated FROM rag_documents")
+def _(spark, d):
+    t = F.lower("title")
+    kind = F.when(t.contains("limits"), "limits").when(t.contains("appeal"), "appeals").when(F.col("title").isNull(), "untitled").otherwise("guide")
+    return table(spark, d, "rag_documents").select("id", kind.alias("kind"), (F.year("updated") < F.year("published")).alias("backdated"))
+
+
+@query("cls6_benefit_questions", r"SELECT item_id, regexp_matches(lower(question), 'cover|visits|copay|share') AND regexp_matches(question, '\?\s*$|^(What|Which|How|Does)') AS benefit FROM eval_items")
+def _(spark, d):
+    q = F.col("question")
+    return table(spark, d, "eval_items").select("item_id", (F.lower(q).rlike("cover|visits|copay|share") & q.rlike(r"\?\s*$|^(What|Which|How|Does)")).alias("benefit"))
+
+
+@query("cls7_tri_state_rules", "SELECT document_id, run_id, created_at, coalesce(CASE WHEN median_words IS NULL THEN NULL WHEN median_words > 150 THEN 'long' WHEN median_words < 50 THEN 'short' END, 'undecided') AS rule FROM (SELECT DISTINCT * FROM document_stats)")
+def _(spark, d):
+    m = F.col("median_words")
+    return table(spark, d, "document_stats").distinct().select("document_id", "run_id", "created_at", F.coalesce(F.when(m > 150, "long").when(m < 50, "short"), F.lit("undecided")).alias("rule"))
+
+
+@query("cls8_quality_score", "SELECT id, round((CAST(title IS NOT NULL AS INTEGER) + CAST(len(authors) > 0 AS INTEGER) + coalesce(CAST(updated >= published AS INTEGER), 0)) / (2.0 + CAST(updated >= published IS NOT NULL AS INTEGER)), 4) AS score FROM rag_documents WHERE authors IS NOT NULL")
+def _(spark, d):
+    r = table(spark, d, "rag_documents").where("authors IS NOT NULL")
+    return r.select("id", P.quality_score([F.col("title").isNotNull(), F.size("authors") > 0, F.col("updated") >= F.col("published")]).alias("score"))
+
+
+@query("cls9_guard_verdicts")
+def _(spark, d):
+    from codexa.operators.predicates import guard_reason
+
+    r = guard_reason("text")
+    return table(spark, d, "documents").select("doc_id", r.isNull().alias("allowed"), r.alias("category"), F.when(r.isNotNull(), X.scrubbed("text")).otherwise(F.col("text")).alias("text"))
+
+
+_RULES = [{"tool": "click", "args": 're:"k": [0-4]}', "decision": "deny"}, {"tool": "view*", "decision": "allow"}, {"tool": "purchase", "agent": "1*", "decision": "allow"}, {"tool": "error", "decision": "deny"}]
+
+
+@query("cls10_access_policy", """SELECT event_id, CASE WHEN event_type = 'click' AND regexp_matches(props, '"k": [0-4]}') THEN 'deny' WHEN starts_with(event_type, 'view') THEN 'allow' WHEN event_type = 'purchase' AND starts_with(CAST(user_id AS VARCHAR), '1') THEN 'allow' WHEN event_type = 'error' THEN 'deny' ELSE 'ask' END AS decision FROM events""")
+def _(spark, d):
+    calls = table(spark, d, "events").select("event_id", F.col("event_type").alias("tool"), F.col("user_id").cast("string").alias("agent"), F.col("props").alias("args"))
+    return P.access_decisions(calls, _RULES).select("event_id", "decision")
+
+
+@query("cls11_unmet_requirements", "SELECT id, concat_ws(',', CASE WHEN title IS NULL THEN 'title' END, CASE WHEN coalesce(len(authors), 0) = 0 THEN 'authors' END, CASE WHEN published IS NULL THEN 'published' END) AS unmet FROM rag_documents")
+def _(spark, d):
+    u = P.unmet({"title": F.col("title").isNotNull(), "authors": F.coalesce(F.size("authors"), F.lit(0)) > 0, "published": F.col("published").isNotNull()})
+    return table(spark, d, "rag_documents").select("id", F.array_join(u, ",").alias("unmet"))
+
+
+@query("cls12_action_matrix", "SELECT event_type, CAST(count(*) FILTER (value > 50) AS BIGINT) AS high, CAST(count(*) FILTER (value <= 50) AS BIGINT) AS low FROM events GROUP BY 1")
+def _(spark, d):
+    e = table(spark, d, "events").withColumn("level", F.when(F.col("value") > 50, "high").otherwise("low"))
+    return e.groupBy("event_type").pivot("level", ["high", "low"]).agg(F.count("event_id")).fillna(0)
+
+
+@query("cls13_14_page_classes", r"SELECT DISTINCT chunk_id, CASE WHEN content_type = 'table_row' THEN 'table' WHEN len(regexp_extract_all(text, '[0-9]+%')) >= 5 THEN 'chart' WHEN len(regexp_extract_all(text, '_{4,}')) >= 2 THEN 'form' ELSE 'narrative' END AS kind FROM chunk_records")
+def _(spark, d):
+    n = lambda p: F.regexp_count("text", F.lit(p))
+    kind = F.when(F.col("content_type") == "table_row", "table").when(n("[0-9]+%") >= 5, "chart").when(n("_{4,}") >= 2, "form").otherwise("narrative")
+    return table(spark, d, "chunk_records").select("chunk_id", kind.alias("kind")).distinct()
+
+
+@query("cls15_table_pages", r"SELECT DISTINCT chunk_id FROM chunk_records WHERE regexp_matches(text, '(?m)^\|.*\|$')")
+def _(spark, d):
+    return table(spark, d, "chunk_records").where(F.col("text").rlike(r"(?m)^\|.*\|$")).select("chunk_id").distinct()
+
+
+@query("cls16_label_margin", "WITH s AS (SELECT user_id, event_type, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM events GROUP BY user_id, event_type), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, event_type) AS r FROM s), g AS (SELECT user_id, max(CASE WHEN r = 1 THEN event_type END) AS l, max(CASE WHEN r = 1 THEN p END) AS a, max(CASE WHEN r = 2 THEN p END) AS b FROM r GROUP BY 1) SELECT user_id, CASE WHEN l = 'error' OR a < 0.2 THEN 'none' WHEN a - coalesce(b, 0) < 0.05 THEN 'ambiguous' ELSE l END AS decision FROM g")
+def _(spark, d):
+    s = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("user_id")))
+    return P.label_with_margin(s, "user_id", "event_type", "p", "error", 0.2, 0.05)
+
+
+@query("cls17_disagreement", "SELECT coalesce(r.primary_category, 'unknown') AS category, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (r.primary_category <> r.categories[1]) AS BIGINT) AS differ FROM rag_documents r GROUP BY 1")
+def _(spark, d):
+    r = table(spark, d, "rag_documents")
+    return r.groupBy(F.coalesce("primary_category", F.lit("unknown")).alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col("primary_category") != F.get("categories", F.lit(0))).alias("differ"))
+
+
+@query("cls18_sanitised", r"SELECT item_id FROM eval_items WHERE NOT regexp_matches(passage, '\b(Oqu|Xor)[a-z]+\b')")
+def _(spark, d):
+    return table(spark, d, "eval_items").where(~F.col("passage").rlike(r"\b(Oqu|Xor)[a-z]+\b")).select("item_id")
+
+
+@query("eva5_evidence_recall", "SELECT item_id, len(list_filter(regexp_extract_all(question, '[A-Z][a-z]{4,}'), lambda x: contains(passage, x))) / greatest(len(regexp_extract_all(question, '[A-Z][a-z]{4,}')), 1) AS share FROM eval_items")
+def _(spark, d):
+    names = F.regexp_extract_all("question", F.lit("[A-Z][a-z]{4,}"), F.lit(0))
+    return table(spark, d, "eval_items").select("item_id", (F.size(F.filter(names, lambda x: F.col("passage").contains(x))) / F.greatest(F.size(names), F.lit(1))).alias("share"))
+
+
+@query("eva6_facts_present", "SELECT item_id, contains(regexp_replace(lower(passage), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(answer), '[^a-z0-9]+', '', 'g')) AS present FROM eval_items WHERE answer IS NOT NULL")
+def _(spark, d):
+    return table(spark, d, "eval_items").where("answer IS NOT NULL").select("item_id", X.squeezed("passage").contains(X.squeezed("answer")).alias("present"))
+
+
+@query("eva7_context_metrics", "SELECT document_id, CAST(count(*) AS BIGINT) AS units, CAST(sum(length(content)) AS BIGINT) AS chars, CAST(sum(ceil(length(content) / 4.0)) AS BIGINT) AS tokens FROM rag_chunks WHERE content IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    c = table(spark, d, "rag_chunks").where("content IS NOT NULL")
+    return c.groupBy("document_id").agg(F.count("*").alias("units"), F.sum(F.length("content")).alias("chars"), F.sum(X.token_estimate("content")).alias("tokens"))
+
+
+@query("eva8_set_precision", "SELECT id, round(len(list_intersect(list_distinct(categories), ['vision', 'claims'])) / greatest(len(list_distinct(categories)), 1), 6) AS precision FROM rag_documents WHERE categories IS NOT NULL")
+def _(spark, d):
+    c = F.array_distinct("categories")
+    return table(spark, d, "rag_documents").where("categories IS NOT NULL").select("id", F.round(F.size(F.array_intersect(c, F.array(F.lit("vision"), F.lit("claims")))) / F.greatest(F.size(c), F.lit(1)), 6).alias("precision"))
+
+
+@query("eva9_code_contamination", r"SELECT id, CAST(len(list_filter(list_distinct(regexp_extract_all(content, '\bD[0-9]{4}\b')), lambda x: x > 'D5000')) AS BIGINT) AS outside FROM rag_chunks WHERE content IS NOT NULL")
+def _(spark, d):
+    codes = F.array_distinct(X.found("content", r"\bD[0-9]{4}\b"))
+    return table(spark, d, "rag_chunks").where("content IS NOT NULL").select("id", F.size(F.filter(codes, lambda x: x > "D5000")).cast("bigint").alias("outside"))
+
+
+@query("eva10_outcome_matrix", "SELECT family IS NOT NULL AS has_family, page IS NOT NULL AS has_page, CAST(count(*) AS BIGINT) AS n FROM eval_items GROUP BY ALL")
+def _(spark, d):
+    return table(spark, d, "eval_items").groupBy(F.col("family").isNotNull().alias("has_family"), F.col("page").isNotNull().alias("has_page")).agg(F.count("*").alias("n"))
+
+
+@query("eva12_field_scores", "WITH a AS (SELECT chunk_id, max(plan_year) AS y FROM chunk_records GROUP BY 1), b AS (SELECT chunk_id, max(CAST(regexp_extract(text, '20[0-9]{2}', 0) AS VARCHAR)) AS t FROM chunk_records GROUP BY 1) SELECT CASE WHEN y IS NULL THEN 'missing' WHEN CAST(y AS VARCHAR) = t THEN 'correct' ELSE 'wrong' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM a JOIN b USING (chunk_id) GROUP BY 1")
+def _(spark, d):
+    c = table(spark, d, "chunk_records").groupBy("chunk_id").agg(F.max("plan_year").cast("string").alias("y"), F.max(F.regexp_extract("text", "20[0-9]{2}", 0)).alias("t"))
+    return c.groupBy(F.when(F.col("y").isNull(), "missing").when(F.col("y") == F.col("t"), "correct").otherwise("wrong").alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("eva13_suite_tallies", "SELECT item_type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (page <= 10) AS BIGINT) AS early, round(avg(1.0 / page), 6) AS mrr FROM eval_items GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "eval_items").groupBy("item_type").agg(F.count("*").alias("n"), F.count_if(F.col("page") <= 10).alias("early"), F.round(F.avg(1.0 / F.col("page")), 6).alias("mrr"))
+
+
+@query("eva14_group_split")
+def _(spark, d):
+    """Train and test by whole documents: a seeded hash of the document decides, so no group is in both."""
+    part = F.when(F.pmod(F.xxhash64(F.lit(7), "document_id"), F.lit(10)) < 8, "train").otherwise("test")
+    return table(spark, d, "chunk_records").select("chunk_id", "document_id", part.alias("split")).distinct()
+
+
+@query("eva15_training_rows")
+def _(spark, d):
+    """Each item with two distractor passages drawn by hash order, as rows for two tasks."""
+    e = table(spark, d, "eval_items")
+    n = e.count()
+    ring = e.select("item_id", "question", "answer", "passage", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(3), "item_id"))).alias("r"))  # the items are one small, stated set
+    other = ring.select(F.col("r").alias("o"), F.col("passage").alias("distractor"))
+    want = ring.select("*", F.explode(F.array((F.col("r") % n) + 1, ((F.col("r") + 1) % n) + 1)).alias("o"))
+    g = want.join(other, "o").groupBy("item_id").agg(F.first("question").alias("question"), F.first("answer").alias("answer"), F.first("passage").alias("passage"), F.array_sort(F.collect_set("distractor")).alias("distractors"))
+    return g.select("item_id", F.explode(F.array(F.lit("direct"), F.lit("reasoned"))).alias("task"), "question", "answer", F.concat(F.array("passage"), "distractors").alias("contexts"))
+
+
+@query("eva16_evidence_sentences", r"""WITH s AS (SELECT item_id, question, unnest(string_split_regex(passage, '\. ')) AS s FROM eval_items), o AS (SELECT item_id, s, len(list_intersect(list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')))) AS k FROM s WHERE length(s) >= 15), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC, s) AS r FROM o) SELECT item_id, s AS sentence FROM r WHERE r <= 2""")
+def _(spark, d):
+    s = table(spark, d, "eval_items").select("item_id", "question", F.explode(F.split("passage", r"\. ")).alias("sentence")).where(F.length("sentence") >= 15)
+    k = F.size(F.array_intersect(F.array_distinct(X.tokens_alnum("sentence")), F.array_distinct(X.tokens_alnum("question"))))
+    w = Window.partitionBy("item_id").orderBy(F.desc("k"), "sentence")
+    return s.withColumn("k", k).withColumn("r", F.row_number().over(w)).where("r <= 2").select("item_id", "sentence")
+
+
+@query("eva17_sampled_questions")
+def _(spark, d):
+    """One long chunk a document, drawn by hash order."""
+    c = table(spark, d, "rag_chunks").where(F.length("content") >= 200)
+    return c.groupBy("document_id").agg(F.min_by("id", F.xxhash64(F.lit(11), "id")).alias("id"))
+
+
+@query("eva18_context_levels", "SELECT item_id, CASE WHEN k >= 8 THEN 'full' WHEN k >= 5 THEN 'long' WHEN k >= 3 THEN 'short' ELSE 'hide' END AS level FROM (SELECT item_id, len(list_intersect(list_distinct(regexp_extract_all(lower(passage), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')))) AS k FROM eval_items)")
+def _(spark, d):
+    k = F.size(F.array_intersect(F.array_distinct(X.tokens_alnum("passage")), F.array_distinct(X.tokens_alnum("question"))))
+    return table(spark, d, "eval_items").select("item_id", F.when(k >= 8, "full").when(k >= 5, "long").when(k >= 3, "short").otherwise("hide").alias("level"))
+
+
+def _registry() -> P.Registry:
+    r = P.Registry()
+    r.add("filter_type", lambda df, event_type: df.where(F.col("event_type") == event_type), {"event_type": str}, "approved")
+    r.add("count_by", lambda df, column: df.groupBy(column).agg(F.count("*").alias("n")), {"column": str}, "approved")
+    r.add("at_least", lambda df, n: df.where(F.col("n") >= n), {"n": int}, "approved")
+    return r
+
+
+@query("udf1_4_workflow", "SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) >= 15")
+def _(spark, d):
+    """A JSON workflow of registered operations, validated before anything runs."""
+    r = _registry()
+    spec = '[{"id": "buys", "op": "filter_type", "params": {"event_type": "purchase"}}, {"id": "per", "op": "count_by", "input": "buys", "params": {"column": "user_id"}}, {"id": "many", "op": "at_least", "input": "per", "params": {"n": 15}}]'
+    return P.run_spec(P.validated_spec(spec, r), table(spark, d, "events"), r)["many"]
+
+
+@query("udf11_value_checks", "SELECT item_id, answer IS NOT NULL AND trim(answer) <> '' AS filled, regexp_matches(answer, '^[0-9]+ percent$') AS percent FROM eval_items")
+def _(spark, d):
+    a = F.col("answer")
+    checks = {"filled": a.isNotNull() & (F.trim(a) != ""), "percent": a.rlike("^[0-9]+ percent$")}
+    return table(spark, d, "eval_items").select("item_id", *[c.alias(n) for n, c in checks.items()])

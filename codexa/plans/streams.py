@@ -1 +1,99 @@
-"""Queries, registered on import."""
+"""Queries of event logs: streams drained over a table's file, and replays in batch."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from codexa.plans.registry import query
+from codexa.sources.tables import table
+from codexa.streaming import events as E
+
+
+def _runs(df):
+    """Each user's events as requests to move a run."""
+    want = F.element_at(F.create_map(*map(F.lit, ("view", "queued", "signup", "queued", "click", "running", "purchase", "done", "error", "failed"))), F.col("event_type"))
+    return df.select("user_id", "event_id", "ts", want.alias("wanted"))
+
+
+@query("str1_run_states")
+def _(spark, d):
+    return E.run_states_batch(_runs(table(spark, d, "events")), "user_id", "event_id", "wanted", "ts")
+
+
+@query("str1_stream_run_states")
+def _(spark, d):
+    stream = _runs(E.parquet_stream(spark, d, "events"))
+    return E.drained(E.run_states(stream, "user_id", "event_id", "wanted", "ts"), f"runs_{uuid.uuid4().hex}")
+
+
+@query("str2_event_sequence", "SELECT user_id, CAST(max(seq) AS BIGINT) AS last_seq FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) GROUP BY 1")
+def _(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").withColumn("seq", F.row_number().over(w)).groupBy("user_id").agg(F.max("seq").cast("bigint").alias("last_seq"))
+
+
+@query("str3_stream_windows", "SELECT date_trunc('day', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, d):
+    w = E.windowed_counts(E.parquet_stream(spark, d, "events"), "ts", "event_type")
+    return E.drained(w, f"win_{uuid.uuid4().hex}", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("str4_6_stream_deduplicated", "SELECT DISTINCT event_id FROM events")
+def _(spark, d):
+    e = E.parquet_stream(spark, d, "events").select("event_id", "ts")
+    return E.drained(E.first_deliveries(e.unionByName(e), ["event_id"], "ts"), f"dd_{uuid.uuid4().hex}").select("event_id")
+
+
+@query("str5_bad_records", "SELECT event_id FROM events WHERE NOT coalesce(value > 1 AND event_type <> 'error', false)")
+def _(spark, d):
+    return E.split_bad(table(spark, d, "events"), (F.col("value") > 1) & (F.col("event_type") != "error"))[1].select("event_id")
+
+
+@query("str7_version_conflicts", "WITH v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, CAST(json_extract_string(props, '$.k') AS BIGINT) % 60 AS expected FROM events) SELECT event_id, place = expected AS accepted FROM v")
+def _(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    expected = F.get_json_object("props", "$.k").cast("bigint") % 60
+    return table(spark, d, "events").select("event_id", ((F.row_number().over(w) - 1) == expected).alias("accepted"))
+
+
+@query("str8_slot_filling", "WITH s AS (SELECT user_id, bool_or(event_type = 'signup') AS a, bool_or(event_type = 'view' AND value > 95) AS b, bool_or(event_type = 'purchase' AND value > 97) AS c FROM events GROUP BY 1) SELECT user_id, CASE WHEN NOT a THEN 'signup' WHEN NOT b THEN 'view' WHEN NOT c THEN 'purchase' ELSE 'review' END AS stage FROM s")
+def _(spark, d):
+    any_ = lambda c: F.max(F.expr(c))
+    s = table(spark, d, "events").groupBy("user_id").agg(any_("event_type = 'signup'").alias("a"), any_("event_type = 'view' AND value > 95").alias("b"), any_("event_type = 'purchase' AND value > 97").alias("c"))
+    return s.select("user_id", F.when(~F.col("a"), "signup").when(~F.col("b"), "view").when(~F.col("c"), "purchase").otherwise("review").alias("stage"))
+
+
+@query("str10_13_remaining_work", "SELECT chunk_id FROM (SELECT DISTINCT chunk_id FROM chunk_records) WHERE chunk_id NOT IN (SELECT chunk_id FROM chunk_records WHERE contextualized_text IS NOT NULL)")
+def _(spark, d):
+    c = table(spark, d, "chunk_records")
+    return c.select("chunk_id").distinct().join(c.where("contextualized_text IS NOT NULL").select("chunk_id"), "chunk_id", "left_anti")
+
+
+@query("str11_trace_replay", "SELECT event_type, round(avg(CAST(value > 50 AS INTEGER)), 6) AS decided FROM events GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg((F.col("value") > 50).cast("int")), 6).alias("decided"))
+
+
+@query("str12_frozen_levels", "SELECT user_id, event_type, arg_min(value, (ts, event_id)) AS level FROM events GROUP BY ALL")
+def _(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min_by("value", F.struct("ts", "event_id")).alias("level"))
+
+
+@query("str15_enrolment_tiers", "SELECT user_id, CASE WHEN count(DISTINCT event_type) >= 4 THEN 'family' WHEN count(DISTINCT event_type) >= 2 THEN 'couple' ELSE 'self' END AS tier FROM events WHERE value > 60 GROUP BY 1")
+def _(spark, d):
+    n = F.count_distinct("event_type")
+    return table(spark, d, "events").where("value > 60").groupBy("user_id").agg(F.when(n >= 4, "family").when(n >= 2, "couple").otherwise("self").alias("tier"))
+
+
+@query("str17_verdict_reuse", "SELECT coalesce(review_status, 'none') AS verdict, CAST(count(DISTINCT source_sha256 || chunk_id) AS BIGINT) AS n FROM chunk_records GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "chunk_records").groupBy(F.coalesce("review_status", F.lit("none")).alias("verdict")).agg(F.count_distinct(F.concat("source_sha256", "chunk_id")).alias("n"))
+
+
+@query("str18_fingerprint", "SELECT source, sha256(string_agg(id || ':' || CAST(coalesce(length(title), 0) AS VARCHAR), ';' ORDER BY id)) AS fingerprint FROM rag_documents GROUP BY 1")
+def _(spark, d):
+    line = F.concat("id", F.lit(":"), F.coalesce(F.length("title"), F.lit(0)).cast("string"))
+    return table(spark, d, "rag_documents").groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ";"), 256).alias("fingerprint"))
