@@ -139,7 +139,7 @@ def _copies(chunks: DataFrame, dim: int) -> DataFrame:
     return twins.join(reps, "embedding").select("rep", "id").distinct()
 
 
-def pairs_above(chunks: DataFrame, least: float = 0.9, p: float = 0.98, dim: int = DIM, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
+def pairs_above(chunks: DataFrame, least: float = 0.9, p: float = 0.995, dim: int = DIM, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(id_a, id_b, similarity): pairs of vectors with a cosine of at least ``least``, smaller id first.
 
     Of more than ``EXPAND`` exact copies each is paired with the first only, as are their neighbours.
@@ -159,7 +159,7 @@ def pairs_above(chunks: DataFrame, least: float = 0.9, p: float = 0.98, dim: int
             q, leaf, cost = top.probe(proj, np.full(len(x), reach(d2, top.depth + 9, p), np.float32))
             keep = leaf >= home[q]
             q, leaf, cost = q[keep], leaf[keep], cost[keep]
-            yield pd.DataFrame({"shard": leaf, "own": leaf == home[q], "spent": cost, "id": b.id.to_numpy()[q], "v": list(x[q])})
+            yield pd.DataFrame({"shard": leaf, "own": leaf == home[q], "spent": cost, "id": b.id.to_numpy()[q], "v": pd.Series(list(x[q]), dtype=object)})
 
     def search(b: pd.DataFrame) -> pd.DataFrame:
         x, own, ids = np.array(b.v.tolist(), np.float32), b.own.to_numpy(), b.id.to_numpy()
@@ -225,7 +225,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, p: float = 0.995
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 x = _unit(b.embedding)
-                yield pd.DataFrame({"shard": top.home(project(x)), "q": query, "spent": np.float32(0), "bound": np.float32(4), "id": b.id, "v": list(x)})
+                yield pd.DataFrame({"shard": top.home(project(x)), "q": query, "spent": np.float32(0), "bound": np.float32(4), "id": b.id, "v": pd.Series(list(x), dtype=object)})
 
         return run
 
@@ -278,7 +278,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, p: float = 0.995
             q, leaf, cost = top.probe(proj, r)
             away = leaf != top.home(proj)[q]
             q, leaf, cost = q[away], leaf[away], cost[away]
-            yield pd.DataFrame({"shard": leaf, "q": True, "spent": cost, "bound": b.d2.to_numpy()[q].astype(np.float32), "id": b.id.to_numpy()[q], "v": list(x[q])})
+            yield pd.DataFrame({"shard": leaf, "q": True, "spent": cost, "bound": b.d2.to_numpy()[q].astype(np.float32), "id": b.id.to_numpy()[q], "v": pd.Series(list(x[q]), dtype=object)})
 
     far = qs.join(bounds, "id", "left").withColumn("d2", F.coalesce("d2", F.lit(4.0))).select("id", "embedding", "d2").mapInPandas(spread, schema)
     second = homes.unionAll(far).groupBy("shard").applyInPandas(search, out)

@@ -210,9 +210,9 @@ class LineModel:
         self.emit = [np.zeros((len(STATES), k)) for k in self.SIZES]
 
     def fit(self, chunks: list[list[tuple[tuple[int, ...], int]]]) -> LineModel:
-        """Counts with add-one smoothing; ``chunks`` hold (features, state) of each line."""
+        """Smoothed counts; ``chunks`` hold (features, state) of each line. What marks furniture is hardly smoothed, as nothing else tells it."""
         start, move = np.ones(len(STATES)), np.ones((len(STATES), len(STATES)))
-        emit = [np.full((len(STATES), k), 0.5) for k in self.SIZES]
+        emit = [np.full((len(STATES), k), 0.02 if j < 3 else 0.5) for j, k in enumerate(self.SIZES)]
         for lines in chunks:
             before = None
             for f, s in lines:
