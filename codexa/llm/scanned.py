@@ -49,6 +49,7 @@ _TOKEN = re.compile(r"[!|]?[^\W_]+(?:[!|][^\W_]+)*(?:[-'’][!|]?[^\W_]+(?:[!|][
 _BROKEN = re.compile(rf"([!|]?[^\W_]+(?:[-'’!|][^\W_]+)*)([{MARKS}])\s*$")
 _NUMBER = re.compile(r"\s*(?:[-–—\[(|•·*~]\s*)?(?:page|pg\.?|p\.)?\s*\d{1,4}\s*(?:(?:of|/)\s*\d{1,4}\s*)?(?:[-–—\])|•·*~]\s*)?$", re.I)
 _WORD = re.compile(r"[^\W_]+")
+_CODED = frozenset("+=/\\@&<{}~^")
 STATES = ("body", "header", "break")
 
 
@@ -333,7 +334,9 @@ class Repair:
             for i, line in enumerate(lines):
                 for t in _TOKEN.finditer(line) if states[i] is not None else ():
                     w = wrong.get(t.group().lower())
-                    if w and t.span() not in spans.get(i, ()):
+                    # stretches of encoded text hold chance look-alikes
+                    coded = line[t.start() - 1 : t.start()] in _CODED or line[t.end() : t.end() + 1] in _CODED
+                    if w and not coded and t.span() not in spans.get(i, ()):
                         fixes.append((i, *t.span(), w))
         return lines, states, breaks, fixes
 
