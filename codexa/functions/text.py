@@ -22,6 +22,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once; an expression that is only written once is still inlined at each use."""
+    return F.transform(F.array(value), use)[0]
+
+
 def found(text: Column | str, pattern: str, group: int = 0) -> Column:
     """All matches of a pattern; null text gives null."""
     return F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(group))

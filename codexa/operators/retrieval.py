@@ -64,9 +64,11 @@ def tfidf(docs: DataFrame, queries: DataFrame, key: str, qid: str, doc_text: str
     """(qid, key, score): cosine of word and word-pair vectors, 1 + ln tf, smooth idf, unit length."""
 
     def grams(df: DataFrame, k: str, c: str) -> DataFrame:
-        t = X.tokens_alnum(c)
-        pairs = F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-        return df.select(k, F.explode(F.concat(t, pairs)).alias("term")).groupBy(k, "term").agg((1 + F.log(F.count("*").cast("double"))).alias("w"))
+        def both(t: Column) -> Column:
+            pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+            return F.concat(t, pairs)
+
+        return df.select(k, F.explode(X.let(X.tokens_alnum(c), both)).alias("term")).groupBy(k, "term").agg((1 + F.log(F.count("*").cast("double"))).alias("w"))
 
     d = grams(docs, key, doc_text)
     n = docs.agg(F.count("*").alias("n_docs"))

@@ -254,7 +254,7 @@ def _(spark, d):
 
 @query("ded2_shingles", """WITH t AS (SELECT id, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM rag_chunks WHERE content IS NOT NULL) SELECT id, CAST(CASE WHEN len(t) = 0 THEN 0 WHEN len(t) < 3 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) END AS BIGINT) AS shingles FROM t""")
 def _(spark, d):
-    return table(spark, d, "rag_chunks").where("content IS NOT NULL").select("id", F.size(Q.shingles(X.tokens_alnum("content"), 3)).cast("bigint").alias("shingles"))
+    return table(spark, d, "rag_chunks").where("content IS NOT NULL").select("id", F.size(X.let(X.tokens_alnum("content"), lambda t: Q.shingles(t, 3))).cast("bigint").alias("shingles"))
 
 
 def _docs(spark, d):
@@ -279,7 +279,7 @@ def _(spark, d):
 @query("ded3_4_minhash_bands")
 def _(spark, d):
     """Candidate pairs by bands of two of 64 minima; hot bands are left to the exact operator."""
-    s = _docs(spark, d).select("doc_id", F.explode(Q.shingles(X.tokens_alnum("text"), 5)).alias("s"))
+    s = _docs(spark, d).select("doc_id", F.explode(X.let(X.tokens_alnum("text"), lambda t: Q.shingles(t, 5))).alias("s"))
     m = Q.minhash(s, "doc_id", "s")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.xxhash64(i, F.get("m", 2 * i), F.get("m", 2 * i + 1)))).alias("band")
     return m.select("doc_id", band).groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
