@@ -192,7 +192,8 @@ def pairs_above(chunks: DataFrame, least: float = 0.9, p: float = 0.995, dim: in
         return out[out.similarity >= least - 1e-7].drop_duplicates(["id_a", "id_b"])
 
     routed = vectors.select("id", "embedding").mapInPandas(route, "shard bigint, own boolean, spent float, id bigint, v array<float>")
-    pairs = routed.groupBy("shard").applyInPandas(search, "id_a bigint, id_b bigint, similarity double")
+    # about one shard a task, however few partitions the session shuffles into
+    pairs = routed.repartition(2 << top.depth, "shard").groupBy("shard").applyInPandas(search, "id_a bigint, id_b bigint, similarity double")
     pairs = pairs.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
     return _with_copies(pairs, _copies(chunks, dim))
 
