@@ -57,7 +57,7 @@ def peer_cost(claims: DataFrame, least_claims: int = 3, factor: float = 1.3, top
     excess = dear.groupBy("service", "provider").agg(F.sum(F.col("paid") - F.col("peer_median")).alias("excess"))
     best = Window.partitionBy("provider").orderBy(F.desc(F.round("ratio", 6)), "service")
     out = loo.where("ratio > 1").join(excess, ["service", "provider"], "left").withColumn("r", F.row_number().over(best)).where("r = 1")
-    return out.select("provider", "service", F.round("ratio", 4).alias("ratio"), F.round(F.coalesce("excess", F.lit(0.0)), 2).alias("excess"))
+    return out.select("provider", "service", F.round("ratio", 4).alias("ratio"), F.round(F.coalesce("excess", F.lit(0.0)), 4).alias("excess"))
 
 
 def repeats(claims: DataFrame, window: int = 1, routine_gap: int = 7) -> DataFrame:

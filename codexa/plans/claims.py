@@ -71,7 +71,7 @@ def _(spark, d):
 @query("frd3_peer_cost", f"""WITH {_LOO}, t AS (SELECT *, own_mean / peer_median AS ratio, row_number() OVER (PARTITION BY provider ORDER BY own_n DESC, service) AS r FROM loo), k AS (SELECT * FROM t WHERE r <= 15 AND own_n >= 3 AND peer_median > 0),
 e AS (SELECT cl.provider, cl.service, sum(cl.paid - peer_median) AS excess FROM cl JOIN k USING (provider, service) WHERE cl.paid > 1.3 * peer_median GROUP BY ALL),
 b AS (SELECT k.provider, k.service, ratio, excess, row_number() OVER (PARTITION BY k.provider ORDER BY round(ratio, 6) DESC, k.service) AS q FROM k LEFT JOIN e ON e.provider = k.provider AND e.service = k.service WHERE ratio > 1)
-SELECT provider, service, round(ratio, 4) AS ratio, round(coalesce(excess, 0), 2) AS excess FROM b WHERE q = 1""")
+SELECT provider, service, round(ratio, 4) AS ratio, round(coalesce(excess, 0), 4) AS excess FROM b WHERE q = 1""")
 def _(spark, d):
     return C.peer_cost(claims(spark, d))
 
