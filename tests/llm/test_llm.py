@@ -169,6 +169,21 @@ def test_copies_beyond_the_bound_are_paired_with_their_first(spark):
     assert got == {("content", "0000", f"{i:04}") for i in range(1, 130)}
 
 
+def test_pairs_of_hot_bands_pass_no_likelihood(spark):
+    hasher, pairs = ND.Hasher(), []
+    for i in range(1500):
+        a = [f"w{i}x{j}" for j in range(60)]
+        pairs.append((a, a[:46] + [f"v{i}x{j}" for j in range(14)]))  # 44 of 72 runs in common
+    a, b = (ND.sketch([hasher.runs([w.encode() for w in p[k]]) for p in pairs]) for k in (0, 1))
+    band = (a == b).reshape(-1, ND.BANDS, ND.ROWS).all(2).any(1)
+    n = np.full(len(pairs), 58.0)
+    unlikely = ND.joint_similarity(a // ND.COARSE, b // ND.COARSE, n, n) < ND.LEAST - 2.5 * (ND.LEAST * (1 - ND.LEAST) / ND.REGISTERS) ** 0.5
+    some = np.flatnonzero(band & unlikely)
+    rows = [("content", f"{k}{i:04}", " ".join(p)) for i in some for k, p in zip("ab", pairs[i])]
+    got = {tuple(r) for r in ND.expanded(*ND.similar_pairs(spark.createDataFrame(rows, "field string, key string, text string"), hot=1)).collect()}
+    assert got == {("content", f"a{i:04}", f"b{i:04}") for i in some} and len(some) > 2
+
+
 def test_joint_likelihood():
     rnd = np.random.default_rng(1)
     pool = rnd.integers(0, 2**63, 3000, dtype=np.uint64)
