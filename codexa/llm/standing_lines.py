@@ -1,11 +1,11 @@
 """Problem 1: lines that the documents of one family repeat.
 
-1. Content-defined chunks: each text is a stream of words, in which figures,
-   dates and the document's title are blanks; a rolling hash over two words,
-   and capitals, set the borders, wherever lines break. Distinct documents are counted per
-   family and chunk.
-2. Lines that hold a chunk repeated excessively are candidates. Their wording
-   with names blanked too is a template, counted per family.
+1. Content-defined chunks: each line's template is its words, in which figures,
+   dates, names and the document's title are blanks; a rolling hash over two
+   words sets the borders. Distinct documents are counted per family and chunk.
+2. Templates all of whose chunks are repeated excessively are candidates,
+   counted per family. A chunk stands in every document that its template
+   stands in, so this filter loses no template that the count would keep.
 3. Exact check: each line is held against its family's templates, whatever
    fills their blanks, and distinct documents are counted per template again.
    Lines of templates at the threshold are standing lines.
@@ -69,64 +69,77 @@ def _title_pattern(title: str | None) -> re.Pattern | None:
 
 
 class Stream:
-    """Words of a batch of texts, with their places and hashes."""
+    """Content-defined chunks of a batch of templates."""
 
-    def __init__(self, cache: dict[str, int]):
-        self.cache = cache
+    def __init__(self):
+        self.cache: dict[str, int] = {}
 
-    def chunks(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, begin word, hash, letters) of each content-defined chunk of texts given as words."""
+    def chunks(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(line number, hash) of each chunk; every line has at least one, and equal lines have equal ones."""
         cache = self.cache
         if len(cache) > 500_000:
             cache.clear()
         hashes, owner = [], []
-        for words in texts:
-            for w in words:
+        for line in lines:
+            for w in line.split(" "):
                 h = cache.get(w)
-                if h is None:  # the last bit says whether the word has a capital
-                    h = cache[w] = (xxhash.xxh3_64_intdigest(w.lower()) & ~1 | w[0].isupper()) if w.isalpha() else 2
+                if h is None:
+                    h = cache[w] = xxhash.xxh3_64_intdigest(w)
                 hashes.append(h)
             owner.append(len(hashes))
-        letters = [len(w) for words in texts for w in words]
-        h, size = np.array(hashes, np.uint64), np.array(letters, np.int64)
+        h = np.array(hashes, np.uint64)
         if not len(h):
-            e = np.empty(0, np.int64)
-            return e, e, e, e
-        doc = np.searchsorted(np.array(owner), np.arange(len(h)), "right")
-        capital, h = (h & np.uint64(1)).astype(bool), h >> np.uint64(1)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        start = np.zeros(len(h), bool)
+        start[[0, *owner[:-1]]] = True
         roll = h * np.uint64(0x9E3779B97F4A7C15)
-        roll[1:] += h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        roll[1:] += np.where(start[1:], np.uint64(0), h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F))
         roll ^= roll >> np.uint64(33)
-        border = (roll & np.uint64(7)) == 0  # a chunk ends with this word
-        start = np.ones(len(h), bool)
-        start[1:] = border[:-1] | capital[1:] | (doc[1:] != doc[:-1])
+        line_no = np.cumsum(start) - 1
+        start[1:] |= (roll[:-1] & np.uint64(7)) == 0  # a chunk ends with such a word
         begin = np.flatnonzero(start)
         place = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
         mixed = (h ^ (h >> np.uint64(30))) * (np.uint64(0xBF58476D1CE4E5B9) + np.uint64(2) * (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB))
         mixed ^= mixed >> np.uint64(27)
-        return doc[begin], begin, np.add.reduceat(mixed, begin).view(np.int64), np.add.reduceat(size, begin)
-
-
-def _repeated_chunks(texts: DataFrame, need: dict[str, float]) -> dict[str, np.ndarray] | None:
+        return line_no[begin], np.add.reduceat(mixed, begin).view(np.int64)
+
+
+def _templates_of(b: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
+    """(row numbers, templates) of the lines of a batch that can stand."""
+    rows, out = [], []
+    for k, (text, blanked, section) in enumerate(zip(b.text, _blank_titles(b), b.section)):
+        heading = [w.lower() for w in _WORD.findall(section or "")]
+        plain, lines = text.split("\n"), blanked.split("\n")
+        same = len(plain) == len(lines)
+        for i, line in enumerate(lines):
+            words = _WORD.findall(line)
+            x = template(words)
+            if x and not (same and (len(plain[i]) > 400 or _ROWISH.search(plain[i]) and _ROW.search(plain[i]))) and not (heading and [w.lower() for w in words] == heading):
+                rows.append(k)
+                out.append(x)
+    return np.array(rows, np.int64), out
+
+
+def _repeated_chunks(texts: DataFrame, need: dict[str, float], bound: int = BOUND) -> dict[str, np.ndarray] | None:
     """Per family the hashes of the chunks that enough documents hold; None if they are beyond the bound."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream = Stream({})
+        stream = Stream()
         for b in batches:
-            who, _, h, letters = stream.chunks([_WORD.findall(t) for t in _blank_titles(b)])
-            keep = letters >= LEAST_LETTERS - 2
-            out = pd.DataFrame({"family": b.family.to_numpy()[who[keep]], "doc": b.doc.to_numpy()[who[keep]], "h": h[keep]})
+            rows, lines = _templates_of(b)
+            who, h = stream.chunks(lines)
+            out = pd.DataFrame({"family": b.family.to_numpy()[rows[who]], "doc": b.doc.to_numpy()[rows[who]], "h": h})
             yield out.drop_duplicates()
 
-    rows = texts.select("family", F.xxhash64("document_id").alias("doc"), "title", "text").mapInPandas(go, "family string, doc bigint, h bigint")
+    rows = texts.select("family", F.xxhash64("document_id").alias("doc"), "title", "section", "text").mapInPandas(go, "family string, doc bigint, h bigint")
     counts = rows.groupBy("family", "h").agg(F.count_distinct("doc").alias("n"))
     least = min(need.values())
     found: dict[str, list[int]] = defaultdict(list)
     total = 0
-    for r in counts.where(_reaches(counts, need, EARLY)).where(F.col("n") >= max(2, EARLY * least)).limit(BOUND + 1).toLocalIterator():
+    for r in counts.where(_reaches(counts, need, EARLY)).where(F.col("n") >= max(2, EARLY * least)).limit(bound + 1).toLocalIterator():
         found[r.family].append(r.h)
         total += 1
-    return {k: np.sort(np.array(v, np.int64)) for k, v in found.items()} if total <= BOUND else None
+    return {k: np.sort(np.array(v, np.int64)) for k, v in found.items()} if total <= bound else None
 
 
 def _reaches(df: DataFrame, need: dict[str, float], part: float = 1.0):
@@ -198,7 +211,7 @@ class Templates:
         return [n for n, p in (*(some or ()), *self.last.get(words[-1], ()), *self.rest) if p.fullmatch(flat)]
 
 
-def standing_lines(records: DataFrame, stats: DataFrame, titles: DataFrame | None = None, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
+def standing_lines(records: DataFrame, stats: DataFrame, titles: DataFrame | None = None, least_docs: int = LEAST_DOCS, share: float = SHARE, bound: int = BOUND) -> DataFrame:
     """(chunk_id, line_no, document_id): every standing line of its family."""
     ensure_checkpoint_dir(records)
     texts = _texts(records, stats, titles)
@@ -208,45 +221,30 @@ def standing_lines(records: DataFrame, stats: DataFrame, titles: DataFrame | Non
     spark = records.sparkSession
     if not need:
         return spark.createDataFrame([], schema)
-    often = _repeated_chunks(texts, need)
+    often = _repeated_chunks(texts, need, bound)
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream = Stream({})
+        stream = Stream()
         for b in batches:
-            lines = [[_WORD.findall(x) for x in t.split("\n")] for t in _blank_titles(b)]
-            hit = None
-            if often is not None:
-                who, begin, h, _ = stream.chunks([[w for x in t for w in x] for t in lines])
-                good = np.zeros(len(h), bool)
-                fam = b.family.to_numpy()[who]
+            at, lines = _templates_of(b)
+            keep = np.ones(len(lines), bool)
+            if often is not None and len(lines):
+                who, h = stream.chunks(lines)
+                fam = b.family.to_numpy()[at[who]]
+                rare = np.ones(len(h), bool)
                 for f in set(b.family):
-                    good |= (fam == f) & np.isin(h, often.get(f, ()))
-                total = sum(len(x) for t in lines for x in t)
-                marked = np.zeros(total + 1, np.int64)
-                np.add.at(marked, begin[good], 1)
-                np.add.at(marked, np.append(begin[1:], total)[: len(good)][good], -1)
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(marked)[:total] > 0)])
-            rows, at = set(), 0
-            for t, text, doc, f, section in zip(lines, b.text, b.document_id, b.family, b.section):
-                heading = [w.lower() for w in _WORD.findall(section or "")]
-                plain = text.split("\n")
-                same = len(plain) == len(t)
-                for i, words in enumerate(t):
-                    n, at = at, at + len(words)
-                    if hit is not None and hit[at] == hit[n]:
-                        continue
-                    x = template(words)
-                    if x and not (same and (len(plain[i]) > 400 or _ROWISH.search(plain[i]) and _ROW.search(plain[i]))) and not (heading and [w.lower() for w in words] == heading):
-                        rows.add((f, doc, x))
+                    rare &= ~((fam == f) & np.isin(h, often.get(f, ())))
+                keep[who[rare]] = False
+            rows = {(b.family.iat[at[i]], b.document_id.iat[at[i]], lines[i]) for i in np.flatnonzero(keep)}
             yield frame(sorted(rows), ["family", "document_id", "template"])
 
     lines = texts.select("document_id", "family", "title", "section", "text").mapInPandas(candidates, "family string, document_id string, template string")
     counts = lines.groupBy("family", "template").agg(F.count_distinct("document_id").alias("n"))
     kept = counts.where(_reaches(counts, need, EARLY)).orderBy("family", "template").collect()  # at most (lines per document) / (EARLY * SHARE) a family
     out = None
-    for s in range(0, max(1, len(kept)), BOUND):
+    for s in range(0, max(1, len(kept)), bound):
         block: dict[str, list[tuple[int, str]]] = defaultdict(list)
-        for n, r in enumerate(kept[s : s + BOUND], s):
+        for n, r in enumerate(kept[s : s + bound], s):
             block[r.family].append((n, r.template))
         sent = spark.sparkContext.broadcast({f: rows for f, rows in block.items()})
 

@@ -284,6 +284,21 @@ def test_standing_lines(spark):
     assert ST.standing_lines(rec.limit(0), st, ti).count() == 0 and ST.standing_lines(rec, st.limit(0), ti).count() == 0
 
 
+def test_standing_lines_of_short_words_in_capitals(spark):
+    rnd = random.Random(12)
+    records, want = [], set()
+    for d in range(20):
+        lines = [sentence(12, rnd).capitalize() + "." for _ in range(3)]
+        lines[1:1] = ["DO NOT SEND CASH BY MAIL", sentence(9, rnd)]
+        lines.append("Pay to " + "".join(rnd.choice("BCDFG") + rnd.choice("aeiou") for _ in range(4)).capitalize() + " at the door")
+        want |= {(f"c{d}", 1), (f"c{d}", 5)}
+        records.append((f"c{d}", f"d{d}", None, "\n".join(lines)))
+    rec = spark.createDataFrame(records, "chunk_id string, document_id string, section string, text string").withColumn("content_type", F.lit("text"))
+    st = spark.createDataFrame([(f"d{d}", "fam", "r0", 1) for d in range(20)], "document_id string, family string, run_id string, created_at int")
+    for bound in ({}, {"bound": 1}):  # the filter by chunks, and without it
+        assert {(r.chunk_id, r.line_no) for r in ST.standing_lines(rec, st, **bound).collect()} == want
+
+
 # problem 3
 
 
