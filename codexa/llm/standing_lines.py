@@ -40,9 +40,11 @@ BOUND = 200_000
 MONTHS = "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec".split()
 _MONTHS = frozenset(MONTHS)
 _WORD = re.compile(r"[^\W_]+")
-_ROW = re.compile(r"\t|\||;.*;|_{4,}|\.{4,}|(?:\. ){4,}|\[ ?\]|[☐□]|\( {3,}\)|\s{3,}\S.*\s{3,}")
+_ROW = re.compile(r"\t|\||_{4,}|\.{4,}|(?:\. ){4,}|\[ ?\]|[☐□]|\( {3,}\)|\s{3,}\S.*\s{3,}")
 _ROWISH = re.compile(r"[\t|;_\[(☐□]|\.\.\.|\. \.|\s{3}")
 _SEP = "#"
+#: Of a row parted by semicolons, no cell has more words than this; prose has longer stretches.
+CELL_WORDS = 6
 
 
 def families(stats: DataFrame) -> DataFrame:
@@ -104,6 +106,13 @@ class Stream:
         return line_no[begin], np.add.reduceat(mixed, begin).view(np.int64)
 
 
+def _is_row(line: str) -> bool:
+    """Whether separators make up the line's shape, as in rows of tables and forms."""
+    if not _ROWISH.search(line):
+        return False
+    return bool(_ROW.search(line)) or line.count(";") > 1 and all(len(c.split()) <= CELL_WORDS for c in line.split(";"))
+
+
 def _templates_of(b: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
     """(row numbers, templates) of the lines of a batch that can stand."""
     rows, out = [], []
@@ -114,7 +123,7 @@ def _templates_of(b: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
         for i, line in enumerate(lines):
             words = _WORD.findall(line)
             x = template(words)
-            if x and not (same and (len(plain[i]) > 400 or _ROWISH.search(plain[i]) and _ROW.search(plain[i]))) and not (heading and [w.lower() for w in words] == heading):
+            if x and not (same and _is_row(plain[i])) and not (heading and [w.lower() for w in words] == heading):
                 rows.append(k)
                 out.append(x)
     return np.array(rows, np.int64), out
@@ -179,10 +188,30 @@ def template(words: list[str]) -> str | None:
     return " ".join(out) if fixed >= LEAST_LETTERS and len(out) > 1 else None
 
 
-def matcher(t: str) -> re.Pattern:
-    """Lines of the template, in normal form: lower-case words, one space between."""
-    parts = [r"(?:\S+ ){0,14}?\S+" if w == _SEP else re.escape(w) for w in t.split(" ")]
-    return re.compile(" ".join(parts))
+class Matcher:
+    """Lines of a template, in normal form: lower-case words, one space between. A blank holds one word or more.
+
+    Stretches between blanks are found from the left, each at its first place, which decides whether there is any
+    way to fill the blanks without trying all of them.
+    """
+
+    def __init__(self, t: str):
+        self.parts = [f" {x.strip()} " if x.strip() else "" for x in f" {t} ".split(f" {_SEP} ")]
+
+    def fits(self, line: str) -> bool:
+        s = f" {line} "
+        first, last = self.parts[0], self.parts[-1]
+        if len(self.parts) == 1:
+            return s == first
+        if not s.startswith(first):
+            return False
+        at = max(0, len(first) - 1)  # the space before the blank
+        for x in self.parts[1:-1]:
+            at = s.find(x, at + 1)
+            if at < 0:
+                return False
+            at += len(x) - 1
+        return s.endswith(last) and at < (len(s) - len(last) if last else len(s) - 1)
 
 
 class Templates:
@@ -193,7 +222,7 @@ class Templates:
         self.last: dict[str, list] = defaultdict(list)
         self.rest: list = []
         for n, t in rows:
-            w, m = t.split(" "), (n, matcher(t))
+            w, m = t.split(" "), (n, Matcher(t))
             (self.first[w[0]] if w[0] != _SEP else self.last[w[-1]] if w[-1] != _SEP else self.rest).append(m)
 
     def of(self, line: str) -> list[int]:
@@ -208,7 +237,7 @@ class Templates:
             return []
         words = _WORD.findall(line.lower())
         flat = " ".join(words)
-        return [n for n, p in (*(some or ()), *self.last.get(words[-1], ()), *self.rest) if p.fullmatch(flat)]
+        return [n for n, p in (*(some or ()), *self.last.get(words[-1], ()), *self.rest) if p.fits(flat)]
 
 
 def standing_lines(records: DataFrame, stats: DataFrame, titles: DataFrame | None = None, least_docs: int = LEAST_DOCS, share: float = SHARE, bound: int = BOUND) -> DataFrame:

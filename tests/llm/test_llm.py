@@ -299,6 +299,36 @@ def test_standing_lines_of_short_words_in_capitals(spark):
         assert {(r.chunk_id, r.line_no) for r in ST.standing_lines(rec, st, **bound).collect()} == want
 
 
+def test_long_standing_lines_and_semicolons_in_prose(spark):
+    rnd = random.Random(13)
+    notice = "this notice is given by the plan; " + sentence(70, rnd) + "; it holds for every member of the plan"
+    row = "sealant of a tooth;yes;once in a year"
+    records, stats, titles, want = [], [], [], set()
+    for d in range(20):
+        title = " ".join(rnd.sample(VOCAB, 18))
+        lines = [sentence(12, rnd).capitalize() + ".", notice, row, f"Download {title} as a printable sheet"]
+        want |= {(f"c{d}", 1), (f"c{d}", 3)}
+        records.append((f"c{d}", f"d{d}", None, "\n".join(lines)))
+        stats.append((f"d{d}", "fam", "r0", 1))
+        titles.append((f"d{d}", title))
+    rec = spark.createDataFrame(records, "chunk_id string, document_id string, section string, text string").withColumn("content_type", F.lit("text"))
+    st = spark.createDataFrame(stats, "document_id string, family string, run_id string, created_at int")
+    assert len(notice) > 400
+    assert {(r.chunk_id, r.line_no) for r in ST.standing_lines(rec, st, spark.createDataFrame(titles, "document string, title string")).collect()} == want
+
+
+@pytest.mark.parametrize(
+    ("template", "line", "fits"),
+    [
+        ("a # b", "a x b", True), ("a # b", "a b", False), ("a # b", "a x b c", False), ("a # b", "a " + "x " * 40 + "b", True), ("# a b", "x a b", True), ("# a b", "a b", False),
+        ("a b #", "a b x y", True), ("a b #", "a b", False), ("a b", "a b", True), ("a b", "a b c", False), ("a # b # c", "a b b x c", True), ("a # b # c", "a x b c", False),
+        ("# a #", "a a x", True), ("# a #", "a x", False), ("# a # a", "x a a", False), ("# a # a", "x a a a", True), ("a # a", "a", False),
+    ],
+)
+def test_blanks(template, line, fits):
+    assert ST.Matcher(template).fits(line) is fits
+
+
 # problem 3
 
 
