@@ -2,7 +2,9 @@
 
 Content-defined chunking: a rolling hash over a window of characters marks
 landmarks, each landmark snaps to the nearest boundary of the coarsest kind in
-reach, within a least and a greatest size. Cuts hang on nearby content only, so
+reach, within a least and a greatest size. A row is cut with the coarsest kind
+of boundary that can do it: where none of that kind is in reach, one below the
+least size is taken, or the overlap is shortened, before a finer kind. Cuts hang on nearby content only, so
 an edit alters the pieces next to it. Pieces of a row overlap by about
 ``overlap`` characters, taken from before the cut and begun at a word.
 
@@ -85,38 +87,82 @@ def _landmarks(text: str, window: int = 16, bits: int = 6) -> np.ndarray:
     return np.flatnonzero(h >> np.uint64(64 - bits) == 0) + window
 
 
-def split_text(text: str | None, most: int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(begin, end) of each piece, none longer than ``most``."""
-    if text is None or len(text) <= most:
-        return [(0, len(text or ""))]
-    cuts = boundaries(text)
-    ends = {k: [c[0] for c in v] for k, v in cuts.items()}
-    marks = _landmarks(text)
-    pieces, begin, core = [], 0, 0
-    last = len(text.rstrip())
+def _cut(text: str, cuts: dict, ends: dict, marks: np.ndarray, level: int, most: int, least: int, overlap: int) -> list[tuple[int, int]] | None:
+    """(begin, end) of each piece, cut at boundaries of the kind LEVELS[level] or coarser; None if those won't do."""
+    pieces, begin, core, last = [], 0, 0, len(text)
+    words = [c[1] for c in cuts["word"]]
+
+    def fitting(end: int) -> int:
+        """The piece's begin, moved up to a word where the overlap would make the piece too long."""
+        if end - begin <= most:
+            return begin
+        w = bisect_left(words, end - most)
+        return min(core, words[w]) if w < len(words) else core
+
+    own = LEVELS[min(level, 2)]
     while last - begin > most:
         # the piece holds the overlap from begin to core, then new text
         lo, hi = max(core + 1, begin + least), begin + most
         in_reach = marks[np.searchsorted(marks, lo) : np.searchsorted(marks, hi, "right")]
         target = int(in_reach[np.abs(in_reach - (lo + hi) // 2).argmin()]) if len(in_reach) else hi
-        end, nxt = hi, hi
-        for level in LEVELS[:3]:
-            e = ends[level]
+        at = None
+        for kind in LEVELS[: min(level, 2) + 1]:
+            e = ends[kind]
             i, j = bisect_left(e, lo), bisect_right(e, hi)
             if i < j:
                 k = min(range(i, j), key=lambda x: (abs(e[x] - target), -e[x]))
-                end, nxt = cuts[level][k]
+                at = cuts[kind][k]
                 break
-        pieces.append((begin, end))
+        if at is None:
+            e = ends[own]
+            i, j = bisect_left(e, lo), bisect_right(e, core + most)
+            if i and e[i - 1] > core:
+                at = cuts[own][i - 1]
+            elif last - core <= most:
+                break
+            elif i < j:
+                at = cuts[own][i]
+            elif own == LEVELS[level]:
+                return None
+            else:
+                at = hi, hi
+        end, nxt = at
+        pieces.append((fitting(end), end))
         core = nxt
         begin = max(begin + 1, end - overlap)
         w = bisect_left(ends["word"], begin)
         if begin > 0 and not text[begin - 1].isspace() and w < len(cuts["word"]) and cuts["word"][w][1] < end:
             begin = cuts["word"][w][1]
-    pieces.append((begin, last))
+        if core - begin >= least:  # a long blank is no overlap
+            begin = core
+    pieces.append((fitting(last), last))
     return pieces
 
 
+def cut_text(text: str | None, most: int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> tuple[str | None, list[tuple[int, int]]]:
+    """The coarsest kind of boundary that the text can be cut at, and (begin, end) of each piece, none longer than ``most``."""
+    if text is None or len(text) <= most:
+        return None, [(0, len(text or ""))]
+    body = text.strip()
+    lead = len(text) - len(text.lstrip())
+    if not body:
+        return LEVELS[0], [(0, 0)]
+    cuts = boundaries(body)
+    ends = {k: [c[0] for c in v] for k, v in cuts.items()}
+    marks = _landmarks(body)
+    for level, kind in enumerate(LEVELS):
+        spans = _cut(body, cuts, ends, marks, level, most, least, overlap)
+        if spans is not None:
+            break
+    spans = [(b + lead, e + lead) for b, e in spans]
+    return kind, [(max(0, spans[0][1] - most), spans[0][1]), *spans[1:]]
+
+
+def split_text(text: str | None, most: int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """(begin, end) of each piece, none longer than ``most``."""
+    return cut_text(text, most, least, overlap)[1]
+
+
 def split_oversized(chunks: DataFrame, most: int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> DataFrame:
     """(id, document_id, chunk_index, piece, page_number, content): all rows, the long ones in pieces.
 

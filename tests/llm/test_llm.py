@@ -120,6 +120,37 @@ def test_pieces():
     assert len(cut & again) >= 0.6 * len(cut)
 
 
+def test_pieces_at_boundaries_below_the_least_size():
+    prose = "some words of prose " * 30
+    for first, second in ((450, 1000), (450, 1380)):
+        text = prose[: first - 1] + "x " + "q" * second
+        assert [e for _, e in SP.split_text(text)] == [first, len(text)]
+    for second in (1200, 1390):
+        text = "A" + prose[:448] + "." + "\n\n" + ("More words of prose. " * 80)[: second - 1] + "."
+        spans = SP.split_text(text)
+        assert [e for _, e in spans] == [450, len(text)] and all(e - b <= SP.MOST for b, e in spans)
+
+
+def test_pieces_are_cut_at_the_coarsest_boundary_that_will_do():
+    rnd = random.Random(14)
+    seen = set()
+    for _ in range(1500):
+        mean = rnd.choice([100, 400, 900])
+        parts = [(sentence(200, rnd) if rnd.random() < 0.7 else "q" * 1600)[: int(rnd.expovariate(1 / mean)) + 1].strip() + rnd.choice([".", ".", ""]) for _ in range(rnd.choice([4, 8, 15]))]
+        text = rnd.choice(["", "  ", "\n\n"]) + "".join(p + rnd.choice(["\n\n", " ", " ", "\n", " " * 700] if rnd.random() < 0.2 else ["\n\n", " "]) for p in parts)
+        kind, spans = SP.cut_text(text)
+        if kind is None:
+            continue
+        seen.add(kind)
+        assert kind == SP.coarsest_cut(text)
+        covered = 0
+        for b, e in spans:
+            assert 0 <= b < e and e - b <= SP.MOST and not text[min(covered, b) : b][covered - min(covered, b) :].strip() and e > covered
+            covered = e
+        assert not text[covered:].strip()
+    assert seen == set(SP.LEVELS)
+
+
 def test_split_table(spark):
     rows = [(3, "d", 7, 2, "Words end. " * 300), (1, "d", 0, None, None), (2, "d", 5, 1, "short"), (4, None, None, None, ""), (5, "d", 7000, 3, "late")]
     df = spark.createDataFrame(rows, "id long, document_id string, chunk_index int, page_number int, content string").withColumn("piece", F.lit("clash")).withColumn("n", F.lit(1))
