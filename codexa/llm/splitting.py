@@ -163,27 +163,33 @@ def split_text(text: str | None, most: int = MOST, least: int = LEAST, overlap:
     return cut_text(text, most, least, overlap)[1]
 
 
-def split_oversized(chunks: DataFrame, most: int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> DataFrame:
-    """(id, document_id, chunk_index, piece, page_number, content): all rows, the long ones in pieces.
-
-    ``chunk_index`` is counted anew from 0 within the document, in the order of the old index, id and piece.
-    """
-    cols = [F.col(c) for c in ("id", "document_id", "chunk_index", "page_number", "content")]
-    src = chunks.select(*cols)
-    schema = "id bigint, document_id string, old_index int, page_number int, piece int, content string"
+def _pieces(rows: DataFrame, most: int, least: int, overlap: int) -> DataFrame:
+    """(id, document_id, old_index, page_number, piece, content, cut) of rows longer than ``most``; ``cut`` is the kind of boundary the row was cut at."""
+    schema = "id bigint, document_id string, old_index int, page_number int, piece int, content string, cut string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            split = [cut_text(c, most, least, overlap) for c in b.content]
             rows = [
-                (i, d, x, p, n, c[s:e])
-                for i, d, x, p, c in zip(b.id, b.document_id, b.chunk_index, b.page_number, b.content)
-                for n, (s, e) in enumerate(split_text(c, most, least, overlap))
+                (i, d, x, p, n, c[s:e], kind)
+                for i, d, x, p, c, (kind, spans) in zip(b.id, b.document_id, b.chunk_index, b.page_number, b.content, split)
+                for n, (s, e) in enumerate(spans)
             ]
-            out = frame(rows, ["id", "document_id", "old_index", "page_number", "piece", "content"])
+            out = frame(rows, ["id", "document_id", "old_index", "page_number", "piece", "content", "cut"])
             yield out.astype({"id": "Int64", "old_index": "Int64", "page_number": "Int64", "piece": "int32"})
 
+    return rows.where(F.length("content") > most).mapInPandas(run, schema)
+
+
+def split_oversized(chunks: DataFrame, most: int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> DataFrame:
+    """(id, document_id, chunk_index, piece, page_number, content): all rows, the long ones in pieces.
+
+    ``chunk_index`` is counted anew from 0 within the document, in the order of the old index, id and piece.
+    """
+    cols = [F.col(c) for c in ("id", "document_id", "chunk_index", "page_number", "content")]
+    src = chunks.select(*cols)
     long = F.coalesce(F.length("content") > most, F.lit(False))
-    pieces = src.where(long).mapInPandas(run, schema)
+    pieces = _pieces(src, most, least, overlap).drop("cut")
     rest = src.where(~long).select("id", "document_id", F.col("chunk_index").alias("old_index"), "page_number", F.lit(0).alias("piece"), "content")
     rows = rest.unionByName(pieces).withColumn("part", F.floor(F.coalesce("old_index", F.lit(-1)) / INDEX_RANGE).cast("int"))
     # numbering in two steps: the ranges' sizes are added up per document, then rows are counted within a range
@@ -198,15 +204,10 @@ def split_oversized(chunks: DataFrame, most: int = MOST, least: int = LEAST, ove
     return out.select("id", "document_id", (F.col("base") + F.col("r")).cast("int").alias("chunk_index"), "piece", "page_number", "content")
 
 
-def found_cuts(chunks: DataFrame, most: int = MOST) -> DataFrame:
-    """(id, cut) of every row longer than ``most`` characters."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b.id, "cut": [coarsest_cut(c, most) for c in b.content]})
-
-    rows = chunks.where((F.length("content") > most) & F.col("id").isNotNull()).select("id", "content")
-    return rows.mapInPandas(run, "id bigint, cut string").distinct()
+def found_cuts(chunks: DataFrame, most: int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> DataFrame:
+    """(id, cut) of every row longer than ``most`` characters: the kind of boundary that its pieces are cut at."""
+    rows = chunks.where(F.col("id").isNotNull()).select("id", "document_id", "chunk_index", "page_number", "content")
+    return _pieces(rows, most, least, overlap).select("id", "cut").distinct()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

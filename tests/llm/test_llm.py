@@ -162,6 +162,16 @@ def test_split_table(spark):
     assert SP.split_oversized(df.limit(0)).count() == 0
 
 
+def test_found_cuts_come_from_the_pieces(spark):
+    # the plan runs the operator that makes the pieces, not a scan of the boundaries
+    text = "\n\n".join(["one two three " * 30] * 5).strip()
+    df = spark.createDataFrame([(1, "d", 0, None, text), (1, "d", 0, None, text), (None, "d", 1, None, text), (2, "d", 2, 4, "x" * 1401)], "id long, document_id string, chunk_index int, page_number int, content string")
+    plan = SP.found_cuts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "piece" in plan and "page_number" in plan
+    assert {tuple(r) for r in SP.found_cuts(df).collect()} == {(1, "paragraph"), (2, "forced")}
+    assert SP.split_oversized(df).where("id = 2").count() == 2
+
+
 # problem 2
 
 
