@@ -74,15 +74,22 @@ class Bigrams:
         for k, n in self.counts.items():
             self.first[k[0]] += n
 
+    @staticmethod
+    def tally(words: Iterable[tuple[str, int]]) -> Counter[str]:
+        """Bigrams of (word, count) as far as the words lie in one script each."""
+        c: Counter[str] = Counter()
+        for w, n in words:
+            kinds = {script(x) for x in w}
+            if len(kinds) == 1 and kinds != {"O"}:  # scripts without look-alikes never are in a path
+                w = f"^{w.lower()}$"
+                for i in range(len(w) - 1):
+                    c[w[i : i + 2]] += n
+        return c
+
     @classmethod
     def fit(cls, words: Iterable[str]) -> Bigrams:
         """Counts from words that lie in one script each."""
-        c: Counter[str] = Counter()
-        for w in words:
-            if len({script(x) for x in w}) == 1:
-                w = f"^{w.lower()}$"
-                c.update(w[i : i + 2] for i in range(len(w) - 1))
-        return cls(c)
+        return cls(cls.tally((w, 1) for w in words))
 
     def score(self, a: str, b: str) -> float:
         a, b = a.lower(), b.lower()
@@ -190,12 +197,24 @@ def consistent(text: str | None, model: Bigrams | None = None) -> tuple[str | No
     return text, [x for x in FORMS if x in found]
 
 
-def fit_model(texts: DataFrame, column: str = "text", fit_rows: int = 2000) -> Bigrams:
-    """Bigrams from at most ``fit_rows`` texts; only which path wins in a mixed word depends on them."""
-    counts: Counter[str] = Counter()
-    for r in texts.select(F.substring(column, 1, 2000).alias("t")).where(F.col("t").isNotNull()).limit(fit_rows).toLocalIterator():
-        counts.update(w.lower() for w in _WORD.findall(r.t))
-    return Bigrams.fit(w for w, n in counts.items() for _ in range(min(n, 50)))
+def fit_model(texts: DataFrame, column: str = "text") -> Bigrams:
+    """Bigrams of all words of all texts that lie in one script each; only which path wins in a mixed word depends on them."""
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: Counter[str] = Counter()
+        total: Counter[str] = Counter()
+        for b in batches:
+            for t in b.t:
+                words.update(_WORD.findall(t.lower()))
+            if len(words) > 500_000:
+                total.update(Bigrams.tally(words.items()))
+                words.clear()
+        total.update(Bigrams.tally(words.items()))
+        yield frame(total.items(), ["pair", "n"])
+
+    rows = texts.select(F.col(column).alias("t")).where(F.col("t").isNotNull())
+    counts = rows.mapInPandas(go, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return Bigrams({r.pair: r.n for r in counts.collect()})  # as many as there are pairs of letters within a script
 
 
 def _beyond_ascii(column: str) -> Column:

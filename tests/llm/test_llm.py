@@ -62,6 +62,15 @@ def test_consistent_table(spark):
     assert CO.found_forms(df.limit(0)).count() == 0
 
 
+def test_bigrams_are_counted_over_all_texts(spark):
+    rows = [(i, "plain english words about a plan of care") for i in range(2500)] + [(9000, "x " * 2000 + "ресурс ресурсы"), (9001, "ресурсами"), (9002, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    model = CO.fit_model(df)
+    assert model.counts["ур"] == 3 and model.counts["pl"] == 5000 and model.counts["^w"] == 2500
+    other = CO.fit_model(df.orderBy(F.desc("doc_id")).repartition(3))
+    assert model.counts == other.counts and CO.fit_model(df.limit(0)).counts == {}
+
+
 # problem 8
 
 
