@@ -278,11 +278,8 @@ def _(spark, d):
 
 @query("ded3_4_minhash_bands")
 def _(spark, d):
-    """Candidate pairs by bands of two of 64 minima; hot bands are left to the exact operator."""
-    s = _docs(spark, d).select("doc_id", F.explode(X.let(X.tokens_alnum("text"), lambda t: Q.shingles(t, 5))).alias("s"))
-    m = Q.minhash(s, "doc_id", "s")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.xxhash64(i, F.get("m", 2 * i), F.get("m", 2 * i + 1)))).alias("band")
-    return m.select("doc_id", band).groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    """Candidate pairs by 64 bands of two of 128 minima; hot bands are left to the exact operator."""
+    return Q.candidate_pairs(_docs(spark, d), "doc_id", "text")
 
 
 _NUM = r"list_distinct(list_transform(regexp_extract_all(lower(text), '\$[0-9][0-9,]*(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?%|\b[0-9]+[a-z]\b'), lambda x: replace(x, ',', '')))"

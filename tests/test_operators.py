@@ -132,6 +132,20 @@ def test_similar_pairs_by_brute_force(spark):
     assert {(r.a, r.b) for r in Q.similar_pairs(df, "id", "t").collect()} == want and want
 
 
+def test_candidate_pairs_hold_the_near_pairs(spark):
+    from codexa.plans import registry
+
+    q = registry.queries()
+    got = [tuple(r) for r in q["ded3_4_minhash_bands"](spark, "/root/testdata/sf0.001").select("a", "b").collect()]
+    near = {(r.a, r.b) for r in q["ded5_6_similar_pairs"](spark, "/root/testdata/sf0.001").where("kind = 'near'").collect()}
+    assert near <= set(got) and len(set(got)) == len(got) and all(a < b for a, b in got)
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(60)) + f" end{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    want = {(i, i + 1) for i in range(0, 12, 2)}
+    for hot in (500, 1):  # bands, and the exact way for hot ones
+        assert {(r.a, r.b) for r in Q.candidate_pairs(df, "id", "t", hot=hot).collect()} == want
+
+
 def test_as_of_and_ranges(spark):
     a = spark.createDataFrame([("k", 5, 1), ("k", 1, 2), ("z", 9, 3)], "k string, t int, id int")
     b = spark.createDataFrame([("k", 2, "x"), ("k", 5, "y")], "k string, t int, v string")
