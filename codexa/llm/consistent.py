@@ -1,13 +1,19 @@
 """Problem 9: one consistent form for text whose characters only look alike.
 
 Order of the steps: characters without width go, other spaces become plain
-ones, full-width forms become plain, separate accents are composed, and last
-each word that mixes scripts is read through a lattice of look-alike letters.
-The lattice search is Viterbi over character bigrams with a price for every
-change of script, so a word comes out in the one script that explains it best.
+ones, full-width and other compatibility forms (ligatures, letters in circles
+or of mathematical alphabets, half-width kana, Roman numerals of one
+character) become plain, separate accents are composed, and last each word
+that holds look-alike letters is read through a lattice of them. The lattice
+search is Viterbi over character bigrams with a price for every change of
+script, inside the word and against the words around it, so a word comes out
+in the one script that explains it best.
 
 Defined results: null text stays null and has no forms; empty text stays
 empty; text that rightly is in another script is returned unchanged.
+Superscripts, subscripts, fractions and typographic signs keep their form, as
+their plain one means something else. Compatibility forms other than
+full-width ones change the text but aren't among the forms reported.
 """
 
 from __future__ import annotations
@@ -31,6 +37,9 @@ LOOK_ALIKE = {
     "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ο": "o", "α": "a", "ν": "v", "ι": "i", "ρ": "p", "υ": "u", "κ": "k",
+    "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ϲ": "C", "ϲ": "c", "Ϳ": "J", "ϳ": "j",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮓ": "Z", "Ꮢ": "R", "Ꮩ": "V",
+    "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
     "հ": "h", "ո": "n", "ս": "u", "օ": "o", "ց": "g", "զ": "q", "յ": "j", "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L",
 }
 ZERO_WIDTH = "­͏᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
@@ -47,8 +56,26 @@ _MARKS = re.compile("[^\\W\\d_][̀-ͯ]+")
 _IS_CJK, _IS_JOINING, _IS_EMOJI = (re.compile(f"[{x}]") for x in (CJK, JOINING, EMOJI))
 _FOREIGN = re.compile(f"[{''.join(LOOK_ALIKE)}]")
 _WORD = re.compile("[^\\W\\d_]+")
+#: Kinds of compatibility forms that have a plain form of the same meaning, and ranges that are text of their own script.
+PLAIN_KINDS = ("<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<circle>", "<narrow>", "<square>", "<compat>")
+_OWN = ((0x0E00, 0x0FFF), (0x2E80, 0x2FDF), (0x3130, 0x318F), (0xFF01, 0xFF5E), (0xFFA0, 0xFFDC))
+
+
+def _compatibility() -> str:
+    """The characters of those kinds whose plain form holds letters or digits, by the Unicode database."""
+    out = []
+    for o in (*range(0xA0, 0x10000), *range(0x1D400, 0x1D800), *range(0x1EE00, 0x1EF00), *range(0x1F100, 0x1F150)):
+        kind = unicodedata.decomposition(chr(o)).partition(" ")[0]
+        if kind in PLAIN_KINDS and not any(a <= o <= b for a, b in _OWN):
+            if kind == "<narrow>" or any(map(str.isalnum, unicodedata.normalize("NFKC", chr(o)))):
+                out.append(chr(o))
+    return "".join(out)
+
+
+_COMPATIBLE = _compatibility()
+_COMPAT = re.compile(f"[{re.escape(_COMPATIBLE)}]+(?!\ufe0f)")
 #: What text must hold before any of the steps can change it.
-SUSPECT = f"[{ZERO_WIDTH}{SPACES}！-～￠￡￥̀-ͯ{''.join(LOOK_ALIKE)}]"
+SUSPECT = f"[{ZERO_WIDTH}{SPACES}！-～￠￡￥̀-ͯ{''.join(LOOK_ALIKE)}{re.escape(_COMPATIBLE)}]"
 _SUSPECT = re.compile(SUSPECT)
 _WIDE_MAP = {0xFF01 + i: 0x21 + i for i in range(94)} | {0xFFE0: 0xA2, 0xFFE1: 0xA3, 0xFFE5: 0xA5}
 
@@ -62,11 +89,13 @@ def script(ch: str) -> str:
         return "G"
     if 0x400 <= o < 0x530:
         return "C"
+    if 0x13A0 <= o < 0x1400 or 0xAB70 <= o < 0xABC0:
+        return "H"
     return "A" if 0x530 <= o < 0x590 else "O"
 
 
 class Bigrams:
-    """Character bigrams of each script, with add-one smoothing."""
+    """Character bigrams of each script, mixed with an even chance for every letter, so that scores don't hang on the corpus size."""
 
     def __init__(self, counts: dict[str, int] | None = None):
         self.counts = dict(counts or {})
@@ -93,20 +122,21 @@ class Bigrams:
 
     def score(self, a: str, b: str) -> float:
         a, b = a.lower(), b.lower()
-        return math.log((self.counts.get(a + b, 0) + 0.5) / (self.first.get(a, 0) + 30))
+        n = self.first.get(a, 0)
+        return math.log(0.9 * self.counts.get(a + b, 0) / n + 0.1 / 30) if n else math.log(1 / 30)
 
-    #: Price of a change of script inside one word, and of giving up a letter for its look-alike.
-    SWITCH, REPLACE = 12.0, 1.0
+    #: Price of a change of script inside one word, of one against the words on either side, and of giving up a letter for its look-alike.
+    SWITCH, APART, REPLACE = 12.0, 24.0, 1.0
 
-    def read(self, word: str) -> tuple[str, float]:
-        """The cheapest path through the word's look-alike lattice."""
+    def read(self, word: str, around: str | None = None) -> tuple[str, float]:
+        """The cheapest path through the word's look-alike lattice; ``around`` is the script of the words about it."""
         paths: dict[str, tuple[float, str]] = {}
         for i, ch in enumerate(word):
             nxt: dict[str, tuple[float, str]] = {}
             for alt in {ch, LOOK_ALIKE.get(ch, ch)}:
                 cost = self.REPLACE * (alt != ch)
                 if i == 0:
-                    nxt[alt] = (self.score("^", alt) - cost, alt)
+                    nxt[alt] = (self.score("^", alt) - cost - self.APART * (around is not None and script(alt) != around), alt)
                 else:
                     nxt[alt] = max((s + self.score(p[-1], alt) - cost - self.SWITCH * (script(p[-1]) != script(alt)), p + alt) for s, p in paths.values())
             paths = nxt
@@ -140,10 +170,12 @@ def _plain_letters(text: str, model: Bigrams) -> tuple[str, bool]:
             new, _ = model.read(w)
             if len({script(x) for x in new}) > 1:  # no path in one script: single symbols such as a Greek letter stay
                 continue
-        elif len(kinds) == 1 and all(x in LOOK_ALIKE for x in w) and _context(words, i) == "L":
+        elif len(kinds) == 1 and all(x in LOOK_ALIKE for x in w):
             if len(w) == 1 and (kinds == {"G"} or not w.islower() and not w.isupper()):
                 continue
-            new = "".join(LOOK_ALIKE[x] for x in w)
+            new, _ = model.read(w, _context(words, i))
+            if {script(x) for x in new} != {"L"}:
+                continue
         else:
             continue
         if new != w:
@@ -183,6 +215,7 @@ def consistent(text: str | None, model: Bigrams | None = None) -> tuple[str | No
         return ch.translate(_WIDE_MAP)
 
     text = _WIDE.sub(wide, text)
+    text = _COMPAT.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
 
     def marks(m: re.Match) -> str:
         new = unicodedata.normalize("NFC", m.group())

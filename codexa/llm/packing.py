@@ -37,13 +37,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class Counter:
-    """Token counts of texts."""
+    """Token counts of texts, by the lines of a rank file."""
 
-    def __init__(self, path: str):
+    def __init__(self, lines: bytes):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         self.encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def count(self, text: str | None) -> int:
@@ -109,13 +108,15 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str =
     """(doc_id, part, container, place, first_token, tokens).
 
     ``part`` counts the parts of a split document from 0, ``first_token`` is where the part begins in the
-    document, ``place`` where it begins in its container.
+    document, ``place`` where it begins in its container. The rank file is read on the driver and sent along.
     """
+    with open(tokenizer, "rb") as f:
+        ranks = documents.sparkSession.sparkContext.broadcast(f.read())
     groups = max(1, -(-documents.count() // group_rows))
     schema = "doc_id bigint, part int, first_token bigint, tokens int, grp bigint"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter(tokenizer)
+        counter = Counter(ranks.value)
         for b in batches:
             rows = []
             for d, g, t in zip(b.doc_id, b.grp, b.text):

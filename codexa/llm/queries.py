@@ -25,6 +25,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q: getattr(importlib.import_module(f"codexa.llm.{m}"), q) for m, qs in MODULES.items() for q in qs}
 
 
+#: Where SQL says a problem's cases over whole tables without the operator's method.
+SQL = {
+    "p2_found": r"""
+        WITH texts AS (
+            SELECT 'content' AS field, CAST(id AS VARCHAR) AS key, content AS t FROM rag_chunks WHERE id IS NOT NULL AND content IS NOT NULL
+            UNION SELECT 'contextualized_text', chunk_id, contextualized_text FROM chunk_records WHERE chunk_id IS NOT NULL AND contextualized_text IS NOT NULL),
+        words AS (SELECT field, key, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM texts),
+        runs AS (SELECT field, key, list_distinct([concat_ws(' ', w[i], w[i + 1], w[i + 2]) for i in range(1, len(w) - 1)]) AS r FROM words WHERE len(w) >= 40),
+        flat AS (SELECT field, key, len(r) AS n, unnest(r) AS run FROM runs),
+        hits AS (
+            SELECT a.field, a.key AS key_a, b.key AS key_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS same
+            FROM flat a JOIN flat b ON a.field = b.field AND a.run = b.run AND a.key < b.key AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n GROUP BY ALL)
+        SELECT field, key_a, key_b FROM hits WHERE same >= 0.6 * (na + nb - same)""",
+    "p5_found": """
+        WITH v AS (
+            SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM rag_chunks
+            WHERE id IS NOT NULL AND len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64 AND len([x for x in embedding if x <> 0]) > 0)
+        SELECT a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.9""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can say over whole tables; the rest is tested against brute force in tests/llm."""
-    return {}
+    return dict(SQL)

@@ -1,8 +1,10 @@
 """Problem 4: pieces under a size limit, cut at natural boundaries.
 
 Content-defined chunking: a rolling hash over a window of characters marks
-landmarks, each landmark snaps to the nearest boundary of the coarsest kind in
-reach, within a least and a greatest size. A row is cut with the coarsest kind
+landmarks; of those between a least and a greatest size the one with the
+greatest hash is taken, and snaps to the nearest boundary of the coarsest kind
+in reach. Windows that overlap mostly share that landmark, so cuts fall back
+into step soon after an edit. A row is cut with the coarsest kind
 of boundary that can do it: where none of that kind is in reach, one below the
 least size is taken, or the overlap is shortened, before a finer kind. Cuts hang on nearby content only, so
 an edit alters the pieces next to it. Pieces of a row overlap by about
@@ -74,20 +76,21 @@ def coarsest_cut(text: str, most: int = MOST) -> str:
     return "forced"
 
 
-def _landmarks(text: str, window: int = 16, bits: int = 6) -> np.ndarray:
-    """Positions whose rolling hash over the last ``window`` characters ends in ``bits`` zero bits."""
+def _landmarks(text: str, window: int = 16, bits: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose rolling hash over the last ``window`` characters begins with ``bits`` zero bits, and those hashes."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     if len(codes) < window:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     h, base = np.zeros(len(codes) - window + 1, np.uint64), np.uint64(0x100000001B3)
     for j in range(window):  # polynomial hash of all windows at once, modulo 2**64
         h = h * base + codes[j : len(codes) - window + 1 + j]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    return np.flatnonzero(h >> np.uint64(64 - bits) == 0) + window
+    at = np.flatnonzero(h >> np.uint64(64 - bits) == 0)
+    return at + window, h[at]
 
 
-def _cut(text: str, cuts: dict, ends: dict, marks: np.ndarray, level: int, most: int, least: int, overlap: int) -> list[tuple[int, int]] | None:
+def _cut(text: str, cuts: dict, ends: dict, marks: tuple[np.ndarray, np.ndarray], level: int, most: int, least: int, overlap: int) -> list[tuple[int, int]] | None:
     """(begin, end) of each piece, cut at boundaries of the kind LEVELS[level] or coarser; None if those won't do."""
     pieces, begin, core, last = [], 0, 0, len(text)
     words = [c[1] for c in cuts["word"]]
@@ -103,8 +106,8 @@ def _cut(text: str, cuts: dict, ends: dict, marks: np.ndarray, level: int, most:
     while last - begin > most:
         # the piece holds the overlap from begin to core, then new text
         lo, hi = max(core + 1, begin + least), begin + most
-        in_reach = marks[np.searchsorted(marks, lo) : np.searchsorted(marks, hi, "right")]
-        target = int(in_reach[np.abs(in_reach - (lo + hi) // 2).argmin()]) if len(in_reach) else hi
+        first, end = np.searchsorted(marks[0], (lo, hi + 1))
+        target = int(marks[0][first + marks[1][first:end].argmax()]) if first < end else hi
         at = None
         for kind in LEVELS[: min(level, 2) + 1]:
             e = ends[kind]
