@@ -9,10 +9,14 @@ neighbour at distance d is unlikely to lie beyond. The planes between two
 neighbours cut their displacement at a uniform place, so a third of its square
 is expected between a vector and the plane: that is the test's scale.
 
-The upper levels of the tree are shards, fitted on a bounded sample
-(``fit_rows``); each shard's own tree is built where it is searched, over all
+The upper levels of the tree are shards. They are fitted seven levels at a
+time: the first on a sample of ``fit_rows`` vectors, the next within each
+shard so far on a sample of about as many of its own vectors, in parallel, so
+that shards stay alike in size however many there are and only the cuts come
+to the driver. Each shard's own tree is built where it is searched, over all
 of its vectors. A vector travels to the shards that the test can't rule out.
-Exact copies are one vector with a count, so a hot group is one row.
+Exact copies are one vector, so a hot group is one row; ``copies`` says which
+ids a vector stands for.
 
 Defined results: vectors that are null, of another length, not finite or all
 zero take no part. Ties in similarity go to the smaller id.
@@ -30,7 +34,11 @@ from pyspark.sql import functions as F
 
 from codexa.functions.frames import frame
 
-DIM, SHARD_ROWS, LEAF_ROWS, FIT_ROWS = 64, 16_384, 48, 8_000
+DIM, SHARD_ROWS, LEAF_ROWS, FIT_ROWS = 64, 32_768, 48, 8_000
+#: Levels of the tree fitted on one sample, so that each of its leaves has about 60 sampled vectors.
+STEP = 7
+#: Projections there are: a tree of as many levels would hold 2**96 leaves.
+MOST_LEVELS = 96
 #: Copies of one vector that are paired with one another; of a larger group each copy is paired with the first.
 EXPAND = 100
 
@@ -50,7 +58,7 @@ def reach(d2: np.ndarray | float, depth: int, p: float) -> np.ndarray | float:
 
 
 def projections(levels: int, dim: int = DIM) -> np.ndarray:
-    return np.random.default_rng(20240501).standard_normal((96, dim))[:levels].T.astype(np.float32)
+    return np.random.default_rng(20240501).standard_normal((MOST_LEVELS, dim))[:levels].T.astype(np.float32)
 
 
 class Tree:
@@ -69,6 +77,17 @@ class Tree:
                 self.cut[base + k] = v[order[(s + e) // 2]] if e > s else 0
             node = 2 * node + 1 + (v >= self.cut[node])
 
+    def extend(self, step: int, cuts: dict[int, np.ndarray]) -> None:
+        """Adds the levels of the trees that were fitted within the leaves."""
+        depth = self.depth + step
+        cut = np.zeros((1 << depth) - 1, np.float32)
+        cut[: len(self.cut)] = self.cut
+        for leaf, sub in cuts.items():
+            for level in range(step):
+                wide, base = 1 << level, (1 << self.depth + level) - 1
+                cut[base + leaf * wide : base + (leaf + 1) * wide] = sub[wide - 1 : 2 * wide - 1]
+        self.depth, self.cut = depth, cut
+
     def home(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), np.int64)
         for level in range(self.depth):
@@ -97,16 +116,47 @@ def usable(column: str = "embedding", dim: int = DIM) -> Column:
 
 def _unit(s: pd.Series) -> np.ndarray:
     x = np.array(s.tolist(), dtype=np.float64).reshape(len(s), -1)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32) if len(x) else np.zeros((0, DIM), np.float32)
+
+
+def _bytes(x: np.ndarray) -> pd.Series:
+    """Vectors as they travel: four bytes a number."""
+    return pd.Series([r.tobytes() for r in np.ascontiguousarray(x, np.float32)], dtype=object)
+
+
+def _vectors(s: pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(s), np.float32).reshape(len(s), dim)
 
 
 def _shards(vectors: DataFrame, n: int, shard_rows: int, fit_rows: int, dim: int) -> Tree:
+    """The tree over shards of about ``shard_rows`` of the ``n`` vectors (id, embedding)."""
     depth = max(0, math.ceil(math.log2(max(1, n) / shard_rows))) if n else 0
-    # a share by hash first, so that what tasks send to the driver stays about two samples however many tasks there are
-    share = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(2e6 * fit_rows / n)) if depth else vectors
-    sample = [r.embedding for r in share.select("embedding").orderBy(F.xxhash64("id")).limit(fit_rows).collect()] if depth else []
-    x = _unit(pd.Series(sample)) @ projections(depth, dim) if sample else np.zeros((0, depth), np.float32)
-    return Tree(x, depth if sample else 0)
+    place = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40))
+
+    def share(rows: float) -> DataFrame:
+        return vectors.where(place < math.ceil(min(1.0, rows / n) * (1 << 40)))
+
+    # twice the sample by hash first, so that what tasks send to the driver stays about that, however many tasks there are
+    sample = [r.embedding for r in share(2 * fit_rows).select("embedding", place.alias("h")).orderBy("h").limit(fit_rows).collect()] if depth else []
+    first = min(depth, STEP) if sample else 0
+    tree = Tree(_unit(pd.Series(sample)) @ projections(first, dim) if first else np.zeros((0, 0), np.float32), first)
+    while sample and tree.depth < depth:
+        step, at = min(STEP, depth - tree.depth), tree.depth
+        sent = vectors.sparkSession.sparkContext.broadcast(tree)
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                proj = _unit(b.embedding) @ projections(at + step, dim)
+                yield pd.DataFrame({"leaf": sent.value.home(proj), "v": _bytes(proj[:, at:])})
+
+        def fit(b: pd.DataFrame) -> pd.DataFrame:
+            sub = Tree(_vectors(b.v, step), step)
+            return pd.DataFrame({"leaf": b.leaf.iloc[:1].to_numpy(), "cut": _bytes(sub.cut[None, :])})
+
+        rows = share(float(fit_rows) * (1 << at)).select("embedding").mapInPandas(route, "leaf bigint, v binary")
+        cuts = rows.groupBy("leaf").applyInPandas(fit, "leaf bigint, cut binary").collect()  # one number a shard
+        tree.extend(step, {r.leaf: np.frombuffer(r.cut, np.float32) for r in cuts})
+    return tree
 
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,24 +175,28 @@ def _local(data: np.ndarray, first: int, leaf_rows: int) -> tuple[Tree, np.ndarr
 
 
 def distinct_vectors(chunks: DataFrame, dim: int = DIM) -> DataFrame:
-    """(id, embedding, ids): usable vectors, copies under their smallest id, other copies' ids in ``ids``."""
+    """(id, embedding): usable vectors, copies under their smallest id."""
     src = chunks.where(F.col("id").isNotNull() & usable(dim=dim)).select("id", "embedding")
-    return src.groupBy("embedding").agg(F.min("id").alias("id"), F.count_distinct("id").alias("copies"))
+    return src.groupBy("embedding").agg(F.min("id").alias("id"))
 
 
-def _copies(chunks: DataFrame, dim: int) -> DataFrame:
-    """(rep, id) of vectors that have copies."""
-    src = chunks.where(F.col("id").isNotNull() & usable(dim=dim)).select("id", F.xxhash64("embedding").alias("h"), "embedding")
-    many = src.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    twins = src.join(many, "h")
-    reps = twins.groupBy("embedding").agg(F.min("id").alias("rep"))
-    return twins.join(reps, "embedding").select("rep", "id").distinct()
+def copies(chunks: DataFrame, dim: int = DIM, salts: int = 32) -> DataFrame:
+    """(rep, id) of vectors that have copies, the one that stands for them included.
+
+    Copies are known by two hashes of the vector; the join with a hot group's rows is salted.
+    """
+    hashes = F.xxhash64("embedding").alias("h"), F.hash("embedding").alias("g")
+    src = chunks.where(F.col("id").isNotNull() & usable(dim=dim)).select("id", *hashes, F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    many = src.groupBy("h", "g").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last")
+    many = many.select("h", "g", "rep", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return src.join(many, ["h", "g", "salt"]).select("rep", "id").distinct()
 
 
 def pairs_above(chunks: DataFrame, least: float = 0.9, p: float = 0.995, dim: int = DIM, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(id_a, id_b, similarity): pairs of vectors with a cosine of at least ``least``, smaller id first.
 
-    Of more than ``EXPAND`` exact copies each is paired with the first only, as are their neighbours.
+    Of more than ``EXPAND`` exact copies each is paired with the first only, as are their neighbours; ``copies`` has
+    the members of every group.
     """
     vectors = distinct_vectors(chunks, dim)
     n = chunks.where(usable(dim=dim)).count()
@@ -159,10 +213,10 @@ def pairs_above(chunks: DataFrame, least: float = 0.9, p: float = 0.995, dim: in
             q, leaf, cost = top.probe(proj, np.full(len(x), reach(d2, top.depth + 9, p), np.float32))
             keep = leaf >= home[q]
             q, leaf, cost = q[keep], leaf[keep], cost[keep]
-            yield pd.DataFrame({"shard": leaf, "own": leaf == home[q], "spent": cost, "id": b.id.to_numpy()[q], "v": pd.Series(list(x[q]), dtype=object)})
+            yield pd.DataFrame({"shard": leaf, "own": leaf == home[q], "spent": cost, "id": b.id.to_numpy()[q], "v": _bytes(x[q])})
 
     def search(b: pd.DataFrame) -> pd.DataFrame:
-        x, own, ids = np.array(b.v.tolist(), np.float32), b.own.to_numpy(), b.id.to_numpy()
+        x, own, ids = _vectors(b.v, dim), b.own.to_numpy(), b.id.to_numpy()
         data, data_ids = x[own], ids[own]
         out_a, out_b, out_s = [], [], []
         if len(data):
@@ -191,21 +245,21 @@ def pairs_above(chunks: DataFrame, least: float = 0.9, p: float = 0.995, dim: in
         out = pd.DataFrame({"id_a": cat(out_a, "int64"), "id_b": cat(out_b, "int64"), "similarity": cat(out_s, "float64")})
         return out[out.similarity >= least - 1e-7].drop_duplicates(["id_a", "id_b"])
 
-    routed = vectors.select("id", "embedding").mapInPandas(route, "shard bigint, own boolean, spent float, id bigint, v array<float>")
+    routed = vectors.select("id", "embedding").mapInPandas(route, "shard bigint, own boolean, spent float, id bigint, v binary")
     # about one shard a task, however few partitions the session shuffles into
     pairs = routed.repartition(2 << top.depth, "shard").groupBy("shard").applyInPandas(search, "id_a bigint, id_b bigint, similarity double")
     pairs = pairs.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
-    return _with_copies(pairs, _copies(chunks, dim))
+    return _with_copies(pairs, copies(chunks, dim))
 
 
-def _with_copies(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+def _with_copies(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs of representatives, and what follows for their copies."""
-    size = copies.groupBy("rep").agg(F.count("*").alias("n"))
-    small = copies.join(size.where(F.col("n") <= EXPAND), "rep").select("rep", "id")
+    size = held.groupBy("rep").agg(F.count("*").alias("n"))
+    small = held.join(size.where(F.col("n") <= EXPAND), "rep").select("rep", "id")
     a, b = small.select(F.col("rep").alias("id_a"), F.col("id").alias("xa")), small.select(F.col("rep").alias("id_b"), F.col("id").alias("xb"))
     between = pairs.join(a, "id_a", "left").join(b, "id_b", "left").select(F.coalesce("xa", "id_a").alias("a"), F.coalesce("xb", "id_b").alias("b"), "similarity")
     within = a.join(b, a.id_a == b.id_b).where("xa < xb").select(F.col("xa").alias("a"), F.col("xb").alias("b"), F.lit(1.0).alias("similarity"))
-    star = copies.join(size.where(F.col("n") > EXPAND), "rep").where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    star = held.join(size.where(F.col("n") > EXPAND), "rep").where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     rows = between.unionAll(within).unionAll(star)
     return rows.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity").distinct()
 
@@ -226,15 +280,15 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, p: float = 0.995
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 x = _unit(b.embedding)
-                yield pd.DataFrame({"shard": top.home(project(x)), "q": query, "spent": np.float32(0), "bound": np.float32(4), "id": b.id, "v": pd.Series(list(x), dtype=object)})
+                yield pd.DataFrame({"shard": top.home(project(x)), "q": query, "spent": np.float32(0), "bound": np.float32(4), "id": b.id, "v": _bytes(x)})
 
         return run
 
-    schema = "shard bigint, q boolean, spent float, bound float, id bigint, v array<float>"
+    schema = "shard bigint, q boolean, spent float, bound float, id bigint, v binary"
 
     def search(b: pd.DataFrame) -> pd.DataFrame:
         isq = b.q.to_numpy()
-        x, ids = np.array(b.v.tolist(), np.float32), b.id.to_numpy()
+        x, ids = _vectors(b.v, dim), b.id.to_numpy()
         qx, qid, data, did = x[isq], ids[isq], x[~isq], ids[~isq]
         spent, bound = b.spent.to_numpy()[isq], b.bound.to_numpy()[isq].astype(np.float64)
         rows: list[tuple] = []
@@ -279,7 +333,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, p: float = 0.995
             q, leaf, cost = top.probe(proj, r)
             away = leaf != top.home(proj)[q]
             q, leaf, cost = q[away], leaf[away], cost[away]
-            yield pd.DataFrame({"shard": leaf, "q": True, "spent": cost, "bound": b.d2.to_numpy()[q].astype(np.float32), "id": b.id.to_numpy()[q], "v": pd.Series(list(x[q]), dtype=object)})
+            yield pd.DataFrame({"shard": leaf, "q": True, "spent": cost, "bound": b.d2.to_numpy()[q].astype(np.float32), "id": b.id.to_numpy()[q], "v": _bytes(x[q])})
 
     far = qs.join(bounds, "id", "left").withColumn("d2", F.coalesce("d2", F.lit(4.0))).select("id", "embedding", "d2").mapInPandas(spread, schema)
     second = homes.unionAll(far).groupBy("shard").applyInPandas(search, out)
@@ -295,3 +349,8 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: every row whose id is divisible by 50, against all rows."""
     chunks = spark.read.parquet(f"{sf_dir}/rag_chunks.parquet")
     return nearest(chunks, chunks.where("id % 50 = 0"))
+
+
+def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rep, id): which vectors are exact copies of one another, by the smallest id."""
+    return copies(spark.read.parquet(f"{sf_dir}/rag_chunks.parquet"))

@@ -17,7 +17,7 @@ MODULES = {
     "splitting": ("p4_found", "p4_pieces"),
     "near_duplicates": ("p2_found", "p2_groups"),
     "packing": ("p7_containers",),
-    "neighbours": ("p5_found", "p5_neighbours"),
+    "neighbours": ("p5_found", "p5_neighbours", "p5_copies"),
 }
 
 
@@ -38,6 +38,12 @@ SQL = {
             SELECT a.field, a.key AS key_a, b.key AS key_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS same
             FROM flat a JOIN flat b ON a.field = b.field AND a.run = b.run AND a.key < b.key AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n GROUP BY ALL)
         SELECT field, key_a, key_b FROM hits WHERE same >= 0.6 * (na + nb - same)""",
+    "p5_copies": """
+        WITH v AS (
+            SELECT id, embedding AS e FROM rag_chunks
+            WHERE id IS NOT NULL AND len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64 AND len([x for x in embedding if x <> 0]) > 0),
+        g AS (SELECT e, min(id) AS rep FROM v GROUP BY e HAVING min(id) <> max(id))
+        SELECT DISTINCT rep, id FROM v JOIN g USING (e)""",
     "p5_found": """
         WITH v AS (
             SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM rag_chunks
