@@ -3,13 +3,19 @@
 1. Content-defined chunks: each line's template is its words, in which figures,
    dates, names and the document's title are blanks; a rolling hash over two
    words sets the borders. Distinct documents are counted per family and chunk.
-2. Templates all of whose chunks are repeated excessively are candidates,
-   counted per family. A chunk stands in every document that its template
-   stands in, so this filter loses no template that the count would keep.
+2. A line whose chunks are all repeated excessively is a candidate; the
+   templates of candidates are counted per family. A chunk stands in every
+   document that its template stands in, so this choice loses no line.
 3. Exact check: each line is held against its family's templates, whatever
    fills their blanks, and distinct documents are counted per template again.
    Lines of templates at the threshold are standing lines.
 
+What the families need, their repeated chunks and their templates are tables,
+joined as such. Where they are counted to be at most ``bound`` rows, chunks and
+templates are sent to the tasks instead; where they are more, lines meet the
+chunks in a join, and the templates meet the family's texts in groups of a
+bounded number of documents. The rows are the same either way.
+
 Defined results: chunks delivered twice count once; documents without a family
 have no standing lines; null texts have no lines; empty tables give no rows.
 """
@@ -32,9 +38,10 @@ from codexa.operators.graph import ensure_checkpoint_dir
 LEAST_DOCS, SHARE, LEAST_LETTERS = 5, 0.05, 12
 #: Templates are searched for from this part of the threshold on: where a title isn't known its lines have no template of their own.
 EARLY = 0.25
-#: At most so many frequent chunks and templates are sent to the executors at once. Each family has at most
-#: (chunks per document) / SHARE of them; beyond the bound chunks aren't used as a filter and templates go in blocks.
+#: Up to so many rows, repeated chunks and templates are sent to the tasks; more are joined.
 BOUND = 200_000
+#: Texts of one family that are held against its templates in one task, where templates are joined.
+GROUP_TEXTS = 4096
 
 # Fixed values.
 MONTHS = "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec".split()
@@ -129,8 +136,19 @@ def _templates_of(b: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
     return np.array(rows, np.int64), out
 
 
-def _repeated_chunks(texts: DataFrame, need: dict[str, float], bound: int = BOUND) -> dict[str, np.ndarray] | None:
-    """Per family the hashes of the chunks that enough documents hold; None if they are beyond the bound."""
+def needs(texts: DataFrame, least_docs: int, share: float) -> DataFrame:
+    """(family, need): how many of a family's documents must hold a line that stands."""
+    docs = texts.groupBy("family").agg(F.count_distinct("document_id").alias("d"))
+    return docs.select("family", F.greatest(F.lit(float(least_docs)), share * F.col("d")).alias("need"))
+
+
+def _reaching(counts: DataFrame, need: DataFrame, part: float = 1.0) -> DataFrame:
+    """Rows (family, .., n) whose count reaches that part of what the family needs, 2 at least."""
+    return counts.join(need, "family").where(F.col("n") >= F.greatest(F.lit(2.0), part * F.col("need"))).drop("need")
+
+
+def repeated_chunks(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """(family, h): the chunks that enough of the family's documents hold."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream = Stream()
@@ -141,20 +159,81 @@ def _repeated_chunks(texts: DataFrame, need: dict[str, float], bound: int = BOUN
             yield out.drop_duplicates()
 
     rows = texts.select("family", F.xxhash64("document_id").alias("doc"), "title", "section", "text").mapInPandas(go, "family string, doc bigint, h bigint")
-    counts = rows.groupBy("family", "h").agg(F.count_distinct("doc").alias("n"))
-    least = min(need.values())
-    found: dict[str, list[int]] = defaultdict(list)
-    total = 0
-    for r in counts.where(_reaches(counts, need, EARLY)).where(F.col("n") >= max(2, EARLY * least)).limit(bound + 1).toLocalIterator():
-        found[r.family].append(r.h)
-        total += 1
-    return {k: np.sort(np.array(v, np.int64)) for k, v in found.items()} if total <= bound else None
+    return _reaching(rows.groupBy("family", "h").agg(F.count_distinct("doc").alias("n")), need, EARLY).select("family", "h")
+
+
+def candidate_templates(texts: DataFrame, often: DataFrame, need: DataFrame, bound: int) -> DataFrame:
+    """(family, template) of lines whose chunks are all repeated, in enough documents."""
+    few = often.count() <= bound
+    held: dict[str, list[int]] = defaultdict(list)
+    for r in often.toLocalIterator() if few else ():
+        held[r.family].append(r.h)
+    sent = texts.sparkSession.sparkContext.broadcast({f: np.sort(np.array(v, np.int64)) for f, v in held.items()} if few else None)
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, known = Stream(), sent.value
+        for b in batches:
+            at, lines = _templates_of(b)
+            who, h = stream.chunks(lines)
+            fam = b.family.to_numpy()
+            if known is not None:
+                keep = np.ones(len(lines), bool)
+                for f in set(b.family):
+                    mine = fam[at[who]] == f
+                    keep[who[mine][~np.isin(h[mine], known.get(f, ()))]] = False
+                rows = {(b.family.iat[at[i]], b.document_id.iat[at[i]], lines[i], None) for i in np.flatnonzero(keep)}
+            else:
+                edge = np.searchsorted(who, np.arange(len(lines) + 1))
+                rows = {(b.family.iat[at[i]], b.document_id.iat[at[i]], x, tuple(h[edge[i] : edge[i + 1]].tolist())) for i, x in enumerate(lines)}
+            yield frame(rows, ["family", "document_id", "template", "chunks"])
+
+    rows = texts.select("document_id", "family", "title", "section", "text").mapInPandas(go, "family string, document_id string, template string, chunks array<bigint>")
+    counts = _reaching(rows.groupBy("family", "template").agg(F.count_distinct("document_id").alias("n"), F.first("chunks").alias("chunks")), need, EARLY)
+    if few:
+        return counts.select("family", "template")
+    flat = counts.select("family", "template", F.size(F.array_distinct("chunks")).alias("k"), F.explode(F.array_distinct("chunks")).alias("h"))
+    return flat.join(often, ["family", "h"]).groupBy("family", "template", "k").agg(F.count("*").alias("met")).where("met = k").select("family", "template")
+
+
+_MATCHED = "chunk_id string, line_no int, document_id string, family string, t bigint"
+
+
+def _matched(b: pd.DataFrame, by: dict[str, Templates]) -> pd.DataFrame:
+    rows = [
+        (c, i, d, f, n)
+        for c, d, f, t in zip(b.chunk_id, b.document_id, b.family, b.text)
+        if f in by
+        for i, line in enumerate(t.split("\n"))
+        for n in by[f].of(line)
+    ]
+    return frame(rows, ["chunk_id", "line_no", "document_id", "family", "t"])
+
+
+def matches(texts: DataFrame, templates: DataFrame, bound: int, group_texts: int = GROUP_TEXTS) -> DataFrame:
+    """(chunk_id, line_no, document_id, family, t): lines and the number of each template of their family that they fit."""
+    texts = texts.select("chunk_id", "document_id", "family", "text")
+    numbered = templates.select("family", F.xxhash64("template").alias("t"), "template")
+    if templates.count() <= bound:
+        block: dict[str, list[tuple[int, str]]] = defaultdict(list)
+        for r in numbered.toLocalIterator():
+            block[r.family].append((r.t, r.template))
+        sent = texts.sparkSession.sparkContext.broadcast(dict(block))
 
+        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            by = {f: Templates(rows) for f, rows in sent.value.items()}
+            for b in batches:
+                yield _matched(b, by)
+
+        return texts.mapInPandas(match, _MATCHED)
+    # a family's texts are dealt out to as many groups as hold about group_texts each, and its templates go to every one of them
+    parts = templates.select("family").distinct().join(texts.groupBy("family").agg(F.ceil(F.count("*") / group_texts).alias("parts")), "family")
+    dealt = texts.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("chunk_id"), "parts")).drop("parts")
+    spread = numbered.join(parts, "family").select("family", "t", "template", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
 
-def _reaches(df: DataFrame, need: dict[str, float], part: float = 1.0):
-    """Whether a family's count ``n`` reaches that part of what the family needs."""
-    limit = F.create_map(*[F.lit(x) for k, v in need.items() for x in (k, float(max(2, part * v)))])
-    return F.col("n") >= F.element_at(limit, F.col("family"))
+    def group(b: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        return _matched(b, {own.family.iat[0]: Templates(list(zip(own.t, own.template)))} if len(b) and len(own) else {})
+
+    return dealt.groupBy("family", "part").cogroup(spread.groupBy("family", "part")).applyInPandas(group, _MATCHED)
 
 
 def _blank_titles(b: pd.DataFrame) -> list[str]:
@@ -240,61 +319,16 @@ class Templates:
         return [n for n, p in (*(some or ()), *self.last.get(words[-1], ()), *self.rest) if p.fits(flat)]
 
 
-def standing_lines(records: DataFrame, stats: DataFrame, titles: DataFrame | None = None, least_docs: int = LEAST_DOCS, share: float = SHARE, bound: int = BOUND) -> DataFrame:
+def standing_lines(records: DataFrame, stats: DataFrame, titles: DataFrame | None = None, least_docs: int = LEAST_DOCS, share: float = SHARE, bound: int = BOUND, group_texts: int = GROUP_TEXTS) -> DataFrame:
     """(chunk_id, line_no, document_id): every standing line of its family."""
     ensure_checkpoint_dir(records)
     texts = _texts(records, stats, titles)
-    schema = "chunk_id string, line_no int, document_id string"
-    size = {r.family: r.n for r in texts.groupBy("family").agg(F.count_distinct("document_id").alias("n")).collect()}
-    need = {f: max(least_docs, share * n) for f, n in size.items()}
-    spark = records.sparkSession
-    if not need:
-        return spark.createDataFrame([], schema)
-    often = _repeated_chunks(texts, need, bound)
-
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream = Stream()
-        for b in batches:
-            at, lines = _templates_of(b)
-            keep = np.ones(len(lines), bool)
-            if often is not None and len(lines):
-                who, h = stream.chunks(lines)
-                fam = b.family.to_numpy()[at[who]]
-                rare = np.ones(len(h), bool)
-                for f in set(b.family):
-                    rare &= ~((fam == f) & np.isin(h, often.get(f, ())))
-                keep[who[rare]] = False
-            rows = {(b.family.iat[at[i]], b.document_id.iat[at[i]], lines[i]) for i in np.flatnonzero(keep)}
-            yield frame(sorted(rows), ["family", "document_id", "template"])
-
-    lines = texts.select("document_id", "family", "title", "section", "text").mapInPandas(candidates, "family string, document_id string, template string")
-    counts = lines.groupBy("family", "template").agg(F.count_distinct("document_id").alias("n"))
-    kept = counts.where(_reaches(counts, need, EARLY)).orderBy("family", "template").collect()  # at most (lines per document) / (EARLY * SHARE) a family
-    out = None
-    for s in range(0, max(1, len(kept)), bound):
-        block: dict[str, list[tuple[int, str]]] = defaultdict(list)
-        for n, r in enumerate(kept[s : s + bound], s):
-            block[r.family].append((n, r.template))
-        sent = spark.sparkContext.broadcast({f: rows for f, rows in block.items()})
-
-        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            by = {f: Templates(rows) for f, rows in sent.value.items()}
-            for b in batches:
-                rows = [
-                    (c, i, d, f, n)
-                    for c, d, f, t in zip(b.chunk_id, b.document_id, b.family, b.text)
-                    if f in by
-                    for i, line in enumerate(t.split("\n"))
-                    for n in by[f].of(line)
-                ]
-                yield frame(rows, ["chunk_id", "line_no", "document_id", "family", "n"])
-
-        one = texts.select("chunk_id", "document_id", "family", "text").mapInPandas(match, "chunk_id string, line_no int, document_id string, family string, n int")
-        out = one if out is None else out.unionAll(one)
-    hits = out.distinct().checkpoint()
-    docs = hits.groupBy("family", F.col("n").alias("t")).agg(F.count_distinct("document_id").alias("n"))
-    good = docs.where(_reaches(docs, need)).select(F.col("t").alias("n"))
-    return hits.join(good, "n").select("chunk_id", "line_no", "document_id").distinct()
+    need = needs(texts, least_docs, share).checkpoint()
+    often = repeated_chunks(texts, need).checkpoint()
+    templates = candidate_templates(texts, often, need, bound).checkpoint()
+    hits = matches(texts, templates, bound, group_texts).distinct().checkpoint()
+    good = _reaching(hits.groupBy("family", "t").agg(F.count_distinct("document_id").alias("n")), need).select("family", "t")
+    return hits.join(good, ["family", "t"]).select("chunk_id", "line_no", "document_id").distinct()
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -365,6 +365,7 @@ def test_standing_lines(spark):
     found = ST.standing_lines(rec, st, ti)
     got = {(r.chunk_id, r.line_no) for r in found.collect()}
     assert got == want
+    assert {(r.chunk_id, r.line_no) for r in ST.standing_lines(rec, st, ti, bound=0, group_texts=9).collect()} == want
     text = {r.chunk_id: r.text for r in ST.without_lines(rec, found).collect()}
     assert "Norwick" not in "".join(text[c] for c, _ in want) and text["n1"] is None and text["n3"] == ""
     assert ST.standing_lines(rec.limit(0), st, ti).count() == 0 and ST.standing_lines(rec, st.limit(0), ti).count() == 0
@@ -381,7 +382,7 @@ def test_standing_lines_of_short_words_in_capitals(spark):
         records.append((f"c{d}", f"d{d}", None, "\n".join(lines)))
     rec = spark.createDataFrame(records, "chunk_id string, document_id string, section string, text string").withColumn("content_type", F.lit("text"))
     st = spark.createDataFrame([(f"d{d}", "fam", "r0", 1) for d in range(20)], "document_id string, family string, run_id string, created_at int")
-    for bound in ({}, {"bound": 1}):  # the filter by chunks, and without it
+    for bound in ({}, {"bound": 0, "group_texts": 7}):  # chunks and templates sent to the tasks, and joined
         assert {(r.chunk_id, r.line_no) for r in ST.standing_lines(rec, st, **bound).collect()} == want
 
 
