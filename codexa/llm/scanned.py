@@ -1,14 +1,20 @@
 """Problem 3: text from scanned pages made into continuous paragraphs.
 
-1. A lexicon of the whole corpus, counted over all chunks, tells words from
-   misreadings: a rare word that the usual confusions of characters turn into
-   a much more frequent one was misread.
-2. A hidden Markov model labels each line as running header, page number
+1. A hidden Markov model labels each line as running header, page number
    (break) or body by layout features. It is fitted by counting on at most
    ``fit_rows`` chunks, labelled weakly by page-number shapes and titles.
+2. Words are counted over all chunks. A word that the usual confusions of
+   characters turn into one at least ``RATIO`` times as frequent was misread;
+   candidates meet in a join on a form in which confused characters fall
+   together. Counts of a word and of its parts also tell words broken at line
+   ends from compounds.
 3. Body lines are joined into paragraphs; words broken at line ends, also
    across headers and page numbers, are put together.
 
+Misreadings and broken words are a table. Where it is counted to hold at most
+``bound`` rows it is sent to the tasks; where it holds more, each chunk gets its
+rows by a join. The results are the same either way.
+
 Defined results: null texts stay null and have no defects; a chunk delivered
 twice counts once; texts that aren't wrapped keep their lines.
 """
@@ -25,11 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexa.functions.frames import frame
+from codexa.operators.graph import ensure_checkpoint_dir
 
-#: The lexicon sent to the executors: words seen this often, at most so many of the most frequent.
-LEAST_COUNT, MOST_WORDS, FIT_ROWS = 3, 300_000, 4000
-#: Only words seen this often are taken for what was misread.
-SURE = 50
+#: Chunks the line model is fitted on, and rows of the table of words that are sent to the tasks; more are joined.
+FIT_ROWS, BOUND = 4000, 300_000
 #: A misreading is at least so many times rarer than the word it stands for.
 RATIO = 20
 
@@ -80,7 +85,8 @@ def explains(seen: str, true: str, most: int = 4) -> list[int] | None:
 
 # single characters that are taken for one another fall together; the others are tried one by one
 _CLASSES = ("o0ce", "l1i!|", "tf", "s5$", "hb86", "gq9", "nu", "z2")
-_CANON = str.maketrans({c: g[0] for g in _CLASSES for c in g})
+_FROM, _TO = "".join(g[1:] for g in _CLASSES), "".join(g[0] * (len(g) - 1) for g in _CLASSES)
+_CANON = str.maketrans(_FROM, _TO)
 _LONG = [(s, t) for s, t in CONFUSIONS if len(s) + len(t) > 2]
 
 
@@ -98,78 +104,99 @@ def _variants(word: str) -> set[str]:
     return out
 
 
-class Lexicon:
-    """Corpus counts of words, and the word behind a misreading."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.counts = counts
-        self.by: dict[str, list[str]] | None = None
-        self.cache: dict[str, tuple[str, list[int]] | None] = {}
-
-    def _index(self) -> None:
-        self.by = defaultdict(list)
-        for w, n in self.counts.items():
-            if n >= SURE and len(w) >= 3 and w.isalpha():
-                self.by[w.translate(_CANON)].append(w)
-
-    def correction(self, word: str) -> tuple[str, list[int]] | None:
-        """The word that ``word`` (lower case) is a misreading of, and where; None if it is none."""
-        try:
-            return self.cache[word]
-        except KeyError:
-            pass
-        out, best = None, 0
-        own = self.counts.get(word, 1)
-        if 3 <= len(word) <= 24 and sum(map(str.isalpha, word)) >= max(2, len(word) // 2):
-            if self.by is None:
-                self._index()
-            for v in _variants(word):
-                for w in self.by.get(v.translate(_CANON), ()):
-                    n = self.counts[w]
-                    if n >= RATIO * own and (n, w) > (best, "") and w != word:
-                        at = explains(word, w, max(1, len(word) // 3))
-                        if at:
-                            best, out = n, (w, at)
-        if len(self.cache) > 500_000:
-            self.cache.clear()
-        self.cache[word] = out
-        return out
+def corrections(words: DataFrame) -> DataFrame:
+    """(key, word, at): misreadings among (word, n), the word each stands for, and where it was misread."""
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(f, w, n) for w, n in zip(b.word, b.n) if sum(map(str.isalpha, w)) >= max(2, len(w) // 2) for f in {v.translate(_CANON) for v in _variants(w)}]
+            yield frame(rows, ["form", "key", "own"])
+
+    def explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, w, n, at) for k, w, n in zip(b.key, b.word, b.n) if (at := explains(k, w, max(1, len(k) // 3)))]
+            yield frame(rows, ["key", "word", "n", "at"])
+
+    seen = words.where(F.length("word").between(3, 24)).mapInPandas(forms, "form string, key string, own bigint")
+    true = words.where((F.col("n") >= RATIO) & (F.length("word") >= 3) & F.col("word").rlike(r"^\p{L}+$")).select(F.translate("word", _FROM, _TO).alias("form"), "word", "n")
+    met = seen.join(true, "form").where((F.col("n") >= RATIO * F.greatest("own", F.lit(1))) & (F.col("key") != F.col("word"))).select("key", "word", "n").distinct()
+    ways = met.mapInPandas(explained, "key string, word string, n bigint, at array<int>")
+    return ways.groupBy("key").agg(F.max_by(F.struct("word", "at"), F.struct("n", "word")).alias("x")).select("key", "x.word", "x.at")
 
 
 _PLAIN = bytes(ord(chr(i).lower()) if chr(i).isascii() and (chr(i).isalnum() or chr(i) in "-'!|") else 32 for i in range(256))
 _LINE_END = re.compile(rf"\S*[{MARKS}][^\S\n]*\n\s*\S*")
 
 
-def lexicon_words(text: str) -> list[str]:
-    """Words and hyphenated words of a text in lower case, without those at broken line ends."""
-    text = _LINE_END.sub(" ", text)
-    if not text.isascii():
-        return _TOKEN.findall(text.lower())
-    return [w if w[0].isalnum() and w[-1].isalnum() else w.strip("-'!|") for w in text.encode().translate(_PLAIN).decode().split()]
-
+class Tally:
+    """Counts of words and hyphenated words of texts, without those at broken line ends."""
 
-def lexicon(records: DataFrame, least_count: int = LEAST_COUNT, most_words: int = MOST_WORDS) -> Lexicon:
-    """Counts of words and hyphenated words over all chunks; parts at line ends are left out."""
+    def __init__(self):
+        self.raw: Counter[str] = Counter()
+        self.named: set[str] = set()
+
+    def add(self, text: str) -> None:
+        ends = _LINE_END.findall(text)
+        if ends:
+            self.named.update(t for x in ends for t in _TOKEN.findall(x.lower()))
+            text = _LINE_END.sub(" ", text)
+        self.raw.update(text.encode().translate(_PLAIN).decode().split() if text.isascii() else _TOKEN.findall(text.lower()))
+
+    def rows(self) -> list[tuple[int, str, int]]:
+        """(0, word, n) so far, parts of hyphenated words included; words only named have a count of 0."""
+        out: Counter[str] = Counter()
+        for w, n in self.raw.items():
+            for t in [w] if w.isalnum() else _TOKEN.findall(w):
+                out[t] += n
+                for x in t.split("-") if "-" in t else ():
+                    out[x] += n
+        for t in self.named:
+            for x in {t, *t.split("-")}:
+                out[x] += 0
+        self.raw.clear()
+        self.named.clear()
+        return [(0, w, n) for w, n in out.items()]
+
+
+def broken_key(before: str, after: str) -> str:
+    return f"{before}\n{after}".lower()
+
+
+def word_facts(rows: DataFrame, repair: Repair) -> DataFrame:
+    """(key, word, at) over all rows: misreadings as ``corrections`` gives them, and keys of hyphens that break a word."""
+    sent = rows.sparkSession.sparkContext.broadcast(repair)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter[str] = Counter()
+        tally, asked = Tally(), set()
         for b in batches:
-            for t in b.text:
-                c.update(lexicon_words(t))
-            if len(c) > 1_000_000:
-                yield frame(c.items(), ["word", "n"])
-                c.clear()
-        parts: Counter[str] = Counter()
-        for w, n in c.items():
-            if "-" in w:
-                for x in w.split("-"):
-                    parts[x] += n
-        c.update(parts)
-        yield frame(c.items(), ["word", "n"])
-
-    words = records.where("text is not null").select("text").mapInPandas(go, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.where((F.col("n") >= least_count) & (F.length("word") <= 40)).orderBy(F.desc("n"), "word").limit(most_words)
-    return Lexicon({r.word: r.n for r in top.collect()})
+            for d, p, t, title, image in zip(b.document_id, b.pages, b.text, b.title, b.image_only_pages):
+                tally.add(t)
+                for _, _, m, n in sent.value.ends(t, d, title, p, image):
+                    tally.named.add((m.group(1) + n.group()).lower())
+                    if m.group(2) == "-":
+                        asked.add((1, broken_key(m.group(1), n.group()), 0))
+            if len(tally.raw) + len(asked) > 1_000_000:
+                yield frame([*tally.rows(), *asked], ["kind", "word", "n"])
+                asked.clear()
+        yield frame([*tally.rows(), *asked], ["kind", "word", "n"])
+
+    found = rows.where("text is not null").mapInPandas(go, "kind int, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n")).checkpoint()
+    words = found.where("kind = 0").select("word", "n")
+    fixes = corrections(words).checkpoint()
+    asked = found.where("kind = 1").select(F.col("word").alias("key"))
+    before, after = F.substring_index("key", "\n", 1), F.substring_index("key", "\n", -1)
+    left, right = F.substring_index(before, "-", -1), F.substring_index(after, "-", 1)
+    parts = {"whole": F.concat(before, after), "compound": F.concat_ws("-", before, after), "joined": F.concat(left, right), "left": left, "right": right}
+    roles = F.explode(F.array(*[F.struct(F.lit(k).alias("role"), v.alias("word")) for k, v in parts.items()])).alias("x")
+    counts = asked.select("key", roles).select("key", "x.role", "x.word").join(words, "word", "left")
+    n = {k: F.coalesce(F.max(F.when(F.col("role") == k, F.col("n"))), F.lit(0)).alias(k) for k in parts}
+    told = counts.groupBy("key").agg(*n.values(), F.max(F.when(F.col("role") == "whole", F.col("word"))).alias("w"))
+    told = told.join(fixes.select(F.col("key").alias("w"), F.lit(True).alias("fixed")), "w", "left")
+    # known words decide; else parts that are words of their own, and nothing known when put together, make a compound
+    known = (F.col("whole") > 0) | (F.col("compound") > 0)
+    own = (F.col("left") >= RATIO) & (F.col("right") >= RATIO)
+    broken = F.when(known, F.col("whole") >= F.col("compound")).when(F.col("fixed"), True).otherwise((F.col("joined") > 0) | ~own)
+    return fixes.unionByName(told.where(broken).select("key", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("at"))).checkpoint()
 
 
 class Layout:
@@ -179,9 +206,12 @@ class Layout:
         self.title = [w.lower() for w in _WORD.findall(title or "")]
         self.names = set(re.findall(r"[a-z]{4,}", (document_id or "").lower())[-1:])  # the id ends with the name of what the document is for
 
-    def marks(self, line: str) -> tuple[int, int, int]:
+    def marks(self, line: str, words: list[str]) -> tuple[int, int, int]:
         """Whether the line is a number, the title, or ends with the document's own name; -1 where it can't be told."""
-        core = [w.lower() for w in _WORD.findall(line)]
+        number = int(len(line) < 40 and bool(_NUMBER.match(line)))
+        if not self.title and not self.names or len(words) > len(self.title) + 8 and len(words) > 24:
+            return number, 0 if self.title else -1, 0
+        core = [w.lower() for w in words]
         if core and (core[-1] == "continued" or core[-1].isdigit()):
             core.pop()
         if core and core[0].isdigit():
@@ -189,26 +219,34 @@ class Layout:
         # a header may break off, so most of the title from its begin on will do
         title = -1 if not self.title else int(len(core) >= max(1, 0.6 * len(self.title)) and core == self.title[: len(core)])
         name = int(len(core) >= 4 and not self.names.isdisjoint(core[-2:]) and "for" in core[:-1])
-        return int(bool(_NUMBER.match(line))), title, name
-
-    def features(self, line: str, width: int, scanned: bool, marks: tuple[int, int, int] | None = None) -> tuple[int, ...] | None:
-        """None for a blank line. Each feature is a small number; -1 where it can't be told."""
-        if not line.strip():
-            return None
-        words = _WORD.findall(line)
-        caps = sum(w[:1].isupper() for w in words) / max(1, len(words))
-        return (*(marks or self.marks(line)), int(caps > 0.9), int(line.rstrip()[-1:] in ".;:?!"), min(2, 3 * len(line) // max(1, width)), int(scanned))
+        return number, title, name
+
+    def features(self, lines: list[str], scanned: bool) -> list[tuple[int, ...] | None]:
+        """Of each line; None for a blank one. Each feature is a small number, -1 where it can't be told."""
+        width = max(1, _width(lines))
+        held = [i for i, x in enumerate(lines) if x and not x.isspace()]
+        same = Counter(lines[i].strip() for i in held)
+        out: list[tuple[int, ...] | None] = [None] * len(lines)
+        for k, i in enumerate(held):
+            line = lines[i]
+            words = _WORD.findall(line)
+            caps = int(len(words) < 25 and sum([w[0].isupper() for w in words]) > 0.9 * len(words))
+            edge = 0 if k == 0 else 1 if k == len(held) - 1 else 2
+            alone = int((i == 0 or not lines[i - 1].strip()) and (i + 1 == len(lines) or not lines[i + 1].strip()))
+            out[i] = (*self.marks(line, words), caps, int(line.rstrip()[-1] in ".;:?!"), min(2, 3 * len(line) // width), int(scanned), edge, alone, int(same[line.strip()] > 1))
+        return out
 
 
 class LineModel:
     """A hidden Markov model over the lines of a chunk, with independent features."""
 
-    SIZES = (2, 2, 2, 2, 2, 3, 2)
+    SIZES = (2, 2, 2, 2, 2, 3, 2, 3, 2, 2)
 
     def __init__(self):
         self.start = np.zeros(len(STATES))
         self.move = np.zeros((len(STATES), len(STATES)))
         self.emit = [np.zeros((len(STATES), k)) for k in self.SIZES]
+        self.known: dict[tuple[int, ...], list[float]] = {}
 
     def fit(self, chunks: list[list[tuple[tuple[int, ...], int]]]) -> LineModel:
         """Smoothed counts; ``chunks`` hold (features, state) of each line. What marks furniture is hardly smoothed, as nothing else tells it."""
@@ -233,19 +271,22 @@ class LineModel:
         """The most likely states (Viterbi)."""
         if not lines:
             return []
-        back = []
-        score = None
+        move, known = self.move.T.tolist(), self.known
+        back: list[tuple[int, ...]] = []
+        score: list[float] = []
         for f in lines:
-            own = sum((e[:, v] for e, v in zip(self.emit, f) if v >= 0), np.zeros(len(STATES)))
-            if score is None:
-                score = self.start + own
-            else:
-                via = score[:, None] + self.move
-                back.append(via.argmax(0))
-                score = via.max(0) + own
-        path = [int(score.argmax())]
+            own = known.get(f)
+            if own is None:
+                own = known[f] = sum((e[:, v] for e, v in zip(self.emit, f) if v >= 0), np.zeros(len(STATES))).tolist()
+            if not score:
+                score = [a + b for a, b in zip(self.start.tolist(), own)]
+                continue
+            best = [max((s + m, k) for k, (s, m) in enumerate(zip(score, row))) for row in move]
+            back.append(tuple(k for _, k in best))
+            score = [v + x for (v, _), x in zip(best, own)]
+        path = [max(range(len(STATES)), key=score.__getitem__)]
         for b in reversed(back):
-            path.append(int(b[path[-1]]))
+            path.append(b[path[-1]])
         return path[::-1]
 
 
@@ -262,67 +303,68 @@ def fit_lines(rows: list) -> LineModel:
     """A model from rows of (document_id, title, pages, image_only_pages, text), labelled weakly."""
     chunks = []
     for r in rows:
-        lines = r.text.split("\n")
-        lay, width, scan = Layout(r.document_id, r.title), _width(lines), _scanned(r.pages, r.image_only_pages)
-        fs = [f for f in (lay.features(x, width, scan) for x in lines) if f]
+        fs = [f for f in Layout(r.document_id, r.title).features(r.text.split("\n"), _scanned(r.pages, r.image_only_pages)) if f]
         chunks.append([(f, 2 if f[0] else 1 if f[1] == 1 or f[1] == -1 and f[2] else 0) for f in fs])
-    # every state is seen at least once in its plain shape
-    plain = [((0, 0, 0, 0, 1, 2, 1), 0), ((0, 1, 1, 1, 0, 2, 1), 1), ((1, 0, 0, 0, 0, 0, 1), 2)]
+    # every state is seen in its plain shape, body lines at every place and of every length
+    plain = [((0, 0, 0, 0, end, wide, scan, edge, 0, 0), 0) for _ in range(5) for end in (0, 1) for wide in range(3) for scan in (0, 1) for edge in range(3)]
+    plain += [((0, 1, 1, 1, 0, 2, 1, 2, 0, 0), 1), *plain[:2], ((1, 0, 0, 0, 0, 0, 1, 2, 0, 0), 2)]
     return LineModel().fit([*chunks, plain])
 
 
 class Repair:
-    """Defects of a chunk's lines, and its text without them."""
+    """Defects of a chunk's lines, and its text without them.
 
-    def __init__(self, words: Lexicon, model: LineModel):
-        self.words, self.model = words, model
+    ``facts`` has the misreadings, as (word, at) by key, and the keys of hyphens that break a word.
+    """
+
+    def __init__(self, model: LineModel, facts: dict[str, tuple[str | None, list[int] | None]] | None = None):
+        self.model, self.facts = model, facts or {}
 
     def labels(self, lines: list[str], lay: Layout, scanned: bool) -> list[int | None]:
         """The state of each line; None for blank ones."""
-        seen = [lay.marks(x) if x.strip() else None for x in lines]
-        # the model is only asked where a line could be furniture
-        if not any(m and (m[0] or m[1] == 1 or m[2]) for m in seen):
-            return [None if m is None else 0 for m in seen]
-        width = _width(lines)
-        path = iter(self.model.label([lay.features(x, width, scanned, m) for x, m in zip(lines, seen) if m]))
-        return [None if m is None else next(path) for m in seen]
-
-    def is_split(self, before: str, mark: str, after: str) -> bool:
-        """Whether the line end broke one word, rather than parting a compound at its own hyphen."""
-        if not after[:1].islower() and not after[:1] in "!|015" or not before[-1:].isalnum():
-            return False
-        if mark != "-":
-            return True
-        n = self.words.counts.get
-        whole, compound = f"{before}{after}".lower(), f"{before}-{after}".lower()
-        a, b = n(whole, 0), n(compound, 0)
-        if a or b:
-            return a >= b
-        if self.words.correction(whole):
-            return True
-        left, right = before.lower().rsplit("-", 1)[-1], after.lower().split("-", 1)[0]
-        joined = n(left + right, 0)
-        # parts that are words of their own, and nothing known when put together
-        return bool(joined) or not (n(left, 0) >= RATIO and n(right, 0) >= RATIO)
+        fs = lay.features(lines, scanned)
+        path = iter(self.model.label([f for f in fs if f]))
+        return [f and next(path) for f in fs]
+
+    def _ends(self, lines: list[str], states: list[int | None]) -> list[tuple[int, int, re.Match, re.Match]]:
+        """(line, line its word may go on in, match of the first part, match of the second) of body lines that end in a mark."""
+        out = []
+        body = [i for i, s in enumerate(states) if s == 0]
+        for i, j in zip(body, body[1:]):
+            m = lines[i].rstrip()[-1:] in MARKS and _BROKEN.search(lines[i])
+            n = m and _TOKEN.match(lines[j].lstrip())
+            if n and m.group(1)[-1:].isalnum() and (n.group()[:1].islower() or n.group()[:1] in "!|015"):
+                out.append((i, j, m, n))
+        return out
+
+    def ends(self, text: str, document_id, title, pages, image_pages) -> list[tuple[int, int, re.Match, re.Match]]:
+        if not _LINE_END.search(text):
+            return []
+        lines = text.split("\n")
+        return self._ends(lines, self.labels(lines, Layout(document_id, title), _scanned(pages, image_pages)))
+
+    def keys(self, text: str, *about) -> set[str]:
+        """What must be looked up in the facts for a text."""
+        out = {x for w in set(_TOKEN.findall(text.lower())) for x in (w, *w.split("-"))}
+        for _, _, m, n in self.ends(text, *about):
+            whole = (m.group(1) + n.group()).lower()
+            out |= {broken_key(m.group(1), n.group()), whole, *whole.split("-")}
+        return out
 
     def look(self, document_id, title, pages, image_pages, text: str):
         """(lines, states, breaks, fixes): breaks maps a line to the line its word goes on in; fixes are (line, begin, end, word)."""
         lines = text.split("\n")
         states = self.labels(lines, Layout(document_id, title), _scanned(pages, image_pages))
-        body = [i for i, s in enumerate(states) if s == 0]
         breaks: dict[int, int] = {}
         spans: dict[int, list[tuple[int, int]]] = {}
         fixes = []
-        for i, j in zip(body, body[1:]):
-            m = lines[i].rstrip()[-1:] in MARKS and _BROKEN.search(lines[i])
-            n = m and _TOKEN.match(lines[j].lstrip())
-            if n and self.is_split(m.group(1), m.group(2), n.group()):
+        for i, j, m, n in self._ends(lines, states):
+            if m.group(2) != "-" or broken_key(m.group(1), n.group()) in self.facts:
                 breaks[i] = j
                 shift = len(lines[j]) - len(lines[j].lstrip())
                 spans.setdefault(i, []).append(m.span(1))
                 spans.setdefault(j, []).append((shift, shift + n.end()))
-                whole = (m.group(1) + n.group()).lower()
-                c = None if whole in self.words.counts and self.words.counts[whole] >= RATIO else self._fix(whole)
+                c = self._fix((m.group(1) + n.group()).lower())
                 if c:
                     cut = len(m.group(1))
                     if any(p < cut for p in c[1]):
@@ -341,12 +383,12 @@ class Repair:
         return lines, states, breaks, fixes
 
     def _fix(self, w: str) -> tuple[str, list[int]] | None:
-        c = self.words.correction(w)
+        c = self.facts.get(w)
         if c or "-" not in w:
             return c
         at, out, hit = 0, [], []
         for part in w.split("-"):
-            c = self.words.correction(part)
+            c = self.facts.get(part)
             out.append(c[0] if c else part)
             hit += [at + p for p in c[1]] if c else []
             at += len(part) + 1
@@ -391,45 +433,60 @@ class Repair:
 def _inputs(records: DataFrame, documents: DataFrame) -> DataFrame:
     one = documents.where("document is not null").groupBy("document").agg(F.max("title").alias("title"), F.flatten(F.collect_set("image_only_pages")).alias("image_only_pages"))
     rows = records.where("chunk_id is not null").select("chunk_id", "document_id", "pages", "text")
-    return rows.join(one, rows.document_id == one.document, "left").drop("document")
-
+    return rows.join(one, rows.document_id == one.document, "left").select("chunk_id", "document_id", "pages", "text", "title", "image_only_pages")
 
-def _repair(rows: DataFrame, records: DataFrame, fit_rows: int) -> Repair:
-    sample = rows.where("text is not null and title is not null").limit(fit_rows).collect()
-    return Repair(lexicon(records), fit_lines(sample))
 
+def _repaired(rows: DataFrame, each, schema: str, fit_rows: int, bound: int) -> DataFrame:
+    """What ``each(repair, chunk_id, text, document_id, title, pages, image_only_pages)`` yields of all rows."""
+    ensure_checkpoint_dir(rows)
+    sample = rows.where("text is not null and title is not null").orderBy(F.xxhash64("chunk_id"), "text").limit(fit_rows).collect()
+    plain = Repair(fit_lines(sample))
+    facts = word_facts(rows, plain)
+    few = facts.count() <= bound
+    sc = rows.sparkSession.sparkContext
+    sent = sc.broadcast(Repair(plain.model, {r.key: (r.word, r.at) for r in facts.toLocalIterator()} if few else None))
 
-def line_defects(records: DataFrame, documents: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(chunk_id, line_no, defect): split_word, misread or page_furniture."""
-    rows = _inputs(records, documents)
-    sent = records.sparkSession.sparkContext.broadcast(_repair(rows, records, fit_rows))
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(c, k) for c, d, p, t, title, image in zip(b.chunk_id, b.document_id, b.pages, b.text, b.title, b.image_only_pages) for k in sent.value.keys(t, d, title, p, image)]
+            yield frame(out, ["chunk_id", "key"])
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repair = sent.value
         for b in batches:
-            out = set()
-            for c, d, p, t, title, image in zip(b.chunk_id, b.document_id, b.pages, b.text, b.title, b.image_only_pages):
-                _, states, breaks, fixes = repair.look(d, title, p, image, t)
-                out |= {(c, i, "page_furniture") for i, s in enumerate(states) if s}
-                out |= {(c, i, "split_word") for i in breaks}
-                out |= {(c, f[0], "misread") for f in fixes}
-            yield frame(sorted(out), ["chunk_id", "line_no", "defect"])
+            out = []
+            for c, d, p, t, title, image, own in zip(b.chunk_id, b.document_id, b.pages, b.text, b.title, b.image_only_pages, b.facts):
+                repair = sent.value if few else Repair(sent.value.model, {x["key"]: (x["word"], x["at"]) for x in own} if own is not None else None)
+                out += each(repair, c, t, d, title, p, image)
+            yield frame(out, [x.split()[0] for x in schema.split(", ")])
+
+    if few:
+        return rows.withColumn("facts", F.lit(None).cast("array<struct<key:string>>")).mapInPandas(go, schema)
+    asked = rows.where("text is not null").mapInPandas(keys, "chunk_id string, key string").distinct()
+    own = asked.join(facts, "key").groupBy("chunk_id").agg(F.collect_list(F.struct("key", "word", "at")).alias("facts"))  # bounded by the chunk's words
+    return rows.join(own, "chunk_id", "left").mapInPandas(go, schema)
 
-    return rows.where("text is not null").mapInPandas(go, "chunk_id string, line_no int, defect string").distinct()
 
+def line_defects(records: DataFrame, documents: DataFrame, fit_rows: int = FIT_ROWS, bound: int = BOUND) -> DataFrame:
+    """(chunk_id, line_no, defect): split_word, misread or page_furniture."""
+
+    def each(repair: Repair, chunk, text, *about):
+        if text is None:
+            return set()
+        _, states, breaks, fixes = repair.look(*about, text)
+        out = {(chunk, i, "page_furniture") for i, s in enumerate(states) if s}
+        return sorted(out | {(chunk, i, "split_word") for i in breaks} | {(chunk, f[0], "misread") for f in fixes})
 
-def repaired_text(records: DataFrame, documents: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    return _repaired(_inputs(records, documents), each, "chunk_id string, line_no int, defect string", fit_rows, bound).distinct()
+
+
+def repaired_text(records: DataFrame, documents: DataFrame, fit_rows: int = FIT_ROWS, bound: int = BOUND) -> DataFrame:
     """(chunk_id, text): each chunk once, its text as continuous paragraphs."""
-    rows = _inputs(records, documents)
-    sent = records.sparkSession.sparkContext.broadcast(_repair(rows, records, fit_rows))
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repair = sent.value
-        for b in batches:
-            texts = [None if t is None else repair.text(d, title, p, image, t) for d, p, t, title, image in zip(b.document_id, b.pages, b.text, b.title, b.image_only_pages)]
-            yield pd.DataFrame({"chunk_id": b.chunk_id, "text": texts})
+    def each(repair: Repair, chunk, text, *about):
+        return [(chunk, None if text is None else repair.text(*about, text))]
 
-    return rows.mapInPandas(go, "chunk_id string, text string").groupBy("chunk_id").agg(F.max("text").alias("text"))
+    out = _repaired(_inputs(records, documents), each, "chunk_id string, text string", fit_rows, bound)
+    return out.groupBy("chunk_id").agg(F.max("text").alias("text"))
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -430,6 +430,7 @@ def test_scanned(spark):
     rec = spark.createDataFrame(rows, "chunk_id string, document_id string, pages array<int>, text string").withColumn("title", F.lit("clash")).withColumn("document", F.lit(1))
     docs = spark.createDataFrame([("fam-norwick-00000001", "Guide for Norwick Tamsin", [1])], "document string, title string, image_only_pages array<int>")
     got = {tuple(r) for r in SC.line_defects(rec, docs).where("chunk_id = 's1'").collect()}
+    assert {tuple(r) for r in SC.line_defects(rec, docs, bound=0).where("chunk_id = 's1'").collect()} == got
     assert got == {("s1", 0, "misread"), ("s1", 0, "split_word"), ("s1", 1, "page_furniture"), ("s1", 2, "page_furniture"), ("s1", 3, "split_word"), ("s1", 5, "misread")}
     text = {r.chunk_id: r.text for r in SC.repaired_text(rec, docs).collect()}
     assert text["s1"] == "The covered spouse may request the annual maximum for a sealant. The out-of-network plan pays the member share."
