@@ -73,9 +73,13 @@ def _compatibility() -> str:
 
 
 _COMPATIBLE = _compatibility()
-_COMPAT = re.compile(f"[{re.escape(_COMPATIBLE)}]+(?!\ufe0f)")
-#: What text must hold before any of the steps can change it.
-SUSPECT = f"[{ZERO_WIDTH}{SPACES}！-～￠￡￥̀-ͯ{''.join(LOOK_ALIKE)}{re.escape(_COMPATIBLE)}]"
+# characters of the basic plane and others in classes of their own, as one class of both is searched much more slowly
+_BASIC = re.escape("".join(x for x in _COMPATIBLE if ord(x) < 0x10000))
+_BEYOND = re.compile(f"[{''.join(x for x in _COMPATIBLE if ord(x) >= 0x10000)}]+")
+_COMPAT = re.compile(f"[{_BASIC}]+(?!\\ufe0f)")
+_ASTRAL = re.compile("[\U0001d400-\U0001efff\U0001f100-\U0001f14f]")
+#: What text must hold before any of the steps can change it, characters beyond the basic plane aside.
+SUSPECT = f"[{ZERO_WIDTH}{SPACES}！-～￠￡￥̀-ͯ{''.join(LOOK_ALIKE)}{_BASIC}]"
 _SUSPECT = re.compile(SUSPECT)
 _WIDE_MAP = {0xFF01 + i: 0x21 + i for i in range(94)} | {0xFFE0: 0xA2, 0xFFE1: 0xA3, 0xFFE5: 0xA5}
 
@@ -186,7 +190,7 @@ def _plain_letters(text: str, model: Bigrams) -> tuple[str, bool]:
 
 def consistent(text: str | None, model: Bigrams | None = None) -> tuple[str | None, list[str]]:
     """The text in its consistent form, and the forms that were found in it."""
-    if not text or text.isascii() or not _SUSPECT.search(text):
+    if not text or text.isascii() or not _SUSPECT.search(text) and not _ASTRAL.search(text):
         return text, []
     found = []
 
@@ -216,6 +220,8 @@ def consistent(text: str | None, model: Bigrams | None = None) -> tuple[str | No
 
     text = _WIDE.sub(wide, text)
     text = _COMPAT.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
+    if _ASTRAL.search(text):
+        text = _BEYOND.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
 
     def marks(m: re.Match) -> str:
         new = unicodedata.normalize("NFC", m.group())
