@@ -261,7 +261,7 @@ def _once(records: DataFrame) -> DataFrame:
 
 def _model(records: DataFrame, fit_rows: int) -> Boosted:
     rows = _once(records)
-    share = min(1.0, 1.2 * fit_rows / max(1, records.count()))
+    share = min(1.0, 2 * fit_rows / max(1, records.count()))
     part = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < int(1_000_000 * share)).select("text").where("text is not null").orderBy(F.xxhash64("chunk_id"), "text").limit(fit_rows)
     return fit_kinds([r.text for r in part.collect()])
 

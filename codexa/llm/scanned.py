@@ -21,6 +21,7 @@ twice counts once; texts that aren't wrapped keep their lines.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -439,7 +440,11 @@ def _inputs(records: DataFrame, documents: DataFrame) -> DataFrame:
 def _repaired(rows: DataFrame, each, schema: str, fit_rows: int, bound: int) -> DataFrame:
     """What ``each(repair, chunk_id, text, document_id, title, pages, image_only_pages)`` yields of all rows."""
     ensure_checkpoint_dir(rows)
-    sample = rows.where("text is not null and title is not null").orderBy(F.xxhash64("chunk_id"), "text").limit(fit_rows).collect()
+    # twice the sample by hash first, so that what tasks send to the driver stays about that, however many tasks there are
+    place = F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 40))
+    named = rows.where("text is not null and title is not null")
+    share = math.ceil(min(1.0, 2 * fit_rows / max(1, named.select("title").count())) * (1 << 40))
+    sample = named.where(place < share).orderBy(place, "text").limit(fit_rows).collect()
     plain = Repair(fit_lines(sample))
     facts = word_facts(rows, plain)
     few = facts.count() <= bound

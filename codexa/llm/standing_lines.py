@@ -130,7 +130,7 @@ def _templates_of(b: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
         for i, line in enumerate(lines):
             words = _WORD.findall(line)
             x = template(words)
-            if x and not (same and _is_row(plain[i])) and not (heading and [w.lower() for w in words] == heading):
+            if x and not (same and _is_row(plain[i])) and not (len(words) == len(heading) and [w.lower() for w in words] == heading):
                 rows.append(k)
                 out.append(x)
     return np.array(rows, np.int64), out
@@ -251,19 +251,23 @@ def template(words: list[str]) -> str | None:
     """
     if len(words) < 2 or sum(map(len, words)) < LEAST_LETTERS:
         return None
-    # letter case tells names only in a line that isn't all in capitals
-    cased = sum([w[0].isupper() for w in words]) <= 0.6 * len(words)
+    cased = None
     out: list[str] = []
     fixed, last = 0, len(words) - 1
-    for i, w in enumerate(words):
-        low = w.lower()
-        month = low in _MONTHS and (i and not words[i - 1].isalpha() or i < last and not words[i + 1].isalpha())
-        if month or not w.isalpha() or cased and i and low != w:
-            if not out or out[-1] != _SEP:
-                out.append(_SEP)
+    for i, (w, low) in enumerate(zip(words, "\n".join(words).lower().split("\n"))):
+        if low not in _MONTHS:
+            blank = not w.isalpha()
+            if not blank and i and low != w:
+                if cased is None:  # letter case tells names only in a line that isn't all in capitals
+                    cased = sum([x[0].isupper() for x in words]) <= 0.6 * len(words)
+                blank = cased
         else:
+            blank = i and not words[i - 1].isalpha() or i < last and not words[i + 1].isalpha() or i and low != w and sum([x[0].isupper() for x in words]) <= 0.6 * len(words)
+        if not blank:
             out.append(low)
             fixed += len(low)
+        elif not out or out[-1] != _SEP:
+            out.append(_SEP)
     return " ".join(out) if fixed >= LEAST_LETTERS and len(out) > 1 else None
 
 
