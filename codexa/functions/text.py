@@ -126,13 +126,6 @@ def names_in(text: Column | str) -> Column:
     return F.array_distinct(found(text, "\\b(?:[A-Z]{2,}[0-9]*|[A-Z][a-z]+[A-Z][A-Za-z]+)\\b"))
 
 
-def redacted(text: Column | str) -> Column:
-    """Social security numbers, addresses and phone numbers as placeholders."""
-    x = F.regexp_replace(_c(text), "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b", "[SSN]")
-    x = F.regexp_replace(x, "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[EMAIL]")
-    return F.regexp_replace(x, "(?:\\+?1[ .-]?)?\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}\\b", "[PHONE]")
-
-
 def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
@@ -143,14 +136,6 @@ def has_card(text: Column | str) -> Column:
     return F.exists(digits, lambda x: _luhn(x) & (F.size(F.array_distinct(F.split(x, ""))) > 1))
 
 
-def scrubbed(text: Column | str) -> Column:
-    """Redacted, and keys and right card numbers as placeholders."""
-    x = F.regexp_replace(redacted(text), "\\bAKIA[0-9A-Z]{16}\\b", "[AWS_ACCESS_KEY]")
-    x = F.regexp_replace(x, "\\b(?:ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\\b", "[SECRET]")
-    cards = F.filter(found(x, "\\b[0-9](?:[ -]?[0-9]){12,18}\\b"), lambda c: _luhn(F.regexp_replace(c, "[ -]", "")) & (F.size(F.array_distinct(F.split(F.regexp_replace(c, "[ -]", ""), ""))) > 1))
-    return F.aggregate(cards, x, lambda acc, c: F.replace(acc, c, F.lit("[CARD]")))
-
-
 def short_hash(text: Column | str) -> Column:
     return F.concat(F.lit("sha256:"), F.substring(F.sha2(_c(text), 256), 1, 12))
 

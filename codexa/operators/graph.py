@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Uses the session's spark.checkpoint.dir; sets a local one only where none is set, as in tests."""
+    """Uses the session's spark.checkpoint.dir; sets one of its own only where none is set on a local master, as in tests."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/codexa-checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:

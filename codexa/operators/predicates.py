@@ -57,13 +57,6 @@ def looks_like_references(text: Column | str) -> Column:
     return (n(r"\((?:19|20)\d\d\)") >= 5) | (n(r"https?://") >= 4) | (n(r"\bet al\b") >= 4) | (n(r"\bpp?\. ?\d+") >= 4) | (n(r"(?m)^\s*\[\d+\]") >= 4)
 
 
-def guard_reason(text: Column | str) -> Column:
-    """The first reason to block a text: ssn, payment_card, secret or prompt_injection; null if there is none."""
-    t = _c(text)
-    injection = "(?i)\\b(?:ignore|disregard|forget)\\b.{0,30}\\b(?:previous|prior|above|all)\\b.{0,20}\\b(?:instructions?|rules|prompts?)\\b"
-    return F.when(t.rlike(r"\b\d{3}-\d{2}-\d{4}\b"), "ssn").when(X.has_card(t), "payment_card").when(t.rlike(r"\bAKIA[0-9A-Z]{16}\b|\bghp_[A-Za-z0-9]{36}\b"), "secret").when(t.rlike(injection), "prompt_injection")
-
-
 def chunk_problems(chunks: DataFrame, key: str = "chunk_id", text: str = "text", pages: str = "pages", section: str = "section") -> DataFrame:
     """(key, level, problem): errors and warnings of chunks."""
     chunks = chunks.withColumn("__n", F.count("*").over(Window.partitionBy(key)))

@@ -19,9 +19,20 @@ from codexa.functions import text as X
 QUERY_BLOCK = 4096
 
 
-def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, term, tf): the inverted index; write it partitioned by term to look terms up without a scan."""
-    return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, key: str, tokens: Column, asked: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf): the inverted index; write it partitioned by term to look terms up without a scan.
+
+    Where the terms ``asked`` are given, others are dropped before anything is shuffled.
+    """
+    flat = docs.select(key, F.explode(tokens).alias("term"))
+    if asked is not None:
+        flat = flat.join(counted_broadcast(asked.select("term").distinct()), "term", "left_semi")
+    return flat.groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def counted_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """Broadcast if its rows (of one or two short columns) were counted to be few; otherwise left to an ordinary join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def query_terms(queries: DataFrame, qid: str, tokens: Column, distinct: bool = False) -> DataFrame:
@@ -180,32 +191,48 @@ def reranked(first: DataFrame, scores: DataFrame, qid: str, key: str) -> DataFra
     return j.withColumn("new_rank", F.row_number().over(w).cast("bigint")).select(qid, key, "rank", "new_rank")
 
 
-def max_sim(query_vectors: DataFrame, doc_vectors: DataFrame, qid: str, key: str, vector: str) -> DataFrame:
+def max_sim(query_vectors: DataFrame, doc_vectors: DataFrame, qid: str, key: str, vector: str, own: str | None = None) -> DataFrame:
     """(qid, key, score): mean over a query's vectors of the best cosine with any vector of the document.
 
-    ``query_vectors`` are few and stated: (qid, pos, vector); documents' vectors stay where they are.
+    ``query_vectors`` (qid, pos, vector) go in blocks of ``QUERY_BLOCK``; documents' vectors stay where they are.
+    A document's vector whose ``own`` id is the query's ``pos`` is passed over.
     """
-    rows = [(r[0], r[1], r[2]) for r in query_vectors.select(qid, "pos", vector).toLocalIterator()]
-    sent = query_vectors.sparkSession.sparkContext.broadcast(rows)
+    kind = dict(doc_vectors.dtypes)[key], dict(query_vectors.dtypes)[qid]
+    src, block, flat = doc_vectors.where(F.col(vector).isNotNull()).select(key, vector, *([own] if own else [])), [], None
+    for r in query_vectors.where(F.col(vector).isNotNull()).select(qid, "pos", vector).toLocalIterator():
+        block.append(tuple(r))
+        if len(block) == QUERY_BLOCK:
+            one = src.mapInPandas(_best_cosines(src, block, qid, key, vector, own), f"{qid} {kind[1]}, pos bigint, {key} {kind[0]}, s double")
+            flat, block = one if flat is None else flat.unionAll(one), []
+    if block or flat is None:
+        one = src.mapInPandas(_best_cosines(src, block, qid, key, vector, own), f"{qid} {kind[1]}, pos bigint, {key} {kind[0]}, s double")
+        flat = one if flat is None else flat.unionAll(one)
+    return flat.groupBy(qid, key, "pos").agg(F.max("s").alias("s")).groupBy(qid, key).agg(F.avg("s").alias("score"))
+
+
+def _best_cosines(src: DataFrame, block: list, qid: str, key: str, vector: str, own: str | None):
+    """The best cosine of each query vector of a block with each owner's vectors of a batch."""
+    sent = src.sparkSession.sparkContext.broadcast(block)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, pos = [r[0] for r in sent.value], [r[1] for r in sent.value]
         q = np.array([r[2] for r in sent.value], np.float64)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30) if len(q) else 1
         for b in batches:
-            if not len(b):
+            if not len(b) or not len(q):
                 continue
             x = np.array(b[vector].tolist(), np.float64)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-            s = pd.DataFrame(q @ x.T)
-            s.columns = b[key].to_numpy()
-            best = s.T.groupby(level=0).max()
-            for i in range(len(names)):
-                yield pd.DataFrame({qid: names[i], "pos": pos[i], key: best.index.to_numpy(), "s": best[i].to_numpy()})
-
-    kind = dict(doc_vectors.dtypes)[key], dict(query_vectors.dtypes)[qid]
-    flat = doc_vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(go, f"{qid} {kind[1]}, pos bigint, {key} {kind[0]}, s double")
-    return flat.groupBy(qid, key, "pos").agg(F.max("s").alias("s")).groupBy(qid, key).agg(F.avg("s").alias("score"))
+            owner, keys = pd.factorize(b[key])
+            order = np.argsort(owner, kind="stable")
+            s = q @ x.T
+            if own:
+                s[np.array(pos)[:, None] == b[own].to_numpy()[None, :]] = -np.inf
+            best = np.maximum.reduceat(s[:, order], np.searchsorted(owner[order], np.arange(len(keys))), axis=1)
+            at, k = np.nonzero(np.isfinite(best))
+            yield pd.DataFrame({qid: np.array(names)[at], "pos": np.array(pos)[at], key: np.array(keys)[k], "s": best[at, k]})
+
+    return go
 
 
 def metrics(ranking: DataFrame, relevant: DataFrame, qid: str, key: str, k: int) -> DataFrame:

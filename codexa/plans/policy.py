@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codexa.functions import text as X
+from codexa.operators import guards as G
 from codexa.operators import policy as P
 from codexa.plans.registry import query
 from codexa.sources.tables import table
@@ -58,12 +59,18 @@ def _(spark, d):
     return r.select("id", P.quality_score([F.col("title").isNotNull(), F.size("authors") > 0, F.col("updated") >= F.col("published")]).alias("score"))
 
 
-@query("cls9_guard_verdicts")
-def _(spark, d):
-    from codexa.operators.predicates import guard_reason
+#: The guard in SQL, for engines without lookarounds.
+_LUHN = "list_sum([CASE WHEN (len(x) - i) % 2 = 1 THEN 2 * CAST(x[i] AS INT) - CASE WHEN CAST(x[i] AS INT) > 4 THEN 9 ELSE 0 END ELSE CAST(x[i] AS INT) END for i in range(1, len(x) + 1)]) % 10 = 0"
+_CARDS = rf"len([x for x in [regexp_replace(y, '[ -]', '', 'g') for y in regexp_extract_all(text, '\b[0-9](?:[ -]?[0-9]){{12,18}}\b')] if len(list_distinct(string_split(x, ''))) > 1 AND {_LUHN}]) > 0"
+_SSN = r"len([x for x in regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b') if x[1:3] NOT IN ('000', '666') AND x[1] <> '9' AND x[5:6] <> '00' AND x[8:] <> '0000']) > 0"
+_BLOCKED = f"CASE WHEN regexp_matches(text, '(?i){'|'.join(f'(?:{p})' for p in G.INJECTION)}') THEN 'prompt_injection' WHEN {_SSN} THEN 'ssn' WHEN {_CARDS} THEN 'payment_card' {' '.join(f"WHEN regexp_matches(text, '{p}') THEN 'secret:{n}'" for n, p in G.SECRETS.items())} END"
+_PERSONAL = r"regexp_matches(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b|(?i:\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b)|(^|[^0-9])(?:\+?1[-. ]*)?\(?[0-9]{3}[-. )]*[0-9]{3}[-. ]*[0-9]{4}($|[^0-9])')"
+
 
-    r = guard_reason("text")
-    return table(spark, d, "documents").select("doc_id", r.isNull().alias("allowed"), r.alias("category"), F.when(r.isNotNull(), X.scrubbed("text")).otherwise(F.col("text")).alias("text"))
+@query("cls9_guard_verdicts", f"WITH g AS (SELECT doc_id, text, {_BLOCKED} AS reason FROM documents WHERE text IS NOT NULL) SELECT doc_id, reason IS NULL AS allowed, coalesce(reason, CASE WHEN {_PERSONAL} THEN 'redacted' ELSE 'ok' END) AS category FROM g")
+def _(spark, d):
+    v = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", G.verdict("text").alias("v"))
+    return v.select("doc_id", "v.allowed", "v.category")
 
 
 _RULES = [{"tool": "click", "args": 're:"k": [0-4]}', "decision": "deny"}, {"tool": "view*", "decision": "allow"}, {"tool": "purchase", "agent": "1*", "decision": "allow"}, {"tool": "error", "decision": "deny"}]

@@ -9,6 +9,8 @@ from codexa.functions import text as X
 from codexa.operators import predicates as P
 from codexa.operators import quality as Q
 from codexa.operators.graph import connected_components
+from codexa.operators import guards as G
+from codexa.plans.policy import _BLOCKED
 from codexa.plans.registry import query
 from codexa.sources.tables import table
 
@@ -111,9 +113,9 @@ def _(spark, d):
     return table(spark, d, "eval_items").select("item_id", P.too_similar("question", "passage", 0.1).alias("similar"))
 
 
-@query("proj22_guard_reasons")
+@query("proj22_guard_reasons", f"SELECT doc_id, {_BLOCKED} AS reason FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", P.guard_reason("text").alias("reason"))
+    return table(spark, d, "documents").select("doc_id", G.guard_reason("text").alias("reason"))
 
 
 @query("proj23_chunk_problems", r"""WITH x AS (SELECT *, count(*) OVER (PARTITION BY chunk_id) AS n FROM chunk_records) SELECT chunk_id, level, problem FROM (SELECT chunk_id, 'error' AS level, 'duplicate_id' AS problem FROM x WHERE n > 1 UNION ALL SELECT chunk_id, 'error', 'empty_text' FROM x WHERE text IS NULL OR trim(text) = ''

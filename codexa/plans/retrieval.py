@@ -11,10 +11,12 @@ from codexa.plans.registry import query
 from codexa.sources.tables import table
 
 
-def _parts(spark: SparkSession, d: str, distinct: bool = False, chars: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _parts(spark: SparkSession, d: str, distinct: bool = False, chars: bool = False, all_terms: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings of the terms asked for (of all, where a score needs them), lengths, and the questions' terms."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     length = F.length("text") if chars else F.size(X.tokens_alnum("text"))
-    return R.postings(docs, "doc_id", X.tokens_alnum("text")), docs.select("doc_id", length.cast("bigint").alias("dl")), R.query_terms(table(spark, d, "eval_items"), "item_id", X.tokens_alnum("question"), distinct)
+    terms = R.query_terms(table(spark, d, "eval_items"), "item_id", X.tokens_alnum("question"), distinct)
+    return R.postings(docs, "doc_id", X.tokens_alnum("text"), None if all_terms else terms), docs.select("doc_id", length.cast("bigint").alias("dl")), terms
 
 
 _BASE = """tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
@@ -44,7 +46,7 @@ def ret_bm25(spark, d):
 
 
 def _bm(spark, d, k=20, **kw):
-    return R.ranked(R.bm25(*_parts(spark, d), "doc_id", "item_id", **kw), "item_id", "doc_id", k)
+    return R.ranked(R.bm25(*_parts(spark, d, all_terms=kw.get("idf") == "okapi"), "doc_id", "item_id", **kw), "item_id", "doc_id", k)
 
 
 @query("ret1_bm25_repeated_terms", f"WITH {_bm25_sql()} {_LAST.format('bmr', 20)}")
@@ -141,8 +143,8 @@ def _(spark, d):
 def _(spark, d):
     """A label owns its vectors as a document owns its token windows."""
     v = table(spark, d, "embeddings")
-    n = v.count()
-    return R.best_of(R.knn(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding", "query_id", n), "query_id", "vec_id", v, "label").select("query_id", "label", F.round("score", 6).alias("score"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("pos"), "embedding")
+    return R.max_sim(q, v, "query_id", "label", "embedding", own="vec_id").select("query_id", "label", F.round("score", 6).alias("score"))
 
 
 _RRF = f"""WITH {_bm25_sql()}, {_TFIDF}, u AS (SELECT item_id, doc_id, {{0}} / (60 + rank) AS s FROM bmr WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, {{1}} / (60 + rank) FROM tfr WHERE rank <= 20), r AS (SELECT item_id, doc_id, sum(s) AS score FROM u GROUP BY ALL),

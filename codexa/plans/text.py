@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codexa.functions import text as X
+from codexa.operators import guards as G
 from codexa.operators import predicates as P
 from codexa.plans.registry import query
 from codexa.sources.tables import table
@@ -129,7 +130,7 @@ def _(spark, d):
     return rows.select("chunk_id", get(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("email"), get(r"\b[0-9]{3}-[0-9]{4}\b").alias("phone"), get(r"\b[0-9]{5}-[0-9]{2}\b").alias("control"))
 
 
-_REDACT = r"""regexp_replace(regexp_replace(regexp_replace({0}, '\b[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}\b', '[SSN]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '[EMAIL]', 'g'), '(?:\+?1[ .-]?)?\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[ .-][0-9]{{4}}\b', '[PHONE]', 'g')"""
+_REDACT = r"""regexp_replace(regexp_replace(regexp_replace({0}, '\b[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}\b', '[SSN]', 'g'), '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}\b', '[EMAIL]', 'g'), '(^|[^0-9])(?:\+?1[-. ]*)?\(?[0-9]{{3}}[-. )]*[0-9]{{3}}[-. ]*[0-9]{{4}}($|[^0-9])', '\1[PHONE]\2', 'g')"""
 _CONTACT = "'Call 212-555-01' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || ' or write ' || lower(c_name) || '@mail.example.org, ssn 123-45-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')"
 
 
@@ -137,12 +138,12 @@ _CONTACT = "'Call 212-555-01' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0')
 def _(spark, d):
     k = F.col("c_custkey")
     made = F.concat(F.lit("Call 212-555-01"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit(" or write "), F.replace(F.lower("c_name"), F.lit("#"), F.lit("-")), F.lit("@mail.example.org, ssn 123-45-"), F.lpad((k % 10000).cast("string"), 4, "0"))
-    return table(spark, d, "customer").select("c_custkey", X.redacted(made).alias("redacted"))
+    return table(spark, d, "customer").select("c_custkey", G.redacted(made).alias("redacted"))
 
 
 @query("scal24_scrubbed")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.scrubbed("text").alias("scrubbed"))
+    return table(spark, d, "documents").select("doc_id", G.scrubbed("text").alias("scrubbed"))
 
 
 @query("scal25_short_hash", "SELECT c_custkey, 'sha256:' || substring(sha256(c_name), 1, 12) AS hashed FROM customer")

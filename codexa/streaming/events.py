@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from codexa.operators.graph import ensure_checkpoint_dir
+
 #: Allowed moves of a run; done, failed and cancelled absorb.
 MOVES = {None: {"queued", "running"}, "queued": {"running", "cancelled"}, "running": {"done", "failed", "cancelled"}}
 
@@ -73,12 +75,21 @@ def run_states_batch(events: DataFrame, key: str, event: str, wanted: str, time:
     return events.select(key, event, wanted, time).groupBy(key).applyInPandas(replay, schema)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there now, and returns its output table."""
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
+def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there now, and returns its output, written below the session's checkpoint folder.
+
+    Appended rows go to a Parquet sink; other modes replace the output with each batch, which bears being called again.
+    """
+    spark = stream.sparkSession
+    ensure_checkpoint_dir(stream)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/streams/{name}"
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        q = w.format("parquet").start(f"{folder}/rows")
+    else:
+        q = w.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows")).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def into_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
