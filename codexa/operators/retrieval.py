@@ -63,6 +63,102 @@ def bm25(index: DataFrame, lengths: DataFrame, terms: DataFrame, key: str, qid:
     return hits.groupBy(qid, key).agg(F.sum(one).alias("score"))
 
 
+class Questions:
+    """A block of queries as a matrix of term weights."""
+
+    def __init__(self, rows: list[tuple]):
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.place: dict[str, int] = {}
+        for _, terms, _ in rows:
+            for t in terms:
+                self.place.setdefault(t, len(self.place))
+        self.weights = np.zeros((len(self.place), len(rows)))
+        for n, (_, terms, w) in enumerate(rows):
+            for t, x in zip(terms, w):
+                self.weights[self.place[t], n] += x
+
+
+def question_blocks(terms: DataFrame, qid: str, weight: str, most: int = 4_000_000) -> Iterator[Questions]:
+    """Queries (qid, term, weight) in blocks whose matrix has about ``most`` entries at the most."""
+    block: list[tuple] = []
+    names: set[str] = set()
+    for r in terms.groupBy(F.col(qid).cast("bigint").alias("q")).agg(F.collect_list(F.struct("term", F.col(weight).cast("double").alias("w"))).alias("x")).toLocalIterator():
+        names.update(t for t, _ in r.x)
+        block.append((r.q, [t for t, _ in r.x], [w for _, w in r.x]))
+        if len(block) * len(names) >= most:
+            yield Questions(block)
+            block, names = [], set()
+    if block:
+        yield Questions(block)
+
+
+def top_matches(rows: DataFrame, key: str, blocks: Iterator[Questions], qid: str, k: int, weigh) -> DataFrame:
+    """(qid, key, score): the ``k`` best rows of each query by the sum of products of term weights, positive ones only.
+
+    ``weigh(batch, place)`` gives (row number, term number, weight) arrays of a batch of ``rows``, ``place`` being the
+    number of each term asked for. Each task keeps the best k of its rows, so little is shuffled however many rows
+    share a word with a query; ties go to the smaller key after rounding to six digits.
+    """
+    spark, schema, out = rows.sparkSession, f"{qid} bigint, {key} bigint, score double", None
+
+    def one(block: Questions) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            q = sent.value
+            best_s, best_k = np.zeros((len(q.ids), 0)), np.zeros((len(q.ids), 0), np.int64)
+            step = max(1, 2_000_000 // max(len(q.place), len(q.ids), 1))
+            for b in batches:
+                for s in range(0, len(b), step):
+                    part = b.iloc[s : s + step]
+                    i, j, w = weigh(part, q.place)
+                    held = np.zeros((len(part), len(q.place)))
+                    np.add.at(held, (i, j), w)
+                    score = np.concatenate([best_s, (held @ q.weights).T], 1)
+                    keys = np.concatenate([best_k, np.broadcast_to(part[key].to_numpy(np.int64), (len(q.ids), len(part)))], 1)
+                    order = np.lexsort((keys, -np.round(score, 6)), axis=1)[:, :k]
+                    best_s, best_k = np.take_along_axis(score, order, 1), np.take_along_axis(keys, order, 1)
+            ok = best_s > 0
+            yield pd.DataFrame({qid: np.repeat(q.ids, ok.sum(1)), key: best_k[ok], "score": best_s[ok]})
+
+        return rows.mapInPandas(search, schema)
+
+    for block in blocks:
+        out = one(block) if out is None else out.unionAll(one(block))
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def bm25_top(docs: DataFrame, key: str, tokens: Column, length: Column, terms: DataFrame, qid: str, k: int, k1: float = 1.5, b: float = 0.75, least_average: float = 0.0) -> DataFrame:
+    """(qid, key, score, rank): the ``k`` best rows by BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)).
+
+    The same scores as ``bm25``, without a row for every query and row that share a word: rows stay where they are.
+    """
+    held = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), tokens.alias("_t"), length.cast("double").alias("_dl"))
+    n_docs, average = docs.agg(F.count("*"), F.avg(length)).first()
+    average = max(average or 0.0, least_average) or 1.0
+    asked = terms.select("term").distinct()
+    df = held.select(F.explode(F.array_distinct("_t")).alias("term")).join(counted_broadcast(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weights = terms.join(df, "term").select(qid, "term", (F.col("qtf") * F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
+
+    def weigh(part: pd.DataFrame, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, term, tf = [], [], []
+        for n, t in enumerate(part["_t"]):
+            if t is None:
+                continue
+            at = [x for x in map(place.get, t) if x is not None]
+            if at:
+                j, c = np.unique(np.array(at), return_counts=True)
+                row.append(np.full(len(j), n))
+                term.append(j)
+                tf.append(c)
+        if not row:
+            return np.empty(0, int), np.empty(0, int), np.empty(0)
+        i, j, c = map(np.concatenate, (row, term, tf))
+        return i, j, c * (k1 + 1) / (c + k1 * (1 - b + b * part["_dl"].to_numpy()[i] / average))
+
+    return ranked(top_matches(held, key, question_blocks(weights, qid, "w"), qid, k, weigh), qid, key, k)
+
+
 def ranked(scores: DataFrame, qid: str, key: str, k: int | None = None, score: str = "score") -> DataFrame:
     """Scores rounded to six digits, with their rank; the best ``k`` of each query."""
     w = Window.partitionBy(qid).orderBy(F.desc("r"), key)
@@ -71,27 +167,42 @@ def ranked(scores: DataFrame, qid: str, key: str, k: int | None = None, score: s
     return out.select(qid, key, F.col("r").alias("score"), "rank")
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, key: str, qid: str, doc_text: str, query_text: str) -> DataFrame:
-    """(qid, key, score): cosine of word and word-pair vectors, 1 + ln tf, smooth idf, unit length."""
+def tfidf(docs: DataFrame, queries: DataFrame, key: str, qid: str, doc_text: str, query_text: str, k: int) -> DataFrame:
+    """(qid, key, score): the ``k`` best rows by the cosine of word and word-pair vectors, 1 + ln tf, smooth idf, unit length.
 
-    def grams(df: DataFrame, k: str, c: str) -> DataFrame:
-        def both(t: Column) -> Column:
-            pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-            return F.concat(t, pairs)
-
-        return df.select(k, F.explode(X.let(X.tokens_alnum(c), both)).alias("term")).groupBy(k, "term").agg((1 + F.log(F.count("*").cast("double"))).alias("w"))
-
-    d = grams(docs, key, doc_text)
-    n = docs.agg(F.count("*").alias("n_docs"))
-    idf = d.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    Words and pairs are known by a 64-bit hash, which is what is shuffled in their place.
+    """
 
-    def weighted(g: DataFrame, k: str) -> tuple[DataFrame, DataFrame]:
-        v = g.join(idf, "term").select(k, "term", (F.col("w") * F.col("idf")).alias("w"))
-        return v, v.groupBy(k).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    def both(t: Column) -> Column:
+        pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(t, pairs)
 
-    (dv, dn), (qv, qn) = weighted(d, key), weighted(grams(queries, qid, query_text), qid)
-    dots = qv.withColumnRenamed("w", "qw").join(dv, "term").groupBy(qid, key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    return dots.join(dn, key).join(qn.withColumnRenamed("norm", "qnorm"), qid).select(qid, key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    def grams(df: DataFrame, k: str, c: str) -> DataFrame:
+        flat = df.select(k, F.explode(X.let(X.tokens_alnum(c), both)).alias("g")).select(k, F.xxhash64("g").alias("term"))
+        return flat.groupBy(k, "term").agg((1 + F.log(F.count("*").cast("double"))).alias("w"))
+
+    d, asked = grams(docs, key, doc_text), grams(queries, qid, query_text)
+    n_docs = docs.count()
+    smooth = (F.log((1 + n_docs) / (1 + F.count("*"))) + 1).alias("idf")
+    idf = d.groupBy("term").agg(smooth)
+    # a row's vector keeps the terms that are asked for, and the norm of all of them
+    known = counted_broadcast(asked.select("term").distinct().withColumn("asked", F.lit(True)))
+    asked_idf = docs.select(F.explode(F.array_distinct(X.let(X.tokens_alnum(doc_text), both))).alias("g")).select(F.xxhash64("g").alias("term")).join(known, "term", "left_semi").groupBy("term").agg(smooth)
+    v = d.join(idf, "term").join(known, "term", "left").select(key, (F.col("w") * F.col("idf")).alias("w"), F.when(F.col("asked"), F.col("term")).alias("term"))
+    rows = v.groupBy(F.col(key).cast("bigint").alias(key)).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "w"))).alias("x"))
+    rows = rows.select(key, "norm", F.transform("x", lambda s: s.term).alias("_t"), F.transform("x", lambda s: s.w).alias("_w"))
+    q = asked.join(asked_idf, "term").select(qid, "term", (F.col("w") * F.col("idf")).alias("w"))
+    unit = q.groupBy(qid).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    q = q.join(unit, qid).select(qid, "term", (F.col("w") / F.col("norm")).alias("w"))
+
+    def weigh(part: pd.DataFrame, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = part["_t"].map(len).to_numpy()
+        at = np.array([place.get(t, -1) for x in part["_t"] for t in x], np.int64)
+        w = np.concatenate(part["_w"].tolist()) if len(at) else np.empty(0)
+        i = np.repeat(np.arange(len(part)), size)
+        return i[at >= 0], at[at >= 0], (w / part["norm"].to_numpy()[i])[at >= 0]
+
+    return top_matches(rows, key, question_blocks(q, qid, "w"), qid, k, weigh)
 
 
 def fulltext(index: DataFrame, terms: DataFrame, key: str, qid: str) -> DataFrame:

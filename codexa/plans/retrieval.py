@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from codexa.functions import text as X
 from codexa.operators import retrieval as R
 from codexa.plans.registry import query
-from codexa.sources.tables import table
+from codexa.sources.tables import spread, table
 
 
 def _parts(spark: SparkSession, d: str, distinct: bool = False, chars: bool = False, all_terms: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings of the terms asked for (of all, where a score needs them), lengths, and the questions' terms."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     length = F.length("text") if chars else F.size(X.tokens_alnum("text"))
     terms = R.query_terms(table(spark, d, "eval_items"), "item_id", X.tokens_alnum("question"), distinct)
     return R.postings(docs, "doc_id", X.tokens_alnum("text"), None if all_terms else terms), docs.select("doc_id", length.cast("bigint").alias("dl")), terms
@@ -41,12 +41,14 @@ _LAST = "SELECT item_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM {0} WH
 @query("ret_bm25", f"WITH {_bm25_sql(1.2, qtf='1')} {_LAST.format('bmr', 10)}")
 def ret_bm25(spark, d):
     """Flagship: the ten best documents of each question."""
-    index, lengths, terms = _parts(spark, d, distinct=True)
-    return R.ranked(R.bm25(index, lengths, terms, "doc_id", "item_id", k1=1.2), "item_id", "doc_id", 10)
+    return _bm(spark, d, 10, distinct=True, k1=1.2)
 
 
-def _bm(spark, d, k=20, **kw):
-    return R.ranked(R.bm25(*_parts(spark, d, all_terms=kw.get("idf") == "okapi"), "doc_id", "item_id", **kw), "item_id", "doc_id", k)
+def _bm(spark, d, k=20, distinct=False, chars=False, **kw):
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    tokens = X.tokens_alnum("text")
+    terms = R.query_terms(table(spark, d, "eval_items"), "item_id", X.tokens_alnum("question"), distinct)
+    return R.bm25_top(docs, "doc_id", tokens, F.length("text") if chars else F.size(tokens), terms, "item_id", k, **kw)
 
 
 @query("ret1_bm25_repeated_terms", f"WITH {_bm25_sql()} {_LAST.format('bmr', 20)}")
@@ -61,8 +63,7 @@ def _(spark, d):
 
 @query("ret3_bm25_char_length", f"WITH {_bm25_sql(1.2, qtf='1', length='length(text)')} {_LAST.format('bmr', 10)}")
 def _(spark, d):
-    index, lengths, terms = _parts(spark, d, distinct=True, chars=True)
-    return R.ranked(R.bm25(index, lengths, terms, "doc_id", "item_id", k1=1.2), "item_id", "doc_id", 10)
+    return _bm(spark, d, 10, distinct=True, chars=True, k1=1.2)
 
 
 @query("ret4_section_search", """WITH c AS (SELECT DISTINCT chunk_id, coalesce(section, '') || ' ' || text AS body, text FROM chunk_records), tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM c),
@@ -83,7 +84,7 @@ def _(spark, d):
 bm AS (SELECT item_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))) AS score FROM q JOIN wi USING (term) JOIN post USING (term) JOIN len USING (doc_id), st GROUP BY ALL),
 bmr AS (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) {_LAST.format('bmr', 20)}""")
 def _(spark, d):
-    return _bm(spark, d, idf="okapi")
+    return R.ranked(R.bm25(*_parts(spark, d, all_terms=True), "doc_id", "item_id", idf="okapi"), "item_id", "doc_id", 20)
 
 
 @query("ret6_cover_density")
@@ -115,7 +116,7 @@ tfr AS (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PAR
 
 
 def _tf(spark, d, k=20):
-    return R.ranked(R.tfidf(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"), "doc_id", "item_id", "text", "question"), "item_id", "doc_id", k)
+    return R.ranked(R.tfidf(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"), "doc_id", "item_id", "text", "question", k), "item_id", "doc_id", k)
 
 
 @query("ret8_tfidf", f"WITH {_TFIDF} {_LAST.format('tfr', 10)}")
