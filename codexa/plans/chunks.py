@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codexa.operators import chunks as C
+from codexa.operators import ranges as G
 from codexa.plans.registry import query
 from codexa.sources.tables import table
 
@@ -49,8 +50,12 @@ def _(spark, d):
 
 @query("chk7_page_interleave", "SELECT id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY coalesce(page_number, 0), CASE WHEN content_type = 'table' THEN 1 ELSE 0 END, chunk_index, id) AS BIGINT) AS place FROM rag_chunks")
 def _(spark, d):
-    w = Window.partitionBy("document_id").orderBy(F.coalesce("page_number", F.lit(0)), F.when(F.col("content_type") == "table", 1).otherwise(0), "chunk_index", "id")
-    return table(spark, d, "rag_chunks").select("id", F.row_number().over(w).cast("bigint").alias("place"))
+    # counted within a page, after the sizes of the pages before it
+    c = table(spark, d, "rag_chunks").select("id", "document_id", "chunk_index", F.coalesce("page_number", F.lit(0)).alias("page"), F.when(F.col("content_type") == "table", 1).otherwise(0).alias("late"))
+    before = Window.partitionBy("document_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = c.groupBy("document_id", "page").agg(F.count("*").alias("n")).select("document_id", "page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    w = Window.partitionBy("document_id", "page").orderBy("late", "chunk_index", "id")
+    return c.withColumn("r", F.row_number().over(w)).join(sizes, ["document_id", "page"]).select("id", (F.col("base") + F.col("r")).alias("place"))
 
 
 @query("chk8_compact_markdown", r"SELECT DISTINCT chunk_id, regexp_replace(regexp_replace(text, ' *\| *', '|', 'g'), '-{3,}', '---', 'g') AS compact FROM chunk_records")
@@ -104,8 +109,8 @@ def _(spark, d):
 
 @query("chk14_section_carry", "SELECT id, last_value(CASE WHEN content_type IS NOT NULL AND content_type <> 'text' THEN content_type END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY chunk_index, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM rag_chunks")
 def _(spark, d):
-    w = Window.partitionBy("document_id").orderBy("chunk_index", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "rag_chunks").select("id", F.last(F.when(F.col("content_type") != "text", F.col("content_type")), True).over(w).alias("section"))
+    c = table(spark, d, "rag_chunks").select("id", "document_id", "chunk_index", "content_type")
+    return G.running_last(c, "document_id", "chunk_index", "id", F.when(F.col("content_type") != "text", F.col("content_type")), "section").select("id", "section")
 
 
 @query("chk15_source_terms", "WITH u AS (SELECT id, split_part(id, '-', 1) AS term, 1 AS p, 'id' AS kind FROM rag_documents UNION ALL SELECT id, lower(unnest(regexp_extract_all(title, '[A-Z][a-z]{3,}'))), 2, 'title' FROM rag_documents), r AS (SELECT *, row_number() OVER (PARTITION BY id, term ORDER BY p) AS k FROM u WHERE length(term) >= 4) SELECT id, term, kind FROM r WHERE k = 1")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codexa.functions import text as X
+from codexa.operators import ranges as G
 from codexa.operators import relational as R
 from codexa.plans.registry import query
 from codexa.sources.tables import table
@@ -145,8 +146,8 @@ def _(spark, d):
 
 @query("join27_neighbours", "SELECT id, lag(content_type) OVER w AS before, lead(content_type) OVER w AS after FROM rag_chunks WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index, id)")
 def _(spark, d):
-    w = Window.partitionBy("document_id").orderBy("chunk_index", "id")
-    return table(spark, d, "rag_chunks").select("id", F.lag("content_type").over(w).alias("before"), F.lead("content_type").over(w).alias("after"))
+    c = table(spark, d, "rag_chunks").select("id", "document_id", "chunk_index", "content_type")
+    return G.beside(c, "document_id", "chunk_index", "id", F.col("content_type"), "before", "after").select("id", "before", "after")
 
 
 @query("join28_provenance", "SELECT chunk_id, CASE WHEN contextualized_text = text THEN 'equal' WHEN contains(contextualized_text, text) THEN 'contained' ELSE 'apart' END AS kind, CAST(count(*) AS BIGINT) AS n FROM chunk_records WHERE contextualized_text IS NOT NULL GROUP BY ALL")
@@ -183,23 +184,24 @@ def _(spark, d):
 
 @query("win6_carry_forward", "SELECT id, last_value(page_number IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY chunk_index, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page FROM rag_chunks")
 def _(spark, d):
-    w = Window.partitionBy("document_id").orderBy("chunk_index", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "rag_chunks").select("id", F.last("page_number", True).over(w).alias("page"))
+    c = table(spark, d, "rag_chunks").select("id", "document_id", "chunk_index", "page_number")
+    return G.running_last(c, "document_id", "chunk_index", "id", F.col("page_number"), "page").select("id", "page")
 
 
 @query("win8_fill_both_ways", "SELECT id, coalesce(last_value(page_number IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY chunk_index, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(page_number IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY chunk_index, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS page FROM rag_chunks")
 def _(spark, d):
-    w = Window.partitionBy("document_id").orderBy("chunk_index", "id")
-    down, up = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return table(spark, d, "rag_chunks").select("id", F.coalesce(F.last("page_number", True).over(down), F.first("page_number", True).over(up)).alias("page"))
+    c = table(spark, d, "rag_chunks").select("id", "document_id", "chunk_index", "page_number")
+    c = G.running_last(c, "document_id", "chunk_index", "id", F.col("page_number"), "down")
+    return G.running_last(c, "document_id", "chunk_index", "id", F.col("page_number"), "up", ahead=True).select("id", F.coalesce("down", "up").alias("page"))
 
 
 @query("win9_fragments", "WITH m AS (SELECT id, document_id, chunk_index, content_type, sum(CASE WHEN content_type IS NOT DISTINCT FROM p THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY chunk_index, id) AS island FROM (SELECT *, lag(content_type) OVER (PARTITION BY document_id ORDER BY chunk_index, id) AS p FROM rag_chunks)) SELECT document_id, CAST(island AS BIGINT) AS island, any_value(content_type) AS content_type, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY document_id, island")
 def _(spark, d):
-    w = Window.partitionBy("document_id").orderBy("chunk_index", "id")
-    c = table(spark, d, "rag_chunks").withColumn("new", (~F.col("content_type").eqNullSafe(F.lag("content_type").over(w))).cast("int"))
+    c = table(spark, d, "rag_chunks").select("id", "document_id", "chunk_index", "content_type")
+    c = G.beside(c, "document_id", "chunk_index", "id", F.col("content_type"), "before", "after")
     # a document's first chunk without a type continues nothing either, as its missing predecessor has none
-    return c.withColumn("island", F.sum("new").over(w)).groupBy("document_id", "island").agg(F.max("content_type").alias("content_type"), N())
+    c = G.running_sum(c, "document_id", "chunk_index", "id", (~F.col("content_type").eqNullSafe(F.col("before"))).cast("int"), "island")
+    return c.groupBy("document_id", "island").agg(F.max("content_type").alias("content_type"), N())
 
 
 @query("win10_first_occurrence", "SELECT code, arg_min(id, id) AS id FROM (SELECT id, unnest(list_distinct(regexp_extract_all(content, '\\bD[0-9]{4}\\b'))) AS code FROM rag_chunks) GROUP BY 1")

@@ -225,3 +225,22 @@ def test_access_and_labels(spark):
     assert [r.decision for r in got.collect()] == ["allow", "deny"]
     s = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.1), (2, "a", 0.55), (2, "b", 0.45), (3, "a", 0.4)], "k int, l string, p double")
     assert {r.k: r.decision for r in P.label_with_margin(s, "k", "l", "p").collect()} == {1: "a", 2: "ambiguous", 3: "none"}
+
+
+def test_ranges_give_what_a_window_gives(spark):
+    import random
+
+    from codexa.operators import ranges as G
+    from pyspark.sql import Window
+
+    rnd = random.Random(1)
+    rows = [(i, rnd.choice(["a", "a", "b", None]), rnd.choice([None, *range(60)]), rnd.choice([None, None, 1, 2])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, p int, v int")
+    w = Window.partitionBy("k").orderBy(F.col("p").asc_nulls_first(), "id")
+    down, up = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    want = df.select("id", F.last("v", True).over(down).alias("l"), F.first("v", True).over(up).alias("f"), F.lag("v").over(w).alias("b"), F.lead("v").over(w).alias("a"), F.coalesce(F.sum("v").over(down), F.lit(0)).alias("s"))
+    got = G.running_last(df, "k", "p", "id", F.col("v"), "l", width=7)
+    got = G.running_last(got, "k", "p", "id", F.col("v"), "f", width=7, ahead=True)
+    got = G.beside(got, "k", "p", "id", F.col("v"), "b", "a", width=7)
+    got = G.running_sum(got, "k", "p", "id", F.col("v"), "s", width=7).select(want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
