@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from codexa.plans import chunks, claims, policy, quality, relational, retrieval, streams, text  # noqa: F401
+    from codexa.plans import chunks, claims, library, policy, quality, relational, retrieval, streams, text  # noqa: F401

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -126,3 +128,100 @@ def flattened_claims(bundles: DataFrame, resource: str = "resource") -> DataFram
     minutes = F.greatest(F.lit(0), F.floor((F.unix_timestamp("r.billablePeriod.end") - F.unix_timestamp("r.billablePeriod.start")) / 60))
     code = F.get(F.get("r.item", F.lit(0)).getField("productOrService").getField("coding"), F.lit(0)).getField("code")
     return j.select(F.col("r.id").alias("claim"), F.col("r.patient.reference").alias("patient"), F.col("r.provider.reference").alias("provider"), F.to_date("r.billablePeriod.start").alias("date"), code.alias("code"), minutes.alias("minutes"), F.size("r.item").alias("lines"), F.round("r.payment.amount.value", 2).alias("paid"))
+
+
+def gold_questions(rows: DataFrame, question: str, relevant: Column) -> tuple[DataFrame, DataFrame]:
+    """Questions with a text and at least one relevant source, and those without, with what is wrong."""
+    q = F.trim(F.coalesce(question, F.lit(""))) == ""
+    problem = F.when(q, "empty question").when(F.coalesce(F.size(relevant), F.lit(0)) < 1, "no relevant source")
+    t = rows.withColumn("problem", problem)
+    return t.where("problem IS NULL").drop("problem"), t.where("problem IS NOT NULL")
+
+
+def manifest(rows: DataFrame, key: str, path: str, required: list[str], override: Column | None = None) -> DataFrame:
+    """Entries with ``path`` (the override where there is one) and ``problem``: a required value that is missing, or a path that comes twice."""
+    missing = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in (key, path, *required)])
+    twice = rows.groupBy(F.col(path).alias("_p")).agg(F.count("*").alias("_n")).where("_n > 1")
+    t = rows.join(twice, F.col(path) == F.col("_p"), "left")
+    to = F.col(path) if override is None else F.coalesce(override, F.col(path))
+    return t.select(*rows.columns, to.alias("path"), F.coalesce(missing, F.when(F.col("_n").isNotNull(), "path twice")).alias("problem"))
+
+
+def feed_entries(rows: DataFrame, xml: str) -> DataFrame:
+    """(id, title, authors, categories, published) of feed entries held as XML text."""
+    schema = "id string, title string, author array<struct<name:string>>, category array<struct<_term:string>>, published string"
+    e = rows.select(F.from_xml(xml, schema).alias("e"))
+    names = F.transform("e.author", lambda a: F.trim(a["name"]))
+    return e.select("e.id", F.trim(F.regexp_replace("e.title", r"\s+", " ")).alias("title"), names.alias("authors"), F.transform("e.category", lambda c: c["_term"]).alias("categories"), F.substring("e.published", 1, 10).cast("date").alias("published"))
+
+
+def page_tables(rows: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, table, row, section, headers, cells) of the outermost tables of HTML pages.
+
+    A table's section is its caption, else the heading before it. Header rows are joined by " | ", spans filled in;
+    columns without a header are named by their place. Parsing needs Python, so it goes in batches.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from codexa.functions.frames import frame
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(k, *r) for k, h in zip(b[key], b[html]) for r in _page_tables(h or "")]
+            yield frame(out, [key, "table", "row", "section", "headers", "cells"])
+
+    return rows.select(key, html).mapInPandas(go, f"{key} {dict(rows.dtypes)[key]}, table int, row int, section string, headers array<string>, cells array<string>")
+
+
+def _page_tables(html: str) -> list[tuple]:
+    from html.parser import HTMLParser
+
+    class Page(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.heading, self.depth, self.tables, self.text, self.into = "", 0, [], [], None
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "table":
+                self.depth += 1
+                if self.depth == 1:
+                    self.tables.append({"section": self.heading, "rows": []})
+            elif self.depth == 1 and tag == "tr":
+                self.tables[-1]["rows"].append([])
+            elif self.depth == 1 and tag in ("td", "th") and self.tables[-1]["rows"]:
+                span = dict(attrs).get("colspan") or "1"
+                self.into, self.text = (tag, int(span) if span.isdigit() else 1), []
+            elif self.depth <= 1 and (tag == "caption" or re.fullmatch("h[1-6]", tag)):
+                self.into, self.text = (tag, 1), []
+
+        def handle_data(self, data):
+            self.text.append(data)
+
+        def handle_endtag(self, tag):
+            if tag == "table":
+                self.depth -= 1
+            if self.into is None or tag != self.into[0] or self.depth > 1:
+                return
+            value = " ".join("".join(self.text).split())
+            if tag in ("td", "th"):
+                self.tables[-1]["rows"][-1] += [(tag == "th", value)] * self.into[1]
+            elif tag == "caption":
+                self.tables[-1]["section"] = value
+            elif not self.depth:
+                self.heading = value
+            self.into = None
+
+    page = Page()
+    page.feed(html)
+    out = []
+    for n, t in enumerate(page.tables):
+        rows = [r for r in t["rows"] if r]
+        heads = 0
+        while heads < len(rows) and all(th for th, _ in rows[heads]):
+            heads += 1
+        width = max(map(len, rows), default=0)
+        names = [" | ".join(dict.fromkeys(r[i][1] for r in rows[:heads] if i < len(r) and r[i][1])) or f"column_{i + 1}" for i in range(width)]
+        out += [(n, k, t["section"], names, [v for _, v in r] + [""] * (width - len(r))) for k, r in enumerate(rows[heads:])]
+    return out

@@ -9,7 +9,7 @@ from codexa.plans import registry
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 #: Too few rows at this scale for a match.
-MAY_BE_EMPTY = {"chk10_default_headers", "chk11_promoted_headers", "chk12_normal_tables", "chk13_inferred_titles", "ded1_exact_groups", "join20_band_join", "join26_fuzzy_title"}
+MAY_BE_EMPTY = {"chk10_default_headers", "chk11_promoted_headers", "chk12_normal_tables", "chk13_inferred_titles", "ded1_exact_groups", "join20_band_join", "join26_fuzzy_title", "proj2_conjunctive", "proj25_filtered_clusters"}
 
 
 @pytest.fixture(scope="module")
