@@ -136,6 +136,11 @@ def has_card(text: Column | str) -> Column:
     return F.exists(digits, lambda x: _luhn(x) & (F.size(F.array_distinct(F.split(x, ""))) > 1))
 
 
+def seeded(seed: int, value: Column | str) -> Column:
+    """A number from 0 to 2**60 - 1 that follows from a seed and a value, the same in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), _c(value).cast("string"))), 1, 15), 16, 10).cast("bigint")
+
+
 def short_hash(text: Column | str) -> Column:
     return F.concat(F.lit("sha256:"), F.substring(F.sha2(_c(text), 256), 1, 12))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codexa.functions import text as X
 from codexa.operators import claims as C
 from codexa.plans.registry import query
 from codexa.sources.tables import table
@@ -294,11 +295,11 @@ def _(spark, d):
     return j.agg(F.sum(F.when(F.col("t").isNotNull(), 1).otherwise(-1)).alias("net"))
 
 
-@query("frd20_planted_cases")
+@query("frd20_planted_cases", f"WITH {_CLAIMS} SELECT *, CAST(NULL AS VARCHAR) AS scheme FROM cl UNION ALL SELECT -claim, patient, provider, service, date, minutes, paid, 'duplicate' FROM cl WHERE CAST('0x' || substring(md5('17:' || CAST(claim AS VARCHAR)), 1, 15) AS BIGINT) % 200 = 0")
 def _(spark, d):
     """Fixture generator: claims with planted repeats and their answer key, by a seeded rule."""
     c = claims(spark, d)
-    planted = c.where(F.pmod(F.xxhash64(F.lit(17), "claim"), F.lit(200)) == 0).select((-F.col("claim")).alias("claim"), "patient", "provider", "service", "date", "minutes", "paid", F.lit("duplicate").alias("scheme"))
+    planted = c.where(X.seeded(17, "claim") % 200 == 0).select((-F.col("claim")).alias("claim"), "patient", "provider", "service", "date", "minutes", "paid", F.lit("duplicate").alias("scheme"))
     return c.withColumn("scheme", F.lit(None).cast("string")).unionByName(planted)
 
 

@@ -168,23 +168,23 @@ def _(spark, d):
     return table(spark, d, "eval_items").groupBy("item_type").agg(F.count("*").alias("n"), F.count_if(F.col("page") <= 10).alias("early"), F.round(F.avg(1.0 / F.col("page")), 6).alias("mrr"))
 
 
-@query("eva14_group_split")
+@query("eva14_group_split", "SELECT DISTINCT chunk_id, document_id, CASE WHEN CAST('0x' || substring(md5('7:' || CAST(document_id AS VARCHAR)), 1, 15) AS BIGINT) % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM chunk_records")
 def _(spark, d):
     """Train and test by whole documents: a seeded hash of the document decides, so no group is in both."""
-    part = F.when(F.pmod(F.xxhash64(F.lit(7), "document_id"), F.lit(10)) < 8, "train").otherwise("test")
+    part = F.when(X.seeded(7, "document_id") % 10 < 8, "train").otherwise("test")
     return table(spark, d, "chunk_records").select("chunk_id", "document_id", part.alias("split")).distinct()
 
 
-@query("eva15_training_rows")
+@query("eva15_training_rows", "WITH r AS (SELECT *, row_number() OVER (ORDER BY CAST('0x' || substring(md5('3:' || CAST(item_id AS VARCHAR)), 1, 15) AS BIGINT), item_id) AS r, count(*) OVER () AS n FROM eval_items), w AS (SELECT a.item_id, a.question, a.answer, a.passage, list_sort(list_distinct(list(b.passage))) AS o FROM r a JOIN r b ON b.r = a.r % a.n + 1 OR b.r = (a.r + 1) % a.n + 1 GROUP BY ALL) SELECT item_id, unnest(['direct', 'reasoned']) AS task, question, answer, array_to_string(list_concat([passage], o), ' | ') AS contexts FROM w")
 def _(spark, d):
     """Each item with two distractor passages drawn by hash order, as rows for two tasks."""
     e = table(spark, d, "eval_items")
     n = e.count()
-    ring = e.select("item_id", "question", "answer", "passage", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(3), "item_id"))).alias("r"))  # the items are one small, stated set
+    ring = e.select("item_id", "question", "answer", "passage", F.row_number().over(Window.orderBy(X.seeded(3, "item_id"), "item_id")).alias("r"))  # the items are one small, stated set
     other = ring.select(F.col("r").alias("o"), F.col("passage").alias("distractor"))
     want = ring.select("*", F.explode(F.array((F.col("r") % n) + 1, ((F.col("r") + 1) % n) + 1)).alias("o"))
     g = want.join(other, "o").groupBy("item_id").agg(F.first("question").alias("question"), F.first("answer").alias("answer"), F.first("passage").alias("passage"), F.array_sort(F.collect_set("distractor")).alias("distractors"))
-    return g.select("item_id", F.explode(F.array(F.lit("direct"), F.lit("reasoned"))).alias("task"), "question", "answer", F.concat(F.array("passage"), "distractors").alias("contexts"))
+    return g.select("item_id", F.explode(F.array(F.lit("direct"), F.lit("reasoned"))).alias("task"), "question", "answer", F.array_join(F.concat(F.array("passage"), "distractors"), " | ").alias("contexts"))
 
 
 @query("eva16_evidence_sentences", r"""WITH s AS (SELECT item_id, question, unnest(string_split_regex(passage, '\. ')) AS s FROM eval_items), o AS (SELECT item_id, s, len(list_intersect(list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')))) AS k FROM s WHERE length(s) >= 15), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC, s) AS r FROM o) SELECT item_id, s AS sentence FROM r WHERE r <= 2""")
@@ -195,11 +195,11 @@ def _(spark, d):
     return s.withColumn("k", k).withColumn("r", F.row_number().over(w)).where("r <= 2").select("item_id", "sentence")
 
 
-@query("eva17_sampled_questions")
+@query("eva17_sampled_questions", "SELECT document_id, arg_min(id, CAST('0x' || substring(md5('11:' || CAST(id AS VARCHAR)), 1, 15) AS BIGINT)) AS id FROM rag_chunks WHERE length(content) >= 200 GROUP BY 1")
 def _(spark, d):
     """One long chunk a document, drawn by hash order."""
     c = table(spark, d, "rag_chunks").where(F.length("content") >= 200)
-    return c.groupBy("document_id").agg(F.min_by("id", F.xxhash64(F.lit(11), "id")).alias("id"))
+    return c.groupBy("document_id").agg(F.min_by("id", X.seeded(11, "id")).alias("id"))
 
 
 @query("eva18_context_levels", "SELECT item_id, CASE WHEN k >= 8 THEN 'full' WHEN k >= 5 THEN 'long' WHEN k >= 3 THEN 'short' ELSE 'hide' END AS level FROM (SELECT item_id, len(list_intersect(list_distinct(regexp_extract_all(lower(passage), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')))) AS k FROM eval_items)")

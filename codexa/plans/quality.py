@@ -130,7 +130,9 @@ def _(spark, d):
     return p.groupBy("document_id").agg(((F.min("page") == 1) & (F.max("page") == F.count("*"))).alias("contiguous"))
 
 
-@query("proj26_row_search_text")
+@query("proj26_row_search_text", rf"""WITH {_C}, r AS (SELECT chunk_id, document_id, section, row - 1 AS row, string_split_regex(lines[row], '[;\t|]') AS cells FROM (SELECT chunk_id, document_id, section, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS row FROM c WHERE content_type = 'table_row')),
+x AS (SELECT *, list_filter([CASE WHEN trim(coalesce(cells[1], '')) <> '' THEN 'service: ' || trim(cells[1]) END, CASE WHEN trim(coalesce(cells[2], '')) <> '' THEN 'code: ' || trim(cells[2]) END, CASE WHEN trim(coalesce(cells[3], '')) <> '' THEN 'fee: ' || trim(cells[3]) END, CASE WHEN trim(coalesce(cells[4], '')) <> '' THEN 'year: ' || trim(cells[4]) END], lambda v: v IS NOT NULL) AS shown FROM r)
+SELECT chunk_id, CAST(row AS INTEGER) AS row, concat_ws('. ', document_id, section, coalesce(array_to_string(shown, '; '), '')) AS search_text FROM x""")
 def _(spark, d):
     rows = chunks(spark, d).where("content_type = 'table_row'").select("chunk_id", "document_id", "section", F.posexplode(F.split("text", "\n")).alias("row", "line"))
     cell = lambda h, i: F.struct(F.lit(h).alias("header"), F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias("value"))

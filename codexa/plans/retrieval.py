@@ -87,7 +87,9 @@ def _(spark, d):
     return R.ranked(R.bm25(*_parts(spark, d, all_terms=True), "doc_id", "item_id", idf="okapi"), "item_id", "doc_id", 20)
 
 
-@query("ret6_cover_density")
+@query("ret6_cover_density", f"""WITH {_BASE.format(length=_WORDS, floor=0.0, qtf='1')}, a AS (SELECT item_id, count(*) AS asked FROM q GROUP BY 1), h AS (SELECT item_id, doc_id, count(*) AS matched FROM q JOIN post USING (term) GROUP BY ALL),
+x AS (SELECT h.*, asked, max(CAST(matched = asked AS INTEGER)) OVER (PARTITION BY item_id) AS f FROM h JOIN a USING (item_id)), y AS (SELECT item_id, doc_id, matched / (1 + ln(1 + dl)) AS x FROM x JOIN len USING (doc_id) WHERE f = 0 OR matched = asked),
+z AS (SELECT item_id, doc_id, round(x / (x + 1), 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(x / (x + 1), 6) DESC, doc_id) AS rank FROM y) SELECT item_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM z WHERE rank <= 10""")
 def _(spark, d):
     """Full-text rank by coverage: matched share of the query, saturated; not the server's own formula."""
     index, lengths, terms = _parts(spark, d, distinct=True)

@@ -18,12 +18,19 @@ def _runs(df):
     return df.select("user_id", "event_id", "ts", want.alias("wanted"))
 
 
-@query("str1_run_states")
+_MOVED = "(({0} IS NULL AND e.wanted IN ('queued', 'running')) OR ({0} = 'queued' AND e.wanted IN ('running', 'cancelled')) OR ({0} = 'running' AND e.wanted IN ('done', 'failed', 'cancelled')))"
+_STATES = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, CASE WHEN event_type IN ('view', 'signup') THEN 'queued' WHEN event_type = 'click' THEN 'running' WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'error' THEN 'failed' END AS wanted, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT e.user_id, e.i, e.event_id, e.wanted, false AS accepted, CAST(NULL AS VARCHAR) AS state, 0 AS version FROM (SELECT DISTINCT user_id, 0 AS i, CAST(0 AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS wanted FROM e) e
+UNION ALL SELECT e.user_id, e.i, e.event_id, e.wanted, coalesce({_MOVED.format('r.state')}, false), CASE WHEN coalesce({_MOVED.format('r.state')}, false) THEN e.wanted ELSE r.state END, r.version + CASE WHEN coalesce({_MOVED.format('r.state')}, false) THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id AS key, event_id AS event, wanted, accepted, state, CAST(version AS BIGINT) AS version FROM r WHERE i > 0"""
+
+
+@query("str1_run_states", _STATES)
 def _(spark, d):
     return E.run_states_batch(_runs(table(spark, d, "events")), "user_id", "event_id", "wanted", "ts")
 
 
-@query("str1_stream_run_states")
+@query("str1_stream_run_states", _STATES)
 def _(spark, d):
     stream = _runs(E.parquet_stream(spark, d, "events"))
     return E.drained(E.run_states(stream, "user_id", "event_id", "wanted", "ts"), f"runs_{uuid.uuid4().hex}")

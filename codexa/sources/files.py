@@ -17,11 +17,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict:
     return spark.read.schema(StructType([*s.fields]).add("_corrupt_record", "string")).option("mode", "PERMISSIVE").json(path)
 
 
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(file, query, problem): the first of user_input, query and question in each JSON line."""
-    t = spark.read.text(path).where(F.trim("value") != "").select(F.input_file_name().alias("file"), F.from_json("value", "user_input string, query string, question string").alias("j"))
+def read_queries(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(file, line, query, problem): the first of user_input, query and question in each JSON line, with the line's number from 1.
+
+    A line's number is told by its place in the whole file, so a file is read by one task; query batches are small
+    files, many of them. Bad lines carry ``problem``; if strict, reading one fails with its file and line.
+    """
+    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "value"))
+    t = t.where(F.trim("value") != "").withColumn("j", F.from_json("value", "user_input string, query string, question string"))
     q = F.coalesce("j.user_input", "j.query", "j.question")
-    return t.select("file", q.alias("query"), F.when(q.isNull(), "no query").alias("problem"))
+    bad = F.when(q.isNull() | (F.trim(q) == ""), "no query")
+    t = t.select("file", (F.col("i") + 1).alias("line"), q.alias("query"), bad.alias("problem"))
+    if not strict:
+        return t
+    fail = F.raise_error(F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(": "), F.col("problem")))
+    return t.withColumn("query", F.when(F.col("problem").isNull(), F.col("query")).otherwise(fail.cast("string")))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

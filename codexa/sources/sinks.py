@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +51,40 @@ def markdown_report(df: DataFrame, most: int = 200) -> str:
         raise ValueError(f"more than {most} rows are no report")
     head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}"
     return "\n".join([head, *(f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in rows)])
+
+
+def write_json_atomic(value, path: str, indent: int | None = 2, sort_keys: bool = False) -> None:
+    """One JSON document, put in place at once: a reader sees the old one or the new one."""
+    text = json.dumps(value, indent=indent, ensure_ascii=False, sort_keys=sort_keys)
+    fd, part = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".part")
+    try:
+        with os.fdopen(fd, "w", encoding="utf-8") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(part, path)
+    except BaseException:
+        if os.path.exists(part):
+            os.remove(part)
+        raise
+
+
+def upsert_vectors(spark: SparkSession, new: DataFrame, path: str, key: str, vector: str, version: int) -> str:
+    """Rows by key with their vector as JSON text beside it, laid over what is there, as a further version."""
+    return upsert_parquet(spark, new.withColumn(f"{vector}_json", F.to_json(vector)), path, [key], version)
+
+
+def rebuild_tables(tables: dict[str, DataFrame], path: str, build: str) -> str:
+    """Several tables as one build below ``path``, named in its ``current`` file only once all are written; returns the build's folder.
+
+    Readers take the folder from ``current_build``, so a build that breaks off is never read.
+    """
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{build}/{name}")
+    write_json_atomic({"build": build, "tables": sorted(tables)}, f"{path}/current")
+    return f"{path}/{build}"
+
+
+def current_build(path: str) -> str:
+    with open(f"{path}/current", encoding="utf-8") as f:
+        return f"{path}/{json.load(f)['build']}"

@@ -244,3 +244,68 @@ def test_ranges_give_what_a_window_gives(spark):
     got = G.beside(got, "k", "p", "id", F.col("v"), "b", "a", width=7)
     got = G.running_sum(got, "k", "p", "id", F.col("v"), "s", width=7).select(want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_connectors(spark, tmp_path):
+    import sqlite3
+
+    from codexa.sources import connectors
+
+    for n, ids in enumerate((["a", "b"], ["c"])):
+        link = [{"relation": "next", "url": "p1.json"}] if n == 0 else [{"relation": "self", "url": "x"}]
+        (tmp_path / f"p{n}.json").write_text(json.dumps({"link": link, "entry": [{"resource": {"resourceType": "Claim", "id": i}} for i in ids]}))
+    spark.dataSource.register(connectors.BundlePages)
+    got = spark.read.format("bundle_pages").option("start", str(tmp_path / "p0.json")).load().orderBy("page", "place").collect()
+    assert [(r.page, r.place, r.type, r.id) for r in got] == [(0, 0, "Claim", "a"), (0, 1, "Claim", "b"), (1, 0, "Claim", "c")]
+    con = sqlite3.connect(tmp_path / "x.db")
+    con.execute("CREATE TABLE t (id INTEGER, name TEXT, v REAL)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, f"n{i}" if i % 3 else None, i / 2) for i in range(10)])
+    con.commit()
+    spark.dataSource.register(connectors.SqliteReadOnly)
+    df = spark.read.format("sqlite_read_only").option("path", str(tmp_path / "x.db")).option("table", "t").option("ranges", "3").load()
+    assert df.dtypes == [("id", "bigint"), ("name", "string"), ("v", "double")]
+    assert sorted(tuple(r) for r in df.collect())[1] == (1, "n1", 0.5) and df.count() == 10 and df.where("name is null").count() == 4
+
+
+def test_query_batches_and_builds(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"query": "a"}\n\n{"other": 1}\n{"question": "b"}\n')
+    rows = [tuple(r)[1:] for r in files.read_queries(spark, str(tmp_path / "q.jsonl")).orderBy("line").collect()]
+    assert rows == [(1, "a", None), (3, None, "no query"), (4, "b", None)]
+    with pytest.raises(Exception, match="q.jsonl:3: no query"):
+        files.read_queries(spark, str(tmp_path / "q.jsonl"), strict=True).collect()
+    one = spark.range(3)
+    sinks.rebuild_tables({"a": one, "b": one}, str(tmp_path / "dims"), "b1")
+    assert spark.read.parquet(sinks.current_build(str(tmp_path / "dims")) + "/a").count() == 3
+    v = spark.createDataFrame([(1, [0.5, 1.0])], "id int, e array<float>")
+    at = sinks.upsert_vectors(spark, v, str(tmp_path / "v"), "id", "e", 0)
+    at = sinks.upsert_vectors(spark, spark.createDataFrame([(1, [2.0]), (2, None)], "id int, e array<float>"), str(tmp_path / "v"), "id", "e", 1)
+    assert [tuple(r) for r in spark.read.parquet(at).orderBy("id").collect()] == [(1, [2.0], "[2.0]"), (2, None, None)]
+
+
+def test_page_tables_and_headers(spark):
+    html = "<h2>Fees</h2><p>x</p><table><caption>Plan A</caption><tr><th colspan=2>In</th></tr><tr><th>Code</th><th>Fee</th></tr><tr><td>D1 <b>x</b></td><td>5</td></tr></table><table><tr><td>a</td><td><table><tr><td>inner</td></tr></table></td></tr></table>"
+    got = files.page_tables(spark.createDataFrame([(1, html), (2, None), (3, "")], "k int, html string"), "k", "html").orderBy("table").collect()
+    assert [(r.table, r.section, r.headers, r.cells) for r in got] == [(0, "Plan A", ["In | Code", "In | Fee"], ["D1 x", "5"]), (1, "Fees", ["column_1", "column_2"], ["a", "inner"])]
+
+
+def test_learned_tools(spark):
+    from codexa.operators import learned
+
+    good = 'def f(rows: list, n: int = 2) -> float:\n    """Sum."""\n    return sum(r["v"] for r in rows) * n\n'
+    assert learned.problems(good) == [] and learned.run_apart(good, [[{"v": 1}, {"v": 2}]]) == [6]
+    for bad in ("x = 1", "def f(r):\n    return 1", 'def f(r):\n    """D."""\n    return open("x")', 'import os\ndef f(r):\n    """D."""\n    return 1', 'def f(r):\n    """D."""\n    return r.__class__', 'def f(r, x):\n    """D."""\n    return 1', "def f("):
+        assert learned.problems(bad)
+    with pytest.raises(RuntimeError):
+        learned.run_apart('def f(rows):\n    """D."""\n    return 1 / 0\n', [[]])
+    e = learned.embedded(spark.createDataFrame([(1, "a b"), (2, None)], "id int, t string"), "t", learned.HashEmbedder(8)).orderBy("id").collect()
+    assert len(e[0].vector) == 8 and e[1].vector is None
+
+
+def test_corrective_search(spark):
+    from codexa.operators import library as B
+
+    ask = spark.createDataFrame([("x",)], "q string")
+    seen = []
+    out = B.corrective_search(ask, lambda q: q, lambda r: r.first().q == "better", lambda q: q.select(F.lit("better").alias("q")), lambda r: seen.append(1) or f"try {len(seen)}", lambda t, r: t == "try 2")
+    assert (out["answer"], out["rewrites"], out["attempts"]) == ("try 2", 1, 2)
+    assert B.corrective_search(ask, lambda q: q, lambda r: False, lambda q: q, str, lambda t, r: True)["answer"] is None
