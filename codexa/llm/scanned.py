@@ -1,15 +1,17 @@
 """Problem 3: text from scanned pages made into continuous paragraphs.
 
 1. A hidden Markov model labels each line as running header, page number
-   (break) or body by layout features. It is fitted by counting on at most
-   ``fit_rows`` chunks, labelled weakly by page-number shapes and titles.
+   (break), body, or body that ends inside a word (split), by layout features.
+   It is fitted by counting on at most ``fit_rows`` chunks, labelled weakly by
+   page-number shapes, titles and marks at line ends.
 2. Words are counted over all chunks. A word that the usual confusions of
    characters turn into one at least ``RATIO`` times as frequent was misread;
    candidates meet in a join on a form in which confused characters fall
    together. Counts of a word and of its parts also tell words broken at line
    ends from compounds.
-3. Body lines are joined into paragraphs; words broken at line ends, also
-   across headers and page numbers, are put together.
+3. Body lines are joined into paragraphs; the words of lines labelled split,
+   also across headers and page numbers, are put together where the counts
+   bear it out.
 
 Misreadings and broken words are a table. Where it is counted to hold at most
 ``bound`` rows it is sent to the tasks; where it holds more, each chunk gets its
@@ -56,7 +58,9 @@ _BROKEN = re.compile(rf"([!|]?[^\W_]+(?:[-'’!|][^\W_]+)*)([{MARKS}])\s*$")
 _NUMBER = re.compile(r"\s*(?:[-–—\[(|•·*~]\s*)?(?:page|pg\.?|p\.)?\s*\d{1,4}\s*(?:(?:of|/)\s*\d{1,4}\s*)?(?:[-–—\])|•·*~]\s*)?$", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _CODED = frozenset("+=/\\@&<{}~^")
-STATES = ("body", "header", "break")
+STATES = ("body", "header", "break", "split")
+#: States whose lines belong to the text.
+TEXT = (0, 3)
 
 
 def explains(seen: str, true: str, most: int = 4) -> list[int] | None:
@@ -234,14 +238,18 @@ class Layout:
             caps = int(len(words) < 25 and sum([w[0].isupper() for w in words]) > 0.9 * len(words))
             edge = 0 if k == 0 else 1 if k == len(held) - 1 else 2
             alone = int((i == 0 or not lines[i - 1].strip()) and (i + 1 == len(lines) or not lines[i + 1].strip()))
-            out[i] = (*self.marks(line, words), caps, int(line.rstrip()[-1] in ".;:?!"), min(2, 3 * len(line) // width), int(scanned), edge, alone, int(same[line.strip()] > 1))
+            end = line.rstrip()
+            cut = int(end[-1] in MARKS and end[-2:-1].isalnum() and k < len(held) - 1)
+            out[i] = (*self.marks(line, words), caps, int(end[-1] in ".;:?!"), min(2, 3 * len(line) // width), int(scanned), edge, alone, int(same[line.strip()] > 1), cut)
         return out
 
 
 class LineModel:
     """A hidden Markov model over the lines of a chunk, with independent features."""
 
-    SIZES = (2, 2, 2, 2, 2, 3, 2, 3, 2, 2)
+    SIZES = (2, 2, 2, 2, 2, 3, 2, 3, 2, 2, 2)
+    #: Features that hardly are smoothed, as nothing else tells furniture and broken ends.
+    TELLING = (0, 1, 2, 10)
 
     def __init__(self):
         self.start = np.zeros(len(STATES))
@@ -250,9 +258,9 @@ class LineModel:
         self.known: dict[tuple[int, ...], list[float]] = {}
 
     def fit(self, chunks: list[list[tuple[tuple[int, ...], int]]]) -> LineModel:
-        """Smoothed counts; ``chunks`` hold (features, state) of each line. What marks furniture is hardly smoothed, as nothing else tells it."""
+        """Smoothed counts; ``chunks`` hold (features, state) of each line."""
         start, move = np.ones(len(STATES)), np.ones((len(STATES), len(STATES)))
-        emit = [np.full((len(STATES), k), 0.02 if j < 3 else 0.5) for j, k in enumerate(self.SIZES)]
+        emit = [np.full((len(STATES), k), 0.02 if j in self.TELLING else 0.5) for j, k in enumerate(self.SIZES)]
         for lines in chunks:
             before = None
             for f, s in lines:
@@ -305,10 +313,10 @@ def fit_lines(rows: list) -> LineModel:
     chunks = []
     for r in rows:
         fs = [f for f in Layout(r.document_id, r.title).features(r.text.split("\n"), _scanned(r.pages, r.image_only_pages)) if f]
-        chunks.append([(f, 2 if f[0] else 1 if f[1] == 1 or f[1] == -1 and f[2] else 0) for f in fs])
+        chunks.append([(f, 2 if f[0] else 1 if f[1] == 1 or f[1] == -1 and f[2] else 3 if f[10] else 0) for f in fs])
     # every state is seen in its plain shape, body lines at every place and of every length
-    plain = [((0, 0, 0, 0, end, wide, scan, edge, 0, 0), 0) for _ in range(5) for end in (0, 1) for wide in range(3) for scan in (0, 1) for edge in range(3)]
-    plain += [((0, 1, 1, 1, 0, 2, 1, 2, 0, 0), 1), *plain[:2], ((1, 0, 0, 0, 0, 0, 1, 2, 0, 0), 2)]
+    plain = [((0, 0, 0, 0, end, wide, scan, edge, 0, 0, cut), 3 * cut) for cut in (0, 1) for _ in range(5 - 3 * cut) for end in (0, 1) for wide in range(3) for scan in (0, 1) for edge in range(3)]
+    plain += [((0, 1, 1, 1, 0, 2, 1, 2, 0, 0, 0), 1), *plain[:2], ((1, 0, 0, 0, 0, 0, 1, 2, 0, 0, 0), 2)]
     return LineModel().fit([*chunks, plain])
 
 
@@ -328,11 +336,11 @@ class Repair:
         return [f and next(path) for f in fs]
 
     def _ends(self, lines: list[str], states: list[int | None]) -> list[tuple[int, int, re.Match, re.Match]]:
-        """(line, line its word may go on in, match of the first part, match of the second) of body lines that end in a mark."""
+        """(line, line its word may go on in, match of the first part, match of the second) of lines labelled split."""
         out = []
-        body = [i for i, s in enumerate(states) if s == 0]
+        body = [i for i, s in enumerate(states) if s in TEXT]
         for i, j in zip(body, body[1:]):
-            m = lines[i].rstrip()[-1:] in MARKS and _BROKEN.search(lines[i])
+            m = states[i] == 3 and _BROKEN.search(lines[i])
             n = m and _TOKEN.match(lines[j].lstrip())
             if n and m.group(1)[-1:].isalnum() and (n.group()[:1].islower() or n.group()[:1] in "!|015"):
                 out.append((i, j, m, n))
@@ -402,7 +410,7 @@ class Repair:
         for i, s, e, w in sorted(fixes, key=lambda x: (x[0], -x[1])):
             old = lines[i][s:e]
             new[i] = new[i][:s] + (w.upper() if old.isupper() and len(old) > 1 else w.capitalize() if old[:1].isupper() else w) + new[i][e:]
-        body = [i for i, s in enumerate(states) if s == 0]
+        body = [i for i, s in enumerate(states) if s in TEXT]
         wrapped = breaks or sum(lines[j][:1].islower() for j in body[1:]) >= 0.3 * max(1, len(body) - 1)
         out: list[str] = []
         glue = False
@@ -478,7 +486,7 @@ def line_defects(records: DataFrame, documents: DataFrame, fit_rows: int = FIT_R
         if text is None:
             return set()
         _, states, breaks, fixes = repair.look(*about, text)
-        out = {(chunk, i, "page_furniture") for i, s in enumerate(states) if s}
+        out = {(chunk, i, "page_furniture") for i, s in enumerate(states) if s in (1, 2)}
         return sorted(out | {(chunk, i, "split_word") for i in breaks} | {(chunk, f[0], "misread") for f in fixes})
 
     return _repaired(_inputs(records, documents), each, "chunk_id string, line_no int, defect string", fit_rows, bound).distinct()
