@@ -10,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexa.operators.graph import ensure_checkpoint_dir
+from codexa.operators.ranges import running_sum
+
+#: Hundredths of a value in one range of places.
+VALUE_RANGE = 20_000
+
 
 def provider_summary(claims: DataFrame, least_claims: int = 1) -> DataFrame:
     """Claims, patients, total and mean paid, and the share of the most frequent service (ties: smaller name)."""
@@ -27,11 +33,14 @@ def leave_one_out_median(claims: DataFrame, group: str, own: str, value: str) ->
     provider, the k-th peer value is where the count of all values less the provider's own reaches k. Only the
     provider's own values break the count, so each provider looks at its own rows and two places of the order.
     """
-    order = Window.partitionBy(group).orderBy(value, own, "claim")
     mine = Window.partitionBy(group, own).orderBy(value, "claim")
-    total = Window.partitionBy(group)
     rows = claims.where(F.col(value).isNotNull()).select(group, own, value, "claim")
-    rows = rows.withColumn("pos", F.row_number().over(order)).withColumn("n", F.count("*").over(total)).withColumn("i", F.row_number().over(mine))
+    size = rows.groupBy(group).agg(F.count("*").alias("n"))
+    ensure_checkpoint_dir(claims)
+    # places in the order of a group's values, counted in ranges of values, so that a frequent group is many tasks
+    placed = rows.withColumn("_at", F.floor(F.col(value) * 100)).withColumn("_tie", F.struct(value, own, "claim"))
+    placed = running_sum(placed, group, "_at", "_tie", F.lit(1), "pos", width=VALUE_RANGE)
+    rows = placed.join(size, group).withColumn("i", F.row_number().over(mine)).drop("_at", "_tie").checkpoint()  # looked at four times
     # an own value at place pos, the i-th of its own, has pos - i peers before it
     own_stats = rows.groupBy(group, own).agg(F.count("*").alias("own_n"), F.avg(value).alias("own_mean"), F.max("n").alias("n")).withColumn("peer_n", F.col("n") - F.col("own_n")).where("peer_n > 0")
     # places (from 1) of the middle peers among the peers

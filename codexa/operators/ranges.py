@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexa.operators.graph import ensure_checkpoint_dir
+
 #: Positions in one range.
 WIDTH = 512
 
@@ -56,3 +58,16 @@ def running_sum(rows: DataFrame, key: str, order: str, tie: str, value: Column,
     borders = borders.select("_k", "_p", F.coalesce(F.sum("_s").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     rows = rows.withColumn("_near", F.coalesce(F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     return _joined(rows, borders, key).withColumn(out, F.col("_near") + F.col("_base")).drop("_v", "_near", "_base")
+
+
+def numbered(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Rows with their place from 1 in the order of all of them, which must leave no ties.
+
+    Rows are dealt out by ranges of the order and counted within each; only the ranges' sizes meet in one place.
+    """
+    ensure_checkpoint_dir(rows)
+    held = rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()  # places hang on the partitions, which must stay
+    held = held.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    sizes = held.groupBy("_p").agg(F.count("*").alias("n"))
+    base = sizes.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # one row a partition
+    return held.join(F.broadcast(base), "_p").withColumn(out, F.col("_base") + F.col("_i") + 1).drop("_p", "_i", "_base")

@@ -45,13 +45,20 @@ def longest_alias(rows: DataFrame, key: str, text: str, aliases: list[tuple[str,
 def fuzzy_match(rows: DataFrame, key: str, text: str, block: str, least: float) -> DataFrame:
     """(key, other, share): the row of the same block that holds most of a text's words, from a share on.
 
-    Rows meet by the words they share, not all with all; a word's rows are joined within its block.
+    A row that holds so many of a text's words holds one of its rarest ones too, so many of them as the share lets
+    miss and one more; rows meet by those only, and whole sets of words are compared after that.
     """
-    w = rows.where(F.col(text).isNotNull()).select(key, block, F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
-    flat = w.select(key, block, F.size("w").alias("n"), F.explode("w").alias("t"))
-    a = flat.select(F.col(key).alias("a"), F.col(block).alias("k"), "n", "t")
-    b = flat.select(F.col(key).alias("other"), F.col(block).alias("k"), "t")
-    s = a.join(b, ["k", "t"]).where("a <> other").groupBy("a", "other", "n").agg(F.count("*").alias("c")).select("a", "other", (F.col("c") / F.col("n")).alias("s")).where(F.col("s") >= least)
+    w = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("a"), F.col(block).alias("k"), F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    flat = w.select("a", "k", F.size("w").alias("n"), F.explode("w").alias("t"))
+    often = flat.groupBy("k", "t").agg(F.count("*").alias("df"))
+    rare = Window.partitionBy("a").orderBy("df", "t")
+    head = flat.join(often.where("df > 1"), ["k", "t"]).withColumn("i", F.row_number().over(rare))
+    # words of no other row use up the rarest places
+    alone = head.groupBy("a").agg((F.first("n") - F.count("*")).alias("alone"))
+    head = head.join(alone, "a").where(F.col("i") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    met = head.select("a", "k", "t").join(flat.select(F.col("a").alias("other"), "k", "t"), ["k", "t"]).where("a <> other").select("a", "other").distinct()
+    both = met.join(w.select("a", F.col("w").alias("x")), "a").join(w.select(F.col("a").alias("other"), F.col("w").alias("y")), "other")
+    s = both.select("a", "other", (F.size(F.array_intersect("x", "y")) / F.size("x")).alias("s")).where(F.col("s") >= least)
     return s.groupBy("a").agg(F.min_by("other", F.struct(-F.round("s", 6), "other")).alias("other"), F.round(F.max("s"), 6).alias("share")).withColumnRenamed("a", key)
 
 

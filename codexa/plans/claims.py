@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codexa.functions import text as X
 from codexa.operators import claims as C
+from codexa.operators.ranges import numbered
 from codexa.plans.registry import query
 from codexa.sources.tables import table
 
@@ -284,8 +285,7 @@ def _(spark, d):
 @query("frd22_target_in_top", f"WITH {_CLAIMS}, s AS (SELECT provider, round(sum(paid), 2) AS total FROM cl GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY total DESC, provider) AS k FROM s) SELECT provider, CAST(k AS BIGINT) AS place, k <= 10 AS accepted FROM r WHERE provider % 10 = 7")
 def _(spark, d):
     s = claims(spark, d).groupBy("provider").agg(F.round(F.sum("paid"), 2).alias("total"))
-    w = Window.orderBy(F.desc("total"), "provider")  # one row a provider
-    return s.withColumn("k", F.row_number().over(w)).where("provider % 10 = 7").select("provider", F.col("k").cast("bigint").alias("place"), (F.col("k") <= 10).alias("accepted"))
+    return numbered(s, [F.desc("total"), F.col("provider")], "k").where("provider % 10 = 7").select("provider", F.col("k").cast("bigint").alias("place"), (F.col("k") <= 10).alias("accepted"))
 
 
 @query("frd23_net_score", f"WITH {_FOUND} SELECT CAST((SELECT count(*) FROM truth JOIN found USING (provider)) - (SELECT count(*) FROM found ANTI JOIN truth USING (provider)) AS BIGINT) AS net")

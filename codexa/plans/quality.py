@@ -9,10 +9,11 @@ from codexa.functions import text as X
 from codexa.operators import predicates as P
 from codexa.operators import quality as Q
 from codexa.operators.graph import connected_components
+from codexa.operators.ranges import numbered
 from codexa.operators import guards as G
 from codexa.plans.policy import _BLOCKED
 from codexa.plans.registry import query
-from codexa.sources.tables import table
+from codexa.sources.tables import spread, table
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -263,7 +264,7 @@ def _(spark, d):
 
 def _docs(spark, d):
     """Documents whose words are the same once."""
-    t = table(spark, d, "documents").select("doc_id", "text")
+    t = spread(table(spark, d, "documents").select("doc_id", "text"))
     norm = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
     keep = t.groupBy(F.sha1(norm).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return t.join(keep, "doc_id", "left_semi")
@@ -346,8 +347,8 @@ def _(spark, d):
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("len"))
     g = _clusters(spark, d).join(docs, "doc_id").groupBy("cluster").agg(F.count("*").alias("size"), F.sum(F.when(F.col("canonical"), 0).otherwise(F.col("len"))).alias("red"))
-    w = Window.orderBy(F.desc("size"), F.desc("red"), "cluster")  # a report numbers its clusters through
-    return g.select(F.concat(F.lit("c"), F.lpad(F.row_number().over(w).cast("string"), 4, "0")).alias("name"), "cluster")
+    g = numbered(g, [F.desc("size"), F.desc("red"), F.col("cluster")], "place")
+    return g.select(F.concat(F.lit("c"), F.lpad(F.col("place").cast("string"), 4, "0")).alias("name"), "cluster")
 
 
 @query("ded11_pages_without_chunks", "WITH s AS (SELECT document_id, list_distinct(flatten(list(pages))) AS seen FROM chunk_records WHERE pages IS NOT NULL GROUP BY 1), p AS (SELECT document, unnest(range(1, page_count + 1)) AS page FROM demo_documents) SELECT document, CAST(page AS BIGINT) AS page FROM p LEFT JOIN s ON s.document_id = p.document WHERE NOT coalesce(list_contains(seen, page), false)")
