@@ -92,16 +92,38 @@ def plain_quotes(text: Column | str) -> Column:
     return F.regexp_replace(F.translate(_c(text), "‘’“”", "''\"\""), "\\s+", " ")
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(s: pd.Series) -> pd.Series:
+    from html import unescape
+
+    return s.map(unescape, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _to_ascii(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode(), na_action="ignore")
+
+
+def unescaped(text: Column | str) -> Column:
+    """Entities as characters; only texts that hold one go through Python."""
+    t = _c(text)
+    some = F.coalesce(t.rlike("&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"), F.lit(False))
+    return F.when(some, _unescaped(F.when(some, t))).otherwise(t)
+
+
 def no_markup(text: Column | str) -> Column:
-    """Without tags, Markdown marks and runs of dashes."""
-    x = F.regexp_replace(_c(text), "<[^>]+>", " ")
+    """Without tags, entities, Markdown marks and runs of dashes."""
+    x = unescaped(F.regexp_replace(_c(text), "<[^>]+>", " "))
     x = F.regexp_replace(x, "[*_`#>|]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(x, "-{2,}", " "), "\\s+", " "))
 
 
 def slug(text: Column | str, most: int = 90) -> Column:
-    """Letters and digits joined by dashes."""
-    x = F.regexp_replace(F.regexp_replace(F.lower(_c(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Letters and digits joined by dashes, accents left out; only texts beyond ASCII go through Python."""
+    t = _c(text)
+    beyond = F.coalesce(F.octet_length(t) > F.length(t), F.lit(False))
+    plain = F.when(beyond, _to_ascii(F.when(beyond, t))).otherwise(t)
+    x = F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.substring(x, 1, most)
 
 

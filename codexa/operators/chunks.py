@@ -123,3 +123,27 @@ def normal_table(headers: Column, rows: Column) -> Column:
     pad = lambda a: F.concat(a, F.array_repeat(F.lit(""), (width - F.size(a)).cast("int")))
     named = F.transform(pad(headers), lambda h, i: F.when(F.trim(h) == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(h))
     return F.struct(named.alias("headers"), F.transform(rows, pad).alias("rows"))
+
+
+def merged_peers(rows: DataFrame, key: str, groups: list[str], text: str, budget: int = 256) -> DataFrame:
+    """(groups, piece, chunks, tokens, content): neighbours of one group joined while they stay within a budget of tokens.
+
+    Rows go in the order of ``key``; a row above the budget is a piece of its own. Greedy joining hangs on what came
+    before, so each group is folded by itself; groups are sections of one document. Null texts are left out.
+    """
+    kinds = dict(rows.dtypes)
+
+    def fold(b: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for t in b.sort_values(key)[text]:
+            n = -(-len(t) // 4)
+            if out and out[-1][1] + n <= budget:
+                out[-1][0].append(t)
+                out[-1][1] += n
+            else:
+                out.append([[t], n])
+        names = [b[g].iloc[0] for g in groups]
+        return frame([(*names, i, len(x), n, "\n\n".join(x)) for i, (x, n) in enumerate(out)], [*groups, "piece", "chunks", "tokens", "content"])
+
+    schema = ", ".join(f"{g} {kinds[g]}" for g in groups) + ", piece int, chunks int, tokens int, content string"
+    return rows.where(F.col(text).isNotNull()).select(key, *groups, text).groupBy(*groups).applyInPandas(fold, schema)

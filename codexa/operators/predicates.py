@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,10 +53,13 @@ def toc_reason(text: Column | str) -> Column:
     return F.when(heading, "toc_heading").when((F.size(lines) >= 4) & ((leaders >= 2) | (entries >= 0.6 * F.size(lines))), "toc_layout")
 
 
+# Signs of a list of references, and how many of each are too many.
+REFERENCES = ((r"\bReferences\b|\bBibliography\b", 0), (r"\[\d+\]", 12), (r"\bet al\.", 3), (r"arXiv preprint|In Proceedings|Proc\.|Conference on|Journal of", 2), (r"\b(?:19|20)\d\d\b", 10))
+
+
 def looks_like_references(text: Column | str) -> Column:
-    """Many years in brackets, links, page ranges or et al. in one chunk."""
-    n = lambda p: F.regexp_count(_c(text), F.lit(p))
-    return (n(r"\((?:19|20)\d\d\)") >= 5) | (n(r"https?://") >= 4) | (n(r"\bet al\b") >= 4) | (n(r"\bpp?\. ?\d+") >= 4) | (n(r"(?m)^\s*\[\d+\]") >= 4)
+    """Whether any sign of a reference list comes too often; null text gives null."""
+    return reduce(lambda a, b: a | b, [F.regexp_count(_c(text), F.lit(p)) > n for p, n in REFERENCES])
 
 
 def chunk_problems(chunks: DataFrame, key: str = "chunk_id", text: str = "text", pages: str = "pages", section: str = "section") -> DataFrame:
@@ -71,10 +76,13 @@ def chunk_problems(chunks: DataFrame, key: str = "chunk_id", text: str = "text",
     return chunks.select(key, one).select(key, F.substring_index("p", ":", 1).alias("level"), F.substring_index("p", ":", -1).alias("problem"))
 
 
-def too_similar(a: Column | str, b: Column | str, least: float = 0.7) -> Column:
-    """Whether two questions share most of their words."""
+def too_similar(a: Column | str, b: Column | str, least: float = 0.7, ratio: float | None = 0.82) -> Column:
+    """Whether two questions share most of their words, or most of their characters in order (where a ratio is given; that runs in Python batches)."""
     x, y = F.array_distinct(X.tokens_alnum(a)), F.array_distinct(X.tokens_alnum(b))
-    return F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)) >= least
+    words = F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)) >= least
+    if ratio is None:
+        return words
+    return F.when(words, F.lit(True)).otherwise(X.sequence_ratio(F.lower(_c(a)), F.lower(_c(b))) >= ratio)
 
 
 def search_text(source: Column | str, section: Column | str, cells: Column) -> Column:

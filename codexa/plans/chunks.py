@@ -138,3 +138,11 @@ def _(spark, d):
 def _(spark, d):
     total = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice") * (1 + F.col("l_tax")) * (1 - F.col("l_discount"))).alias("t"))
     return table(spark, d, "orders").join(total, "o_orderkey").select("o_orderkey", (F.abs(F.col("o_totalprice") - F.col("t")) < 1).alias("adds_up"))
+
+
+@query("chk6_merged_peers", """WITH RECURSIVE c AS (SELECT DISTINCT chunk_id, document_id, coalesce(section, '') AS section, text FROM chunk_records WHERE text IS NOT NULL), e AS (SELECT document_id, section, text, CAST((length(text) + 3) // 4 AS INTEGER) AS t, row_number() OVER (PARTITION BY document_id, section ORDER BY chunk_id) AS i FROM c),
+r AS (SELECT document_id, section, i, 0 AS piece, t AS acc, t FROM e WHERE i = 1 UNION ALL SELECT e.document_id, e.section, e.i, CASE WHEN r.acc + e.t <= 256 THEN r.piece ELSE r.piece + 1 END, CASE WHEN r.acc + e.t <= 256 THEN r.acc + e.t ELSE e.t END, e.t FROM r JOIN e ON e.document_id = r.document_id AND e.section = r.section AND e.i = r.i + 1)
+SELECT document_id, section, piece, CAST(count(*) AS INTEGER) AS chunks, CAST(sum(t) AS INTEGER) AS tokens FROM r GROUP BY ALL""")
+def _(spark, d):
+    c = table(spark, d, "chunk_records").where("text IS NOT NULL").select("chunk_id", "document_id", F.coalesce("section", F.lit("")).alias("section"), "text").distinct()
+    return C.merged_peers(c, "chunk_id", ["document_id", "section"], "text").select("document_id", "section", "piece", "chunks", "tokens")

@@ -333,14 +333,20 @@ def _(spark, d):
     return e.groupBy((F.col("user_id") % 10).alias("model")).agg(F.round(F.sum(F.col("value") * F.coalesce("price", F.lit(1.0))), 4).alias("cost"))
 
 
-@query("agg27_tool_usage", "WITH a AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, props) AS r FROM (SELECT event_type, props, count(*) AS n FROM events GROUP BY event_type, props)) SELECT event_type, CAST(sum(n) AS BIGINT) AS calls, string_agg(CASE WHEN r <= 3 THEN props END, ' ' ORDER BY r) AS top_args FROM a GROUP BY 1")
-def _(spark, d):
-    a = table(spark, d, "events").groupBy("event_type", "props").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("event_type").orderBy(F.desc("n"), "props")
-    a = a.withColumn("r", F.row_number().over(w))
-    calls = a.groupBy("event_type").agg(F.sum("n").alias("calls"))
-    top = a.where("r <= 3").groupBy("event_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "props"))), lambda x: x.props), " ").alias("top_args"))
-    return calls.join(top, "event_type")
+@query("agg27_tool_usage", """WITH a AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, props) AS r FROM (SELECT event_type, props, count(*) AS n FROM events GROUP BY event_type, props)), t AS (SELECT event_type, CAST(sum(n) AS BIGINT) AS calls, string_agg(CASE WHEN r <= 3 THEN props END, ' ' ORDER BY r) AS top_args FROM a GROUP BY 1),
+p AS (SELECT user_id, event_type, min(pos) AS first, bool_or(value > 90) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events) GROUP BY ALL),
+u AS (SELECT event_type, CAST(count(*) AS BIGINT) AS runs, CAST(count(*) FILTER (evidence) AS BIGINT) AS evidence_runs, median(first) AS first_place FROM p GROUP BY 1) SELECT event_type, calls, runs, evidence_runs, CAST(first_place AS DOUBLE) AS first_place, top_args FROM t JOIN u USING (event_type)""")
+def _(spark, d):
+    """Of each tool its calls, the runs that use it and find something with it, where in a run it first comes, and its usual arguments."""
+    e = table(spark, d, "events")
+    a = e.groupBy("event_type", "props").agg(F.count("*").alias("n"))
+    top = a.groupBy("event_type").agg(F.sum("n").alias("calls"))
+    best = a.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "props"))).where("r <= 3")
+    args = best.groupBy("event_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "props"))), lambda x: x.props), " ").alias("top_args"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    p = e.withColumn("pos", place).groupBy("user_id", "event_type").agg(F.min("pos").alias("first"), F.max(F.col("value") > 90).alias("evidence"))
+    u = p.groupBy("event_type").agg(F.count("*").alias("runs"), F.count_if("evidence").alias("evidence_runs"), F.percentile("first", F.lit(0.5)).alias("first_place"))
+    return top.join(u, "event_type").join(args, "event_type").select("event_type", "calls", "runs", "evidence_runs", "first_place", "top_args")
 
 
 @query("agg28_outcome_counters", "SELECT event_type AS scheme, CAST(count(*) FILTER (value > 20) AS BIGINT) AS found, CAST(count(*) FILTER (NOT value > 20) AS BIGINT) AS missed FROM events GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -112,10 +114,12 @@ def _(spark, d):
     return P.label_with_margin(s, "user_id", "event_type", "p", "error", 0.2, 0.05)
 
 
-@query("cls17_disagreement", "SELECT coalesce(r.primary_category, 'unknown') AS category, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (r.primary_category <> r.categories[1]) AS BIGINT) AS differ FROM rag_documents r GROUP BY 1")
+@query("cls17_disagreement", "SELECT id, coalesce(primary_category, categories[1]) AS category, CASE WHEN primary_category IS NOT NULL THEN 'primary' WHEN categories[1] IS NOT NULL THEN 'secondary' ELSE 'none' END AS origin, coalesce(primary_category <> categories[1], false) AS disagree FROM rag_documents")
 def _(spark, d):
-    r = table(spark, d, "rag_documents")
-    return r.groupBy(F.coalesce("primary_category", F.lit("unknown")).alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col("primary_category") != F.get("categories", F.lit(0))).alias("differ"))
+    """The first classifier's word, else the second's; where both speak and differ, that is noted."""
+    a, b = F.col("primary_category"), F.get("categories", F.lit(0))
+    origin = F.when(a.isNotNull(), "primary").when(b.isNotNull(), "secondary").otherwise("none")
+    return table(spark, d, "rag_documents").select("id", F.coalesce(a, b).alias("category"), origin.alias("origin"), F.coalesce(a != b, F.lit(False)).alias("disagree"))
 
 
 @query("cls18_sanitised", r"SELECT item_id FROM eval_items WHERE NOT regexp_matches(passage, '\b(Oqu|Xor)[a-z]+\b')")
@@ -152,20 +156,46 @@ def _(spark, d):
     return table(spark, d, "rag_chunks").where("content IS NOT NULL").select("id", F.size(F.filter(codes, lambda x: x > "D5000")).cast("bigint").alias("outside"))
 
 
-@query("eva10_outcome_matrix", "SELECT family IS NOT NULL AS has_family, page IS NOT NULL AS has_page, CAST(count(*) AS BIGINT) AS n FROM eval_items GROUP BY ALL")
+@query("eva10_outcome_matrix", "WITH f AS (SELECT item_type, contains(lower(passage), lower(answer)) AS c, contains(lower(question), lower(answer)) AS a FROM eval_items WHERE answer IS NOT NULL) SELECT item_type, CAST(count(*) FILTER (c AND a) AS BIGINT) AS both, CAST(count(*) FILTER (c AND NOT a) AS BIGINT) AS context_only, CAST(count(*) FILTER (NOT c AND a) AS BIGINT) AS answer_only, CAST(count(*) FILTER (NOT c AND NOT a) AS BIGINT) AS neither FROM f GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "eval_items").groupBy(F.col("family").isNotNull().alias("has_family"), F.col("page").isNotNull().alias("has_page")).agg(F.count("*").alias("n"))
+    """A fact is in the context, in what was said, in both or in neither; the item's question stands for what was said."""
+    f = table(spark, d, "eval_items").where("answer IS NOT NULL")
+    f = f.select("item_type", F.lower("passage").contains(F.lower("answer")).alias("c"), F.lower("question").contains(F.lower("answer")).alias("a"))
+    n = lambda cond, name: F.count_if(F.expr(cond)).alias(name)
+    return f.groupBy("item_type").agg(n("c AND a", "both"), n("c AND NOT a", "context_only"), n("NOT c AND a", "answer_only"), n("NOT c AND NOT a", "neither"))
 
 
-@query("eva12_field_scores", "WITH a AS (SELECT chunk_id, max(plan_year) AS y FROM chunk_records GROUP BY 1), b AS (SELECT chunk_id, max(CAST(regexp_extract(text, '20[0-9]{2}', 0) AS VARCHAR)) AS t FROM chunk_records GROUP BY 1) SELECT CASE WHEN y IS NULL THEN 'missing' WHEN CAST(y AS VARCHAR) = t THEN 'correct' ELSE 'wrong' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM a JOIN b USING (chunk_id) GROUP BY 1")
+@query("eva12_field_scores", """WITH r AS (UNPIVOT (SELECT id, title, source, primary_category AS category FROM rag_documents) ON title, source, category INTO NAME field VALUE v), g AS (UNPIVOT (SELECT id, trim(title) AS title, lower(source) AS source, categories[1] AS category FROM rag_documents WHERE updated IS NOT NULL) ON title, source, category INTO NAME field VALUE v)
+SELECT field, CASE WHEN g.v IS NULL THEN 'unasked' WHEN r.v IS NULL THEN 'missing' WHEN r.v = g.v THEN 'correct' ELSE 'wrong' END AS outcome, CAST(count(*) AS BIGINT) AS n FROM r FULL JOIN g USING (id, field) GROUP BY ALL""")
 def _(spark, d):
-    c = table(spark, d, "chunk_records").groupBy("chunk_id").agg(F.max("plan_year").cast("string").alias("y"), F.max(F.regexp_extract("text", "20[0-9]{2}", 0)).alias("t"))
-    return c.groupBy(F.when(F.col("y").isNull(), "missing").when(F.col("y") == F.col("t"), "correct").otherwise("wrong").alias("outcome")).agg(F.count("*").alias("n"))
+    """Fields of a result against those of a gold record, each by itself."""
+    t = table(spark, d, "rag_documents")
+
+    def fields(df, **cols):
+        flat = df.select("id", F.explode(F.create_map(*[x for k, c in cols.items() for x in (F.lit(k), c)])).alias("field", "v"))
+        return flat.where("v IS NOT NULL")
+
+    r = fields(t, title=F.col("title"), source=F.col("source"), category=F.col("primary_category"))
+    g = fields(t.where("updated IS NOT NULL"), title=F.trim("title"), source=F.lower("source"), category=F.get("categories", F.lit(0))).withColumnRenamed("v", "g")
+    outcome = F.when(F.col("g").isNull(), "unasked").when(F.col("v").isNull(), "missing").when(F.col("v") == F.col("g"), "correct").otherwise("wrong")
+    return r.join(g, ["id", "field"], "full_outer").groupBy("field", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+_CASES = {"sealants": ("sealant", "month"), "hearing": ("hearing", "visit"), "crowns": ("crown", "network", "plan")}
 
 
-@query("eva13_suite_tallies", "SELECT item_type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (page <= 10) AS BIGINT) AS early, round(avg(1.0 / page), 6) AS mrr FROM eval_items GROUP BY 1")
+@query("eva13_suite_tallies", f"""WITH p AS (SELECT document_id, page_number AS page, {', '.join(f"{' AND '.join(f"bool_or(contains(lower(content), '{w}'))" for w in ws)} AS {k}" for k, ws in _CASES.items())} FROM rag_chunks WHERE content IS NOT NULL AND page_number IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page) AS place FROM p), c AS ({' UNION ALL '.join(f"SELECT '{k}' AS name, document_id, min(place) FILTER ({k}) AS first FROM r GROUP BY 2" for k in _CASES)})
+SELECT name, CAST(count(first) AS BIGINT) AS hits, CAST(count(*) AS BIGINT) AS documents, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM c GROUP BY 1""")
 def _(spark, d):
-    return table(spark, d, "eval_items").groupBy("item_type").agg(F.count("*").alias("n"), F.count_if(F.col("page") <= 10).alias("early"), F.round(F.avg(1.0 / F.col("page")), 6).alias("mrr"))
+    """Cases of several facts: a document's pages in order, the first page that holds all facts of a case, and the mean of one over its place."""
+    c = table(spark, d, "rag_chunks").where("content IS NOT NULL AND page_number IS NOT NULL")
+    has = lambda ws: [F.max(F.lower("content").contains(w)) for w in ws]
+    pages = c.groupBy("document_id", F.col("page_number").alias("page")).agg(*[reduce(lambda a, b: a & b, has(ws)).alias(k) for k, ws in _CASES.items()])
+    r = pages.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("page")))  # one row a page
+    firsts = r.groupBy("document_id").agg(*[F.min(F.when(F.col(k), F.col("place"))).alias(k) for k in _CASES])
+    flat = firsts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("first")) for k in _CASES])).alias("x")).select("x.name", "x.first")
+    return flat.groupBy("name").agg(F.count("first").alias("hits"), F.count("*").alias("documents"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
 @query("eva14_group_split", "SELECT DISTINCT chunk_id, document_id, CASE WHEN CAST('0x' || substring(md5('7:' || CAST(document_id AS VARCHAR)), 1, 15) AS BIGINT) % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM chunk_records")

@@ -101,7 +101,7 @@ def _(spark, d):
     return chunks(spark, d).select("chunk_id", P.toc_reason("text").alias("reason"))
 
 
-_flag("proj19_references", P.looks_like_references, r"len(regexp_extract_all(text, '\((?:19|20)[0-9][0-9]\)')) >= 5 OR len(regexp_extract_all(text, 'https?://')) >= 4 OR len(regexp_extract_all(text, '\bet al\b')) >= 4 OR len(regexp_extract_all(text, '\bpp?\. ?[0-9]+')) >= 4 OR len(regexp_extract_all(text, '(?m)^\s*\[[0-9]+\]')) >= 4")
+_flag("proj19_references", P.looks_like_references, " OR ".join(f"len(regexp_extract_all(text, '{p}')) > {n}" for p, n in P.REFERENCES))
 
 
 @query("proj20_kept_figures", "SELECT id FROM rag_chunks WHERE content_type = 'figure' AND (image IS NOT NULL OR length(content) >= 150)")
@@ -111,7 +111,7 @@ def _(spark, d):
 
 @query("proj21_similar_questions", """WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(passage), '[a-z0-9]+')) AS p FROM eval_items) SELECT item_id, len(list_intersect(q, p)) / greatest(len(list_distinct(q || p)), 1) >= 0.1 AS similar FROM w""")
 def _(spark, d):
-    return table(spark, d, "eval_items").select("item_id", P.too_similar("question", "passage", 0.1).alias("similar"))
+    return table(spark, d, "eval_items").select("item_id", P.too_similar("question", "passage", 0.1, None).alias("similar"))
 
 
 @query("proj22_guard_reasons", f"SELECT doc_id, {_BLOCKED} AS reason FROM documents")

@@ -59,11 +59,13 @@ def _(spark, d):
     return E.split_bad(table(spark, d, "events"), (F.col("value") > 1) & (F.col("event_type") != "error"))[1].select("event_id")
 
 
-@query("str7_version_conflicts", "WITH v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, CAST(json_extract_string(props, '$.k') AS BIGINT) % 60 AS expected FROM events) SELECT event_id, place = expected AS accepted FROM v")
+@query("str7_version_conflicts", """WITH RECURSIVE e AS (SELECT user_id, event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) % 8 AS expected, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS event_id, false AS accepted, CAST(0 AS BIGINT) AS version FROM e UNION ALL SELECT e.user_id, e.i, e.event_id, e.expected = r.version, r.version + CASE WHEN e.expected = r.version THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id AS key, event_id AS event, accepted, version FROM r WHERE i > 0""")
 def _(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    expected = F.get_json_object("props", "$.k").cast("bigint") % 60
-    return table(spark, d, "events").select("event_id", ((F.row_number().over(w) - 1) == expected).alias("accepted"))
+    """Updates that name the version they were made on; those made on an old one are conflicts."""
+    expected = F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0)) % 8
+    return E.versioned_updates(table(spark, d, "events").withColumn("expected", expected), "user_id", "event_id", "expected", "ts")
 
 
 @query("str8_slot_filling", "WITH s AS (SELECT user_id, bool_or(event_type = 'signup') AS a, bool_or(event_type = 'view' AND value > 95) AS b, bool_or(event_type = 'purchase' AND value > 97) AS c FROM events GROUP BY 1) SELECT user_id, CASE WHEN NOT a THEN 'signup' WHEN NOT b THEN 'view' WHEN NOT c THEN 'purchase' ELSE 'review' END AS stage FROM s")
@@ -79,9 +81,21 @@ def _(spark, d):
     return c.select("chunk_id").distinct().join(c.where("contextualized_text IS NOT NULL").select("chunk_id"), "chunk_id", "left_anti")
 
 
-@query("str11_trace_replay", "SELECT event_type, round(avg(CAST(value > 50 AS INTEGER)), 6) AS decided FROM events GROUP BY 1")
+_DECIDED = "CASE WHEN count(*) FILTER (event_type = 'error'{0}) >= 12 THEN 'review' WHEN sum(CASE WHEN event_type = 'purchase'{0} THEN value ELSE 0 END) >= 600 THEN 'accept' ELSE 'ask' END"
+
+
+@query("str11_trace_replay", f"WITH l AS (SELECT *, max(ts) OVER (PARTITION BY user_id) AS last FROM events) SELECT user_id, {_DECIDED.format(' AND ts < last')} AS recorded, {_DECIDED.format('')} AS replayed FROM l GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg((F.col("value") > 50).cast("int")), 6).alias("decided"))
+    """What was decided on a trace before its last record, and what the same rules decide on all of it."""
+    e = table(spark, d, "events")
+    last = e.groupBy("user_id").agg(F.max("ts").alias("last"))
+
+    def decided(kept):
+        errors = F.count_if((F.col("event_type") == "error") & kept)
+        paid = F.sum(F.when((F.col("event_type") == "purchase") & kept, F.col("value")).otherwise(0.0))
+        return F.when(errors >= 12, "review").when(paid >= 600, "accept").otherwise("ask")
+
+    return e.join(last, "user_id").groupBy("user_id").agg(decided(F.col("ts") < F.col("last")).alias("recorded"), decided(F.lit(True)).alias("replayed"))
 
 
 @query("str12_frozen_levels", "SELECT user_id, event_type, arg_min(value, (ts, event_id)) AS level FROM events GROUP BY ALL")
@@ -95,9 +109,18 @@ def _(spark, d):
     return table(spark, d, "events").where("value > 60").groupBy("user_id").agg(F.when(n >= 4, "family").when(n >= 2, "couple").otherwise("self").alias("tier"))
 
 
-@query("str17_verdict_reuse", "SELECT coalesce(review_status, 'none') AS verdict, CAST(count(DISTINCT source_sha256 || chunk_id) AS BIGINT) AS n FROM chunk_records GROUP BY 1")
+@query("str17_verdict_reuse", """WITH k AS (SELECT chunk_id, coalesce(contextualized_at, TIMESTAMP '1970-01-01') AS t0, source_sha256 || ':' || md5(coalesce(contextualized_text, '')) || ':judge-1' AS h, review_status AS v FROM chunk_records),
+g AS (SELECT chunk_id, arg_min(h, (t0, h, coalesce(v, ''))) AS h0, arg_min(coalesce(v, ''), (t0, h, coalesce(v, ''))) AS v0, arg_max(h, (t0, h, coalesce(v, ''))) AS h1, count(*) AS n FROM k GROUP BY 1)
+SELECT CASE WHEN n > 1 AND h0 = h1 AND v0 <> '' THEN v0 ELSE 'judge' END AS verdict, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY 1""")
 def _(spark, d):
-    return table(spark, d, "chunk_records").groupBy(F.coalesce("review_status", F.lit("none")).alias("verdict")).agg(F.count_distinct(F.concat("source_sha256", "chunk_id")).alias("n"))
+    """An earlier verdict is kept where source, context and judge are the same; all others are to be judged."""
+    v = F.coalesce("review_status", F.lit(""))
+    h = F.concat_ws(":", "source_sha256", F.md5(F.coalesce("contextualized_text", F.lit(""))), F.lit("judge-1"))
+    k = table(spark, d, "chunk_records").select("chunk_id", F.coalesce("contextualized_at", F.lit("1970-01-01").cast("timestamp_ntz")).alias("at"), h.alias("h"), v.alias("v"))
+    order = F.struct("at", "h", "v")
+    g = k.groupBy("chunk_id").agg(F.min_by("h", order).alias("h0"), F.min_by("v", order).alias("v0"), F.max_by("h", order).alias("h1"), F.count("*").alias("n"))
+    kept = (F.col("n") > 1) & (F.col("h0") == F.col("h1")) & (F.col("v0") != "")
+    return g.groupBy(F.when(kept, F.col("v0")).otherwise("judge").alias("verdict")).agg(F.count("*").alias("n"))
 
 
 @query("str18_fingerprint", "SELECT source, CAST(sum(CAST('0x' || substring(md5(id || ':' || CAST(coalesce(length(title), 0) AS VARCHAR)), 1, 15) AS BIGINT)) % 1000000007 AS BIGINT) AS fingerprint, CAST(count(*) AS BIGINT) AS files FROM rag_documents GROUP BY 1")

@@ -79,7 +79,7 @@ def _(spark, d):
     return table(spark, d, "chunk_records").select("chunk_id", "text").distinct().select("chunk_id", X.no_markup("text").alias("plain"))
 
 
-@query("scal14_slugs", "SELECT id, substring(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 90) AS slug FROM rag_documents WHERE title IS NOT NULL")
+@query("scal14_slugs", "SELECT id, substring(regexp_replace(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 90) AS slug FROM rag_documents WHERE title IS NOT NULL")
 def _(spark, d):
     return table(spark, d, "rag_documents").where("title IS NOT NULL").select("id", X.slug("title").alias("slug"))
 

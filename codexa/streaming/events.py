@@ -75,6 +75,22 @@ def run_states_batch(events: DataFrame, key: str, event: str, wanted: str, time:
     return events.select(key, event, wanted, time).groupBy(key).applyInPandas(replay, schema)
 
 
+def versioned_updates(rows: DataFrame, key: str, event: str, expected: str, time: str) -> DataFrame:
+    """(key, event, accepted, version): updates in order, each taken only if it expects the version its key has then; a taken one raises it."""
+    kinds = dict(rows.dtypes)
+
+    def fold(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values([time, event])
+        version, out = 0, []
+        for e, x in zip(b[event], b[expected]):
+            ok = bool(x == version)
+            version += ok
+            out.append((b[key].iloc[0], e, ok, version))
+        return pd.DataFrame(out, columns=["key", "event", "accepted", "version"])
+
+    return rows.select(key, event, expected, time).groupBy(key).applyInPandas(fold, f"key {kinds[key]}, event {kinds[event]}, accepted boolean, version long")
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now, and returns its output, written below the session's checkpoint folder.
 

@@ -309,3 +309,27 @@ def test_corrective_search(spark):
     out = B.corrective_search(ask, lambda q: q, lambda r: r.first().q == "better", lambda q: q.select(F.lit("better").alias("q")), lambda r: seen.append(1) or f"try {len(seen)}", lambda t, r: t == "try 2")
     assert (out["answer"], out["rewrites"], out["attempts"]) == ("try 2", 1, 2)
     assert B.corrective_search(ask, lambda q: q, lambda r: False, lambda q: q, str, lambda t, r: True)["answer"] is None
+
+
+def test_slugs_entities_and_similar_questions(spark):
+    assert one(spark, X.slug("t"), t="Café Größe — No. 5!") == "cafe-groe-no-5" and one(spark, X.slug("t"), t=None) is None
+    assert one(spark, X.no_markup("t"), t="<b>a</b> &amp; b &#38; *c* &nope") == "a & b & c &nope"
+    assert one(spark, D.too_similar("a", "b"), a="what is the deductible", b="what is the deductible now") and one(spark, D.too_similar("a", "b"), a="annual deductibles", b="annual deductible")
+    assert not one(spark, D.too_similar("a", "b"), a="who pays", b="when is the office open")
+    assert one(spark, D.looks_like_references("t"), t="see [1] " * 13) and not one(spark, D.looks_like_references("t"), t="see [1] " * 12)
+
+
+def test_merged_peers_and_versions(spark):
+    rows = spark.createDataFrame([(1, "d", "x" * 40), (2, "d", "y" * 40), (3, "d", "z" * 500), (4, "d", None), (5, "e", "w")], "k int, g string, t string")
+    got = [(r.g, r.piece, r.chunks, r.tokens) for r in C.merged_peers(rows, "k", ["g"], "t", 20).orderBy("g", "piece").collect()]
+    assert got == [("d", 0, 2, 20), ("d", 1, 1, 125), ("e", 0, 1, 1)]
+    ups = spark.createDataFrame([("a", 1, 0, 1), ("a", 2, 0, 2), ("a", 3, 1, 3), ("b", 4, 1, 1)], "k string, e int, x int, t int")
+    assert sorted(tuple(r) for r in E.versioned_updates(ups, "k", "e", "x", "t").collect()) == [("a", 1, True, 1), ("a", 2, False, 1), ("a", 3, True, 2), ("b", 4, False, 0)]
+
+
+def test_numbered(spark):
+    from codexa.operators.ranges import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(5)
+    got = numbered(df, [F.desc("v")], "n").collect()
+    assert all(r.n == 1000 - r.v for r in got) and len(got) == 1000
