@@ -9,7 +9,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Inputs of more partitions than this (each of at most spark.sql.files.maxPartitionBytes) are never dealt out anew.
+FEW = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores where the files give fewer partitions than that; larger inputs stay as they are read."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    """Rows dealt out to all cores where small files give fewer partitions than that; larger inputs stay as they are read."""
+    wanted, given = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(wanted) if given < min(wanted, FEW) else df
