@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexa.functions.frames import frame
+from codexa.sources.tables import spread
 
 # Letters of other scripts that are drawn like a Latin letter.
 LOOK_ALIKE = {
@@ -292,9 +293,9 @@ def found_forms(documents: DataFrame, model: Bigrams | None = None) -> DataFrame
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found_forms(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found_forms(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def p9_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return with_consistent(docs.select("doc_id", "text")).select("doc_id", F.col("consistent_text").alias("text"), F.array_join("forms", ",").alias("forms"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from codexa.functions.frames import frame
 from codexa.llm.consistent import Bigrams, consistent, fit_model
 from codexa.operators.graph import ensure_checkpoint_dir
+from codexa.sources.tables import spread
 
 #: Consecutive words that count as a leak.
 RUN = 12
@@ -162,7 +163,7 @@ def _searcher(sent, model: Bigrams):
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/eval_items.parquet")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexa.functions.frames import frame
+from codexa.sources.tables import spread
 
 CAPACITY = 2048
 #: Documents that one task packs.
@@ -143,4 +144,4 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str =
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return containers(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

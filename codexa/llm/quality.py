@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexa.functions.frames import frame
+from codexa.sources.tables import spread
 
 KINDS = ("prose", "toc", "form", "listing", "junk")
 TINY_WORDS, FIT_ROWS = 25, 6000
@@ -303,12 +304,12 @@ def document_measures(kinds: DataFrame) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_kinds(spark.read.parquet(f"{sf_dir}/chunk_records.parquet")).where("kind <> 'prose'").select("chunk_id", "kind")
+    return chunk_kinds(spread(spark.read.parquet(f"{sf_dir}/chunk_records.parquet"))).where("kind <> 'prose'").select("chunk_id", "kind")
 
 
 def p6_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_measures(spark.read.parquet(f"{sf_dir}/chunk_records.parquet"))
+    return text_measures(spread(spark.read.parquet(f"{sf_dir}/chunk_records.parquet")))
 
 
 def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_measures(chunk_kinds(spark.read.parquet(f"{sf_dir}/chunk_records.parquet")))
+    return document_measures(chunk_kinds(spread(spark.read.parquet(f"{sf_dir}/chunk_records.parquet"))))

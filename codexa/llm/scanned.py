@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from codexa.functions.frames import frame
 from codexa.operators.graph import ensure_checkpoint_dir
+from codexa.sources.tables import spread
 
 #: Chunks the line model is fitted on, and rows of the table of words that are sent to the tasks; more are joined.
 FIT_ROWS, BOUND = 4000, 300_000
@@ -503,7 +504,7 @@ def repaired_text(records: DataFrame, documents: DataFrame, fit_rows: int = FIT_
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{sf_dir}/chunk_records.parquet"), spark.read.parquet(f"{sf_dir}/demo_documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/chunk_records.parquet")), spark.read.parquet(f"{sf_dir}/demo_documents.parquet")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

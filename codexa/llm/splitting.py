@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codexa.functions.frames import frame
+from codexa.sources.tables import spread
 
 MOST, LEAST, OVERLAP = 1400, 500, 100
 #: Rows of one document are numbered in ranges of this many chunk indexes, so that a hot document is no single task.
@@ -214,8 +215,8 @@ def found_cuts(chunks: DataFrame, most: int = MOST, least: int = LEAST, overlap:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found_cuts(spark.read.parquet(f"{sf_dir}/rag_chunks.parquet"))
+    return found_cuts(spread(spark.read.parquet(f"{sf_dir}/rag_chunks.parquet")))
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_oversized(spark.read.parquet(f"{sf_dir}/rag_chunks.parquet"))
+    return split_oversized(spread(spark.read.parquet(f"{sf_dir}/rag_chunks.parquet")))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from codexa.functions.frames import frame
 from codexa.operators.graph import ensure_checkpoint_dir
+from codexa.sources.tables import spread
 
 LEAST_DOCS, SHARE, LEAST_LETTERS = 5, 0.05, 12
 #: Templates are searched for from this part of the threshold on: where a title isn't known its lines have no template of their own.
@@ -336,7 +337,7 @@ def standing_lines(records: DataFrame, stats: DataFrame, titles: DataFrame | Non
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return spark.read.parquet(f"{sf_dir}/chunk_records.parquet"), spark.read.parquet(f"{sf_dir}/document_stats.parquet"), spark.read.parquet(f"{sf_dir}/demo_documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/chunk_records.parquet")), spark.read.parquet(f"{sf_dir}/document_stats.parquet"), spark.read.parquet(f"{sf_dir}/demo_documents.parquet")
 
 
 def without_lines(records: DataFrame, lines: DataFrame) -> DataFrame:
