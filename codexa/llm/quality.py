@@ -226,7 +226,11 @@ HOLDOUT: list[tuple[str, str]] = [
 
 def fit_kinds(texts: list[str]) -> Boosted:
     """Trees fitted on the texts that rules can label, calibrated on the holdout."""
-    m = [measures(t) for t in texts]
+    return fit_measures([measures(t) for t in texts])
+
+
+def fit_measures(m: list[tuple[float, ...]]) -> Boosted:
+    """The same from the texts' measures."""
     y = [weak_label(x) for x in m]
     rows = [(a, b) for a, b in zip(m, y) if b >= 0]
     # where a sample lacks a kind, plain specimens of it stand in
@@ -263,8 +267,15 @@ def _once(records: DataFrame) -> DataFrame:
 def _model(records: DataFrame, fit_rows: int) -> Boosted:
     rows = _once(records)
     share = min(1.0, 2 * fit_rows / max(1, records.count()))
-    part = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < int(1_000_000 * share)).select("text").where("text is not null").orderBy(F.xxhash64("chunk_id"), "text").limit(fit_rows)
-    return fit_kinds([r.text for r in part.collect()])
+    place = F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000))
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"m": pd.Series([list(measures(t)) for t in b.text], dtype=object), "place": b.place, "chunk_id": b.chunk_id})
+
+    part = rows.where(place < int(1_000_000 * share)).where("text is not null").select("chunk_id", place.alias("place"), "text")
+    held = part.mapInPandas(go, "m array<double>, place bigint, chunk_id string").orderBy("place", "chunk_id", "m").limit(fit_rows)
+    return fit_measures([tuple(r.m) for r in held.collect()])
 
 
 def chunk_kinds(records: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
