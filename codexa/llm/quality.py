@@ -46,37 +46,74 @@ MEASURES = (
 )
 
 
+_DIGITS, _UPPER, _LOWER = b"0123456789", bytes(range(65, 91)), bytes(range(97, 123))
+_BLANK = bytes(i for i in range(128) if chr(i).isspace())
+
+
+def _kinds_of_characters(text: str) -> tuple[int, int, int, int]:
+    """How many are digits, letters, capitals and blanks; by bytes where the text is plain."""
+    if not text.isascii():
+        return tuple(sum(map(f, text)) for f in (str.isdigit, str.isalpha, str.isupper, str.isspace))
+    b = text.encode()
+    digits, upper, lower, blank = (len(b) - len(b.translate(None, x)) for x in (_DIGITS, _UPPER, _LOWER, _BLANK))
+    return digits, upper + lower, upper, blank
+
+
+def _is_odd(token: str) -> bool:
+    """Whether a token is neither a word nor a figure, marks around and inside them aside."""
+    if token.isalpha():
+        return False
+    core = token.strip(".,;:!?()\"'$%")
+    return not core.isalpha() and not core.replace("-", "").replace("/", "").replace("'", "").isalpha() and not core.replace(",", "").replace(".", "").isdigit()
+
+
+def _is_contents(line: str) -> bool:
+    end = line.rstrip()
+    if end.endswith("|"):
+        end = end[:-1].rstrip()
+    return end[-1:].isdigit() and bool(_TOC.search(line))  # most lines end otherwise, and are told by that
+
+
+def _is_form(line: str) -> bool:
+    some = "___" in line or "(" in line or "[" in line or "......" in line or "☐" in line or "□" in line or "❑" in line or line.rstrip().endswith(":")
+    return some and bool(_FORM.search(line))
+
+
+def _is_row(line: str) -> bool:
+    return ("  " in line or ";" in line or "|" in line or "\t" in line) and bool(_ROWS.search(line))
+
+
 def measures(text: str | None) -> tuple[float, ...]:
     """The measures of a text, in the order of ``MEASURES``; shares of lines are weighted by their length where kinds of lines mix."""
     text = text or ""
     lines = [x for x in text.split("\n") if x.strip()]
-    words = _WORD.findall(text.lower())
+    low = text.lower()
+    words = _WORD.findall(low)
     n, tokens, size = len(words), text.split(), max(1, len(text))
     if not n and not tokens:
         return (0.0,) * len(MEASURES)
     held = sum(map(len, lines)) or 1
-    digits, alpha = sum(map(str.isdigit, text)), sum(map(str.isalpha, text))
-    spaces = sum(map(str.isspace, text))
+    digits, alpha, upper, spaces = _kinds_of_characters(text)
     toc = form = rows = bullets = sentences = 0
     for x in lines:
-        if _TOC.search(x):
+        if _is_contents(x):
             toc += len(x)
-        elif _FORM.search(x):
+        elif _is_form(x):
             form += len(x)
         elif _BULLET.match(x):
             bullets += len(x)
-        elif _ROWS.search(x):
+        elif _is_row(x):
             rows += len(x)
         elif x.count(" ") >= 5:
             sentences += len(x)
-    odd = sum(1 for x in tokens if not x.strip(".,;:!?()\"'$%").replace("-", "").replace("/", "").replace("'", "").isalpha() and not x.strip(".,;:!?()\"'$%").replace(",", "").replace(".", "").isdigit())
+    odd = sum(map(_is_odd, tokens))
     counts = Counter(words)
     return (
-        float(n), sum(map(len, words)) / max(1, n), (size - digits - alpha - spaces) / size, digits / size, sum(map(str.isupper, text)) / max(1, alpha),
+        float(n), sum(map(len, words)) / max(1, n), (size - digits - alpha - spaces) / size, digits / size, upper / max(1, alpha),
         sum(x.rstrip()[-1:] in ".!?" for x in lines) / max(1, len(lines)), sum(counts[w] for w in COMMON & counts.keys()) / max(1, n),
         toc / held, form / held, rows / held, bullets / held, len(tokens) / max(1, len(lines)), float(max(map(len, tokens))),
         len(counts) / max(1, n), max(counts.values(), default=0) / max(1, n), odd / len(tokens),
-        sum(text.count(c) for c in "{}<>=#\\^~") / size, sum(text.lower().count(c) for c in "aeiou") / max(1, alpha), sentences / held, spaces / size,
+        sum(text.count(c) for c in "{}<>=#\\^~") / size, sum(low.count(c) for c in "aeiou") / max(1, alpha), sentences / held, spaces / size,
         text.count(",") / max(1, n), len(_SENTENCE_END.findall(text)) / max(1, n),
     )
 
