@@ -317,11 +317,10 @@ class Templates:
         some = self.first.get(first)
         if not some and not self.last and not self.rest:
             return []
-        if sum(map(str.isalpha, line)) < LEAST_LETTERS:
-            return []
         words = _WORD.findall(line.lower())
         flat = " ".join(words)
-        return [n for n, p in (*(some or ()), *self.last.get(words[-1], ()), *self.rest) if p.fits(flat)]
+        hits = [n for n, p in (*(some or ()), *self.last.get(words[-1], ()), *self.rest) if p.fits(flat)]
+        return hits if hits and sum(map(str.isalpha, line)) >= LEAST_LETTERS else []
 
 
 def standing_lines(records: DataFrame, stats: DataFrame, titles: DataFrame | None = None, least_docs: int = LEAST_DOCS, share: float = SHARE, bound: int = BOUND, group_texts: int = GROUP_TEXTS) -> DataFrame:
