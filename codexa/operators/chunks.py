@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexa.functions.frames import frame
+from codexa.functions.text import let
 
 
 def word_windows(words: Column, size: int = 350, overlap: int = 50) -> Column:
@@ -19,15 +20,9 @@ def word_windows(words: Column, size: int = 350, overlap: int = 50) -> Column:
 
 
 def windows(rows: DataFrame, key: str, text: str, size: int = 350, overlap: int = 50) -> DataFrame:
-    """(key, piece, window): the windows of each text as rows; the words are cut once, before windows are taken."""
+    """(key, piece, window): the windows of each text as rows, without a shuffle; the words are cut once, before windows are taken."""
     words = F.filter(F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " "), lambda w: w != "")
-    step = size - overlap
-    flat = rows.where(F.col(text).isNotNull()).select(key, F.posexplode(words).alias("pos", "w"))
-    # a word belongs to each window that begins at most size - 1 words before it
-    first = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / step) + 1)
-    each = flat.select(key, "pos", "w", F.explode(F.sequence(first, F.floor(F.col("pos") / step))).alias("piece"))
-    g = each.groupBy(key, "piece").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("x"))  # at most size words
-    return g.select(key, "piece", F.array_join(F.transform("x", lambda s: s.w), " ").alias("window"))
+    return rows.where(F.col(text).isNotNull()).select(key, F.posexplode(let(words, lambda w: word_windows(w, size, overlap))).alias("piece", "window"))
 
 
 def packed_paragraphs(rows: DataFrame, key: str, text: str, most: int = 1400) -> DataFrame:
