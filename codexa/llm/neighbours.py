@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codexa.functions.frames import frame
+from codexa.operators.graph import ensure_checkpoint_dir
 
 DIM, SHARD_ROWS, LEAF_ROWS, FIT_ROWS = 64, 32_768, 48, 8_000
 #: Levels of the tree fitted on one sample, so that each of its leaves has about 60 sampled vectors.
@@ -195,6 +196,8 @@ def copies(chunks: DataFrame, dim: int = DIM, salts: int = 32) -> DataFrame:
 def pairs_above(chunks: DataFrame, least: float = 0.9, p: float = 0.995, dim: int = DIM, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(id_a, id_b, similarity): pairs of vectors with a cosine of at least ``least``, smaller id first.
 
+    The distance is given here, so the test stops every walk at the same projected distance: all leaves within it are
+    taken at once, with those of many vectors together.
     Of more than ``EXPAND`` exact copies each is paired with the first only, as are their neighbours; ``copies`` has
     the members of every group.
     """
@@ -270,6 +273,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, p: float = 0.995
     The home shard gives a bound for the k-th distance; the query then travels to the shards within its reach.
     """
     src = chunks.where(F.col("id").isNotNull() & usable(dim=dim)).select("id", "embedding")
+    ensure_checkpoint_dir(chunks)
     qs = queries.where(F.col("id").isNotNull() & usable(dim=dim)).select("id", "embedding")
     top = _shards(src, src.count(), shard_rows, fit_rows, dim)
 
@@ -335,8 +339,9 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, p: float = 0.995
             q, leaf, cost = q[away], leaf[away], cost[away]
             yield pd.DataFrame({"shard": leaf, "q": True, "spent": cost, "bound": b.d2.to_numpy()[q].astype(np.float32), "id": b.id.to_numpy()[q], "v": _bytes(x[q])})
 
-    far = qs.join(bounds, "id", "left").withColumn("d2", F.coalesce("d2", F.lit(4.0))).select("id", "embedding", "d2").mapInPandas(spread, schema)
-    second = homes.unionAll(far).groupBy("shard").applyInPandas(search, out)
+    far = qs.join(bounds, "id", "left").withColumn("d2", F.coalesce("d2", F.lit(4.0))).select("id", "embedding", "d2").mapInPandas(spread, schema).checkpoint()
+    visited = far.select("shard").distinct()  # at most one row a shard
+    second = homes.join(F.broadcast(visited), "shard", "left_semi").select(*far.columns).unionAll(far).groupBy("shard").applyInPandas(search, out)
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other_id")
     return first.unionAll(second).distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "other_id", F.round("similarity", 6).alias("similarity"))
 
