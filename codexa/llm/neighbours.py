@@ -267,6 +267,40 @@ def _with_copies(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return rows.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity").distinct()
 
 
+def _nearest_in(tree: Tree, edge: np.ndarray, data: np.ndarray, ids: np.ndarray, qx: np.ndarray, qid: np.ndarray, proj: np.ndarray, spent: np.ndarray, bound: np.ndarray, k: int, depth: int, p: float) -> list[tuple]:
+    """(id, other id, similarity) of the ``k`` best of a shard for each query, nearer than its bound.
+
+    Leaves are taken in rounds of growing projected distance, for all queries together: each query's own leaf, those
+    within a quarter of what the test allows, and the rest. After each round the test holds the k-th neighbour so far.
+    """
+    bound, done = bound.copy(), np.full(len(qx), -1.0)
+    best = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)  # query, similarity, id
+    for share in (0.0, 0.25, 1.0):
+        limit = np.maximum(spent, [share * reach(d, depth, p) for d in bound]).astype(np.float32)
+        q, leaf, cost = tree.probe(proj, limit, spent)
+        new = cost > done[q]
+        q, leaf = q[new], leaf[new]
+        order = np.argsort(leaf, kind="stable")
+        q, leaf = q[order], leaf[order]
+        at = np.searchsorted(leaf, np.arange(len(edge)))
+        met = [best]
+        for f in np.flatnonzero(at[1:] > at[:-1]):
+            qs, rows = q[at[f] : at[f + 1]], slice(edge[f], edge[f + 1])
+            sim = qx[qs] @ data[rows].T
+            i, j = np.nonzero((sim >= (1 - bound[qs] / 2 - 1e-6)[:, None]) & (ids[rows][None, :] != qid[qs][:, None]))
+            met.append((qs[i], sim[i, j].astype(np.float64), ids[rows][j]))
+        who, sim, other = map(np.concatenate, zip(*met))
+        order = np.lexsort((other, -sim, who))
+        who, sim, other = who[order], sim[order], other[order]
+        keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+        best = who, sim, other = who[keep], sim[keep], other[keep]
+        full = np.bincount(who, minlength=len(qx)) == k
+        last = np.searchsorted(who, np.arange(len(qx)), "right") - 1
+        bound[full] = np.minimum(bound[full], 2 - 2 * sim[last[full]])
+        done = limit
+    return list(zip(qid[best[0]].tolist(), best[2].tolist(), best[1].tolist()))
+
+
 def nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, p: float = 0.995, dim: int = DIM, shard_rows: int = SHARD_ROWS, leaf_rows: int = 256, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(id, rank, other_id, similarity): the ``k`` most similar other rows of each query row, in blocks by shard.
 
@@ -301,27 +335,9 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, p: float = 0.995
             data, did = data[order], did[order]
             depth = top.depth + tree.depth
             proj = qx @ projections(depth, dim)
-            for i in range(len(qx)):
-                # leaves in the order of their projected distance, until the test holds
-                _, leaf, cost = tree.probe(proj[i : i + 1], np.array([np.inf], np.float32), spent[i : i + 1])
-                best_s, best_i = np.full(0, 0.0), np.full(0, 0, np.int64)
-                d2 = bound[i]
-                o = np.argsort(cost, kind="stable")
-                limit = reach(d2, depth, p)
-                for s in range(0, len(o), 16):
-                    if cost[o[s]] > limit:
-                        break
-                    take = [j for f in o[s : s + 16] for j in range(edge[leaf[f]], edge[leaf[f] + 1]) if cost[f] <= limit]
-                    sim = data[take] @ qx[i]
-                    keep = did[take] != qid[i]
-                    best_s, best_i = np.concatenate([best_s, sim[keep]]), np.concatenate([best_i, did[take][keep]])
-                    if len(best_s) > k:
-                        t = np.lexsort((best_i, -best_s))[:k]
-                        best_s, best_i = best_s[t], best_i[t]
-                    if len(best_s) == k:
-                        d2 = min(d2, 2 - 2 * float(best_s.min()))
-                        limit = reach(d2, depth, p)
-                rows += [(int(qid[i]), int(o2), float(s2)) for s2, o2 in zip(best_s, best_i)]
+            for s in range(0, len(qx), 2048):
+                part = slice(s, s + 2048)
+                rows += _nearest_in(tree, edge, data, did, qx[part], qid[part], proj[part], spent[part], bound[part], k, depth, p)
         return frame(rows, ["id", "other_id", "similarity"]).astype({"id": "int64", "other_id": "int64", "similarity": "float64"})
 
     out = "id bigint, other_id bigint, similarity double"
