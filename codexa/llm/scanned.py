@@ -465,13 +465,17 @@ def _repaired(rows: DataFrame, each, schema: str, fit_rows: int, bound: int) ->
             out = [(c, k) for c, d, p, t, title, image in zip(b.chunk_id, b.document_id, b.pages, b.text, b.title, b.image_only_pages) for k in sent.value.keys(t, d, title, p, image)]
             yield frame(out, ["chunk_id", "key"])
 
+    names = [x.split()[0] for x in schema.split(", ")]
+
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for c, d, p, t, title, image, own in zip(b.chunk_id, b.document_id, b.pages, b.text, b.title, b.image_only_pages, b.facts):
-                repair = sent.value if few else Repair(sent.value.model, {x["key"]: (x["word"], x["at"]) for x in own} if own is not None else None)
-                out += each(repair, c, t, d, title, p, image)
-            yield frame(out, [x.split()[0] for x in schema.split(", ")])
+            for s in range(0, len(b), 500):  # texts in and out are held twice, so not too many at a time
+                out = []
+                part = b.iloc[s : s + 500]
+                for c, d, p, t, title, image, own in zip(part.chunk_id, part.document_id, part.pages, part.text, part.title, part.image_only_pages, part.facts):
+                    repair = sent.value if few else Repair(sent.value.model, {x["key"]: (x["word"], x["at"]) for x in own} if own is not None else None)
+                    out += each(repair, c, t, d, title, p, image)
+                yield frame(out, names)
 
     if few:
         return rows.withColumn("facts", F.lit(None).cast("array<struct<key:string>>")).mapInPandas(go, schema)
