@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexa.functions import text as X
-from codexa.operators.graph import connected_components, ensure_checkpoint_dir
+from codexa.operators.graph import connected_components
+from codexa.operators.runs import similar
 
 
 def chunk_lines(chunks: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -98,28 +99,11 @@ def candidate_pairs(rows: DataFrame, key: str, text: str, k: int = 5, permutatio
 def similar_pairs(rows: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5, contained: float = 0.95) -> DataFrame:
     """(a, b, jaccard, containment, kind): near and contained duplicates of distinct texts.
 
-    Exact, over 64-bit hashes of the runs: two sets that reach the similarity share a run of both their prefixes
-    of rarest runs; a set contained in a larger one shares a run of its own, much shorter prefix with the larger
-    set. Copies must be collapsed before, see ``exact_groups``.
+    Exact, over 64-bit hashes of the runs, see ``runs.similar``; keys are bigint. Copies must be collapsed before,
+    see ``exact_groups``.
     """
-    sets = rows.select(F.col(key).alias("key"), X.let(X.tokens_alnum(text), lambda t: F.transform(shingles(t, k), lambda x: F.xxhash64(x))).alias("s"))
-    ensure_checkpoint_dir(rows)
-    sets = sets.where(F.size("s") > 0).checkpoint()
-    flat = sets.select("key", F.size("s").alias("n"), F.explode("s").alias("t"))
-    # only runs that several texts hold can meet; those held by one text use up the rarest places
-    shared = flat.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    held = flat.join(shared, "t")
-    alone = held.groupBy("key", "n").agg((F.col("n") - F.count("*")).alias("alone")).select("key", "alone")
-    placed = held.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("df", "t"))).join(alone, "key").withColumn("i", F.col("i") + F.col("alone"))
-    head = lambda share: placed.where(F.col("i") <= F.col("n") - F.ceil(share * F.col("n")) + 1)
-    side = lambda df, x: df.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), "t")
-    near = side(head(least), "a").join(side(head(least), "b"), "t").where((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
-    inside = side(head(contained), "a").join(side(held, "b"), "t").where((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb")))
-    met = near.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    j = met.join(x, "a").join(y, "b").select("a", "b", F.size("sa").alias("la"), F.size("sb").alias("lb"), both.alias("c")).select("a", "b", (F.col("c") / (F.col("la") + F.col("lb") - F.col("c"))).alias("jaccard"), (F.col("c") / F.least("la", "lb")).alias("containment"))
-    return j.where((F.col("jaccard") >= least) | (F.col("containment") >= contained)).select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"), F.when(F.col("jaccard") >= least, "near").otherwise("contained").alias("kind"))
+    j = similar(rows, key, text, least, k, contained).select("a", "b", (F.col("c") / (F.col("la") + F.col("lb") - F.col("c"))).alias("jaccard"), (F.col("c") / F.least("la", "lb")).alias("containment"))
+    return j.where((F.col("jaccard") >= least) | (F.col("containment") >= contained)).select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"), F.when(F.col("jaccard") >= least, "near").otherwise("contained").alias("kind")).checkpoint()
 
 
 def numbers_differ(pairs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from codexa.functions import text as X
 from codexa.operators import predicates as P
 from codexa.operators import quality as Q
-from codexa.operators.graph import connected_components
+from codexa.operators.graph import connected_components, ensure_checkpoint_dir
 from codexa.operators.ranges import numbered
 from codexa.operators import guards as G
 from codexa.plans.policy import _BLOCKED
 from codexa.plans.registry import query
-from codexa.sources.tables import spread, table
+from codexa.sources.tables import few, spread, table
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -264,10 +264,12 @@ def _(spark, d):
 
 def _docs(spark, d):
     """Documents whose words are the same once."""
-    t = spread(table(spark, d, "documents").select("doc_id", "text"))
-    norm = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    keep = t.groupBy(F.sha1(norm).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return t.join(keep, "doc_id", "left_semi")
+    t = spread(table(spark, d, "documents").select("doc_id", "text").where("doc_id IS NOT NULL"))
+    ensure_checkpoint_dir(t)
+    held = t.select("doc_id", F.unhex(F.sha1(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")))).alias("h")).checkpoint()
+    several = few(held.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").checkpoint())
+    again = few(held.alias("x").join(several.alias("y"), F.expr("x.h <=> y.h")).where("doc_id <> least").select("doc_id").checkpoint())
+    return t.join(again, "doc_id", "left_anti")  # texts stay where they are, unless copies are very many
 
 
 _PAIRS = """dd AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')))),

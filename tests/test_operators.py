@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 import statistics
 
 import pytest
@@ -143,6 +144,36 @@ def test_similar_pairs_by_brute_force(spark):
     assert {(r.a, r.b) for r in Q.similar_pairs(df, "id", "t").collect()} == want and want
 
 
+def test_similar_pairs_keep_few_bytes_and_any_order_gives_the_same(spark):
+    """Held runs of all texts in checkpoints, eight bytes each, before."""
+    import random
+    from pathlib import Path
+
+    from codexa.operators.runs import similar
+
+    rnd = random.Random(9)
+    base = [[f"w{rnd.randrange(3000)}" for _ in range(rnd.choice((3, 12, 50, 400)))] for _ in range(150)]
+    texts = [" ".join(t) for t in base] + [" ".join([*t, "and", "more"]) for t in base[:40]] + [" ".join(t[: len(t) // 2]) for t in base[40:70]] + ["", None, "Straße İx w1 w2 w3 w4", "one"]
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    words = [re.findall("[a-z0-9]+", (t or "").lower()) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    want = {}
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            y, c = sets[j], len(x & sets[j])
+            if c and (c / len(x | y) >= 0.8 or c / min(len(x), len(y)) >= 0.95):
+                want[i, j] = (round(c / len(x | y), 6), round(c / min(len(x), len(y)), 6))
+    folder = lambda: {f: f.stat().st_size for f in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*") if f.is_file()}
+    Q.similar_pairs(df.limit(0), "id", "t").count()  # sets the folder
+    before = folder()
+    got = {(r.a, r.b): (r.jaccard, r.containment) for r in Q.similar_pairs(df, "id", "t").collect()}
+    assert got == want and len(want) > 50
+    assert sum(n for f, n in folder().items() if f not in before) < 6 * sum(map(len, sets))
+    for most in (0, 50):  # runs that all tasks know: none, some
+        assert {(r.a, r.b) for r in similar(df, "id", "t", 0.8, 5, 0.95, most=most).where("c / (la + lb - c) >= 0.8 or c / least(la, lb) >= 0.95").collect()} == set(want)
+
+
 def test_candidate_pairs_hold_the_near_pairs(spark):
     from codexa.plans import registry
 
