@@ -246,6 +246,31 @@ def test_copies_beyond_the_bound_are_paired_with_their_first(spark):
     assert got == {("content", "0000", f"{i:04}") for i in range(1, 130)}
 
 
+def test_bands_meet_without_being_kept_and_other_texts_stay(spark, monkeypatch):
+    """All rows of shared bands were in a checkpoint before, and every text was sent where pairs are too many to be broadcast."""
+    from pathlib import Path
+
+    rnd = random.Random(3)
+    base = [sentence(60, rnd) for _ in range(100)]
+    rows = [("content", f"{i}x{j}", f"{b} end{j}") for i, b in enumerate(base) for j in range(3)]
+    df = spark.createDataFrame(rows, "field string, key string, text string")
+    folder = lambda: {f: f.stat().st_size for f in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*") if f.is_file()}
+    ND.similar_pairs(df.limit(0))  # sets the folder
+    before = folder()
+    links, keys = ND.similar_pairs(df)
+    assert sum(n for f, n in folder().items() if f not in before) < 900 * len(rows)
+    want = _near(rows)
+    assert {tuple(r) for r in ND.expanded(links, keys).collect()} == want and len(want) == 300
+    monkeypatch.setattr(ND, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in ND.expanded(*ND.similar_pairs(df)).collect()} == want
+    ends = spark.createDataFrame([("content", "0x1"), ("content", "7x0")], "field string, key string")
+    assert {r.key for r in ND._among(df, ["field", "key"], ends).collect()} == {"0x1", "7x0"}
+    monkeypatch.setattr(ND, "HELD", 8)  # bands that go on over several batches
+    assert {tuple(r) for r in ND.expanded(*ND.similar_pairs(df)).collect()} == want
+    monkeypatch.setattr(ND, "BROADCAST_HASHES", 0)
+    assert ND._among(df, ["field", "key"], ends).count() == len(rows)
+
+
 def test_pairs_of_hot_bands_pass_no_likelihood(spark):
     hasher, pairs = ND.Hasher(), []
     for i in range(1500):
