@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codexa.functions import text as X
 from codexa.operators.graph import connected_components
 from codexa.operators.runs import similar
+from codexa.sources.tables import few
 
 
 def chunk_lines(chunks: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -108,7 +109,8 @@ def similar_pairs(rows: DataFrame, key: str, text: str, least: float = 0.8, k: i
 
 def numbers_differ(pairs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs with ``differs``: figures on one side only; for contained pairs only those of the smaller text count."""
-    n = rows.select(F.col(key).alias("k"), X.numbers_in(text).alias("nums"), F.length(text).alias("len"))
+    ends = few(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct().checkpoint())
+    n = rows.join(ends, key, "left_semi").select(F.col(key).alias("k"), X.numbers_in(text).alias("nums"), F.length(text).alias("len"))
     a, b = n.select(F.col("k").alias("a"), F.col("nums").alias("na"), F.col("len").alias("la")), n.select(F.col("k").alias("b"), F.col("nums").alias("nb"), F.col("len").alias("lb"))
     only_a, only_b = F.size(F.array_except("na", "nb")) > 0, F.size(F.array_except("nb", "na")) > 0
     differs = F.when(F.col("kind") == "contained", F.when(F.col("la") <= F.col("lb"), only_a).otherwise(only_b)).otherwise(only_a | only_b)

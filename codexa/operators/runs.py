@@ -4,15 +4,17 @@ Each text's distinct runs are put in one order for all texts, rarest first. Two
 sets that reach a similarity must share a number of runs among the first of
 both, and a set contained in another a number of its own first ones. Only those
 first runs, and runs of larger texts that stand among another text's first ones,
-are sent, packed by ranges of their hash. Pairs that share enough of them are
+are sent, packed by ranges of their hash: sorted hashes as differences, and of
+each column only the bytes it needs. Pairs that share enough of them are
 compared by their whole texts. Which runs count as frequent, and so come last,
-is limited to ``MOST`` of them; any order gives the same pairs.
+is limited to ``MOST`` of them; any order gives the same pairs. Beyond, a map of
+bits tells which runs may stand in several texts; others are never sent.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,10 +27,12 @@ from codexa.sources.tables import few
 
 #: Ranges of hashes that rows are packed by (a power of two), and bits of the map of runs that stand among a text's first ones.
 BUCKETS, BITS = 1 << 10, 1 << 27
+#: Leading bits of a run's hash that are sent; runs taken for one by these only make pairs that the whole texts refute.
+WIRE = 40
 #: Frequent runs whose number of texts every task knows; rarer ones are ordered by their hash.
 MOST = 3_000_000
-#: Runs, or meetings of texts, held at once before they are packed.
-HELD = 2_000_000
+#: Runs held at once before they are packed; of meetings of texts, half as many.
+HELD = 4_000_000
 
 _P, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLAIN = np.array([c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 0 for c in range(256)], np.uint8)
@@ -84,25 +88,86 @@ def runs_of(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
 
 
-def _packed(*columns: np.ndarray) -> pd.DataFrame:
-    """(bucket, rows): columns side by side, the first of which is a hash, by ranges of it."""
-    order = np.argsort(columns[0], kind="stable")
-    columns = [c[order] for c in columns]
-    bucket = (columns[0] >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
-    rows = [(int(bucket[i]), b"".join(c[i:j].tobytes() for c in columns)) for i, j in zip(begin, [*begin[1:], len(bucket)])]
-    return frame(rows, ["bucket", "rows"])
+PACKED = "bucket int, n int, rows binary"
+
+
+def _blobs(bucket: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
+    """Columns (uint64) side by side for each bucket, whose rows stand together: the lowest bytes of all rows, then the next ones, as many as are needed."""
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.empty(0, np.int64)
+    end = [*begin[1:], len(bucket)]
+    wide = [[(int(m).bit_length() + 7) // 8 for m in np.maximum.reduceat(c, begin)] if len(c) else [] for c in columns]
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c, "<u8").view(np.uint8).reshape(-1, 8).T) for c in columns]
+    rows = []
+    for x, (i, j) in enumerate(zip(begin, end)):
+        head = np.array([bucket[i], j - i], "<u4").tobytes() + bytes(w[x] for w in wide)
+        rows.append((int(bucket[i]), int(j - i), head + b"".join(p[: w[x], i:j].tobytes() for p, w in zip(planes, wide))))
+    return frame(rows, ["bucket", "n", "rows"])
+
 
+def _columns(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Buckets and numbers of rows of the blobs, and their ``k`` columns."""
+    heads = np.array([np.frombuffer(b, "<u4", 2) for b in blobs], np.int64).reshape(-1, 2)
+    out = [np.zeros((int(heads[:, 1].sum()), 8), np.uint8) for _ in range(k)]
+    to = 0
+    for b, n in zip(blobs, heads[:, 1].tolist()):
+        at = 8 + k
+        for c, w in zip(out, b[8:at]):
+            if w:
+                c[to : to + n, :w] = np.frombuffer(b, np.uint8, n * w, at).reshape(w, n).T
+                at += n * w
+        to += n
+    return heads[:, 0], heads[:, 1], [c.view("<u8")[:, 0].astype(np.uint64, copy=False) for c in out]
 
-def _unpacked(blobs: list[bytes], *kinds: type) -> list[np.ndarray]:
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list[np.ndarray]] = [[np.empty(0, k)] for k in kinds]
-    for b in blobs:
-        n, at = len(b) // width, 0
-        for c, k in zip(out, kinds):
-            c.append(np.frombuffer(b, k, n, at))
-            at += n * np.dtype(k).itemsize
-    return [np.concatenate(c) for c in out]
+
+def _added(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Running sums of the steps, anew from each start."""
+    if not len(steps):
+        return steps
+    total = np.cumsum(steps, dtype=np.uint64)
+    return total - np.repeat(total[starts] - steps[starts], np.diff(np.append(starts, len(steps))))
+
+
+def _packed(bits: int, *columns: np.ndarray) -> pd.DataFrame:
+    """Columns, the first of which is a hash of so many bits, by ranges of it."""
+    order = np.argsort(columns[0], kind="stable")
+    columns = [c[order].astype(np.uint64, copy=False) for c in columns]
+    shift = np.uint64(bits - BUCKETS.bit_length() + 1)
+    bucket = (columns[0] >> shift).astype(np.int64)
+    steps = np.diff(columns[0], prepend=np.zeros(1, np.uint64))
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.empty(0, np.int64)
+    steps[begin] = columns[0][begin] & np.uint64((1 << int(shift)) - 1)
+    return _blobs(bucket, steps, *columns[1:])
+
+
+def _unpacked(bits: int, blobs: list[bytes], k: int) -> list[np.ndarray]:
+    """The ``k`` columns of ``_packed``."""
+    bucket, n, (steps, *rest) = _columns(blobs, k)
+    base = np.repeat(bucket.astype(np.uint64) << np.uint64(bits - BUCKETS.bit_length() + 1), n)
+    return [_added(steps, (np.cumsum(n) - n)[n > 0]) + base, *rest]
+
+
+def _packed_pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Distinct pairs of keys, by the first one's hash."""
+    bucket = (_mixed(a.view(np.uint64)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    order = np.lexsort((b, a, bucket))
+    a, b, bucket = a[order].view(np.uint64), b[order].view(np.uint64), bucket[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
+    a, b, bucket = a[new], b[new], bucket[new]
+    da, db = np.diff(a, prepend=np.zeros(1, np.uint64)), np.diff(b, prepend=np.zeros(1, np.uint64))
+    begin = np.diff(bucket, prepend=-1) != 0
+    da[begin] = a[begin]
+    first = begin | (da != 0)
+    db[first] = b[first] - a[first]
+    return _blobs(bucket, da, db)
+
+
+def _unpacked_pairs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    _, n, (da, db) = _columns(blobs, 2)
+    starts = (np.cumsum(n) - n)[n > 0]
+    first = da != 0
+    first[starts] = True
+    a = _added(da, starts)
+    return a.view(np.int64), (_added(db, np.flatnonzero(first)) + a).view(np.int64)
 
 
 def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,35 +184,62 @@ def _batches(batches: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataF
             yield part, *runs_of(list(part.text), k)
 
 
-def _frequent(texts: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Runs in several texts, sorted, with the number of texts of each, and whether these are all of them."""
+def _counted(found: Callable[[Iterator[pd.DataFrame]], Iterator[np.ndarray]], bits: int, least: int) -> Callable:
+    """From rows (a mapInPandas function gives their hashes) to packed (hash, count) of hashes that stand in at least so many."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
-        for _, runs, _sizes in _batches(batches, k):
-            held.append(runs)
-            n += len(runs)
+        for hashes in found(batches):
+            held.append(hashes)
+            n += len(hashes)
             if n >= HELD:
-                h, c = np.unique(np.concatenate(held), return_counts=True)
-                yield _packed(h, c.astype(np.uint32))
+                yield _packed(bits, *np.unique(np.concatenate(held), return_counts=True))
                 held, n = [], 0
         if n:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            yield _packed(h, c.astype(np.uint32))
+            yield _packed(bits, *np.unique(np.concatenate(held), return_counts=True))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h, c = _summed(*_unpacked([r for b in batches for r in b.rows], np.uint64, np.uint32))
-        several = c > 1
-        yield frame([(int(several.sum()), h[several].tobytes() + np.minimum(c[several], 65_535).astype(np.uint16).tobytes())], ["n", "rows"])
+        h, c = _summed(*_unpacked(bits, [r for b in batches for r in b.rows], 2))
+        yield _packed(bits, h[c >= least], np.minimum(c[c >= least], 65_535))
+
+    return lambda rows: rows.mapInPandas(count, PACKED).repartition("bucket").mapInPandas(add, PACKED)
+
+
+def _bits(packed: DataFrame, bits: int) -> np.ndarray:
+    """A map of the leading bits of packed hashes, all of a bucket's in one partition."""
+    shift, each = np.uint64(bits - BITS.bit_length() + 1), BITS // BUCKETS
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots = np.unique((_unpacked(bits, [r for b in batches for r in b.rows], 1)[0] >> shift).astype(np.int64))
+        rows = []
+        for bucket in np.unique(slots // each):
+            marks = np.zeros(each, np.uint8)
+            marks[slots[slots // each == bucket] % each] = 1
+            rows.append((int(bucket), zlib.compress(np.packbits(marks).tobytes(), 1)))
+        yield frame(rows, ["bucket", "bits"])
+
+    out, size = np.zeros(BITS // 8, np.uint8), each // 8
+    for r in packed.mapInPandas(mark, "bucket int, bits binary").toLocalIterator():
+        out[r.bucket * size : (r.bucket + 1) * size] |= np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
+    return out
+
 
-    sums = texts.mapInPandas(count, "bucket int, rows binary").repartition("bucket").mapInPandas(add, "n bigint, rows binary").checkpoint()
+def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = (hashes >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    return (marks[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _frequent(texts: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Runs in several texts, sorted, with the number of texts of each; where these aren't all of them, a map of all."""
+    short = lambda batches: (runs >> np.uint64(64 - WIRE) for _, runs, _sizes in _batches(batches, k))
+    sums = _counted(short, WIRE, 2)(texts).checkpoint()
     total, cut = sums.agg(F.sum("n")).first()[0] or 0, 2
     if total > most:
 
         def spread_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = np.zeros(65_536, np.int64)
             for b in batches:
-                n += np.bincount(_unpacked(list(b.rows), np.uint64, np.uint16)[1], minlength=65_536)
+                n += np.bincount(_unpacked(WIRE, list(b.rows), 2)[1].astype(np.int64), minlength=65_536)
             yield pd.DataFrame({"c": np.flatnonzero(n), "n": n[n > 0]})
 
         left = total
@@ -158,12 +250,17 @@ def _frequent(texts: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarr
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h, c = _unpacked(list(b.rows), np.uint64, np.uint16)
-            yield frame([(h[c >= cut].tobytes() + c[c >= cut].tobytes(),)], ["rows"])
+            h, c = _unpacked(WIRE, list(b.rows), 2)
+            yield _packed(WIRE, h[c >= cut], c[c >= cut])
 
-    h, c = _unpacked([bytes(r.rows) for r in sums.mapInPandas(chosen, "rows binary").toLocalIterator()], np.uint64, np.uint16)
+    h, c = _unpacked(WIRE, [bytes(r.rows) for r in sums.mapInPandas(chosen, PACKED).select("rows").toLocalIterator()], 2)
     order = np.argsort(h)
-    return h[order], c[order], cut == 2
+    return h[order], c[order].astype(np.uint16), _bits(sums.select("rows").mapInPandas(_hashes, "rows binary"), WIRE) if cut > 2 else None
+
+
+def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield _packed(WIRE, _unpacked(WIRE, list(b.rows), 2)[0])[["rows"]]
 
 
 def _first(n: np.ndarray, share: float) -> np.ndarray:
@@ -179,45 +276,33 @@ def _own(n: np.ndarray, contained: float) -> np.ndarray:
 def _ordered(runs: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of each text in the common order, with their text, their place from 1 and whether they are frequent."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.minimum(np.searchsorted(frequent, runs), max(0, len(frequent) - 1))
-    known = frequent[at] == runs if len(frequent) else np.zeros(len(runs), bool)
+    short = runs >> np.uint64(64 - WIRE)
+    at = np.minimum(np.searchsorted(frequent, short), max(0, len(frequent) - 1))
+    known = frequent[at] == short if len(frequent) else np.zeros(len(runs), bool)
     df = np.where(known, counts[at], 0) if len(frequent) else np.zeros(len(runs), np.int64)
     order = np.argsort(doc * 65_536 + df, kind="stable")
     return runs[order], doc, np.arange(1, len(runs) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes), known[order]
 
 
 def _among_first(texts: DataFrame, k: int, contained: float, frequent) -> np.ndarray:
-    """A map of hashes, by their leading bits, that stand among the first runs of a text."""
-    shift = np.uint64(64 - BITS.bit_length() + 1)
+    """A map of runs that stand among the first ones of a text."""
 
     def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts, every = frequent.value
+        known, counts, several = frequent.value
         held, n = [], 0
         for _, runs, sizes in _batches(batches, k):
             run, doc, place, often = _ordered(runs, sizes, known, counts)
-            held.append(np.unique(run[(place <= _own(sizes, contained)[doc]) & (often | (not every))]))
+            own = place <= _own(sizes, contained)[doc]
+            run, often = run[own], often[own]
+            held.append(np.unique((run[often] if several is None else run[often | _marked(several, run)]) >> np.uint64(64 - WIRE)))
             n += len(held[-1])
             if n >= HELD:
-                yield _packed(np.unique(np.concatenate(held)))
+                yield _packed(WIRE, np.unique(np.concatenate(held)))
                 held, n = [], 0
         if n:
-            yield _packed(np.unique(np.concatenate(held)))
+            yield _packed(WIRE, np.unique(np.concatenate(held)))
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots = np.unique((_unpacked([r for b in batches for r in b.rows], np.uint64)[0] >> shift).astype(np.int64))
-        each = BITS // BUCKETS
-        rows = []
-        for bucket in np.unique(slots // each):
-            bits = np.zeros(each, np.uint8)
-            bits[slots[slots // each == bucket] % each] = 1
-            rows.append((int(bucket), zlib.compress(np.packbits(bits).tobytes(), 1)))
-        yield frame(rows, ["bucket", "bits"])
-
-    out = np.zeros(BITS // 8, np.uint8)
-    each = BITS // BUCKETS // 8
-    for r in texts.mapInPandas(firsts, "bucket int, rows binary").repartition("bucket").mapInPandas(mark, "bucket int, bits binary").toLocalIterator():
-        out[r.bucket * each : (r.bucket + 1) * each] = np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
-    return out
+    return _bits(texts.mapInPandas(firsts, PACKED).repartition("bucket"), WIRE)
 
 
 def _meetings(run: np.ndarray, key: np.ndarray, n: np.ndarray, place: np.ndarray, least: float, contained: float) -> Iterator[pd.DataFrame]:
@@ -238,9 +323,10 @@ def _meetings(run: np.ndarray, key: np.ndarray, n: np.ndarray, place: np.ndarray
     while len(a):
         a = a[a + j < len(run)]
         a = a[run[a] == run[a + j]]
-        for s in range(0, len(a), HELD):
-            p = a[s : s + HELD]
+        for s in range(0, len(a), HELD // 2):
+            p = a[s : s + HELD // 2]
             q = p + j
+            p, q = p[key[p] != key[q]], q[key[p] != key[q]]
             # what can be shared before and behind these places must reach the overlap
             most = np.minimum(place[p], place[q]) + np.minimum(n[p] - place[p], n[q] - place[q])
             near = first[p] & first[q] & (n[p] >= least * n[q] - 1e-9) & (most >= least / (1 + least) * (n[p] + n[q]) - 1e-6)
@@ -250,7 +336,7 @@ def _meetings(run: np.ndarray, key: np.ndarray, n: np.ndarray, place: np.ndarray
                 p, q = p[ok], q[ok]
                 found.append((key[p], key[q], n[p], n[q], near[ok].astype(np.int64), inside[ok].astype(np.int64)))
                 held += len(p)
-                if held >= HELD:
+                if held >= HELD // 2:
                     yield added()
                     found, held = [], 0
         j += 1
@@ -265,29 +351,28 @@ def similar(rows: DataFrame, key: str, text: str, least: float, k: int, containe
     texts = rows.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     frequent = sc.broadcast(_frequent(texts, k, most))
     among = sc.broadcast(_among_first(texts, k, contained, frequent))
-    shift = np.uint64(64 - BITS.bit_length() + 1)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts, every = frequent.value
+        known, counts, several = frequent.value
         marks = among.value
         held, count = [], 0
         for part, runs, sizes in _batches(batches, k):
             run, doc, place, often = _ordered(runs, sizes, known, counts)
-            slot = (run >> shift).astype(np.int64)
-            marked = (marks[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
-            keep = ((place <= _first(sizes, least)[doc] + 1) | marked) & (often | (not every))
-            held.append((run[keep], part.key.to_numpy(np.int64)[doc[keep]], sizes[doc[keep]].astype(np.uint32), place[keep].astype(np.uint32)))
+            keep = (place <= _first(sizes, least)[doc] + 1) | _marked(marks, run)
+            keep &= often if several is None else often | _marked(several, run)
+            held.append((run[keep] >> np.uint64(64 - WIRE), part.key.to_numpy(np.int64)[doc[keep]].view(np.uint64), sizes[doc[keep]], place[keep]))
             count += int(keep.sum())
-            if count >= HELD:
-                yield _packed(*(np.concatenate(c) for c in zip(*held)))
+            if count >= HELD // 2:
+                yield _packed(WIRE, *(np.concatenate(c) for c in zip(*held)))
                 held, count = [], 0
         if count:
-            yield _packed(*(np.concatenate(c) for c in zip(*held)))
+            yield _packed(WIRE, *(np.concatenate(c) for c in zip(*held)))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _meetings(*_unpacked([r for b in batches for r in b.rows], np.uint64, np.int64, np.uint32, np.uint32), least, contained)
+        run, key, n, place = _unpacked(WIRE, [r for b in batches for r in b.rows], 4)
+        yield from _meetings(run, key.view(np.int64), n, place, least, contained)
 
-    met = texts.mapInPandas(send, "bucket int, rows binary").repartition("bucket").mapInPandas(meet, "x bigint, y bigint, nx bigint, ny bigint, near bigint, inside bigint")
+    met = texts.mapInPandas(send, PACKED).repartition("bucket").mapInPandas(meet, "x bigint, y bigint, nx bigint, ny bigint, near bigint, inside bigint")
     met = met.groupBy("x", "y", "nx", "ny").agg(F.sum("near").alias("near"), F.sum("inside").alias("inside"))
     rest = lambda n: F.ceil(least * F.col(n) - 1e-9) - 1
     near = (F.col("near") > 0) & (F.col("near") >= F.ceil(least / (1 + least) * (F.col("nx") + F.col("ny")) - 1e-6) - F.greatest(rest("nx"), rest("ny")))

@@ -174,6 +174,32 @@ def test_similar_pairs_keep_few_bytes_and_any_order_gives_the_same(spark):
         assert {(r.a, r.b) for r in similar(df, "id", "t", 0.8, 5, 0.95, most=most).where("c / (la + lb - c) >= 0.8 or c / least(la, lb) >= 0.95").collect()} == set(want)
 
 
+def test_packed_rows_take_few_bytes_and_come_back(spark):
+    """A run took 12 bytes to be counted and 24 to be sent before."""
+    import numpy as np
+
+    from codexa.operators import runs as R
+
+    rnd = np.random.default_rng(4)
+    h = rnd.integers(0, 1 << R.WIRE, 500_000, dtype=np.uint64)
+    key, n, place = rnd.integers(1, 100_000, len(h)), rnd.integers(1, 900, len(h)), rnd.integers(1, 90, len(h))
+    got = R._packed(R.WIRE, h, key.view(np.uint64), n, place)
+    order = np.argsort(h, kind="stable")
+    assert all((x == y[order].astype(np.uint64)).all() for x, y in zip(R._unpacked(R.WIRE, list(got.rows), 4), (h, key, n, place)))
+    assert sum(map(len, got.rows)) < 10 * len(h) and list(got.bucket) == sorted(set(got.bucket)) and got.n.sum() == len(h)
+    assert sum(map(len, R._packed(R.WIRE, *np.unique(h, return_counts=True)).rows)) < 5 * len(h)
+    wild = np.array([0, 1, 5, (1 << 64) - 1, 1 << 63, 5], np.uint64)
+    assert (R._unpacked(64, list(R._packed(64, wild, np.arange(6)).rows), 2)[0] == np.sort(wild)).all()
+    assert [len(x) for x in R._unpacked(64, list(R._packed(64, wild[:0], wild[:0]).rows), 2)] == [0, 0]
+    a, b = rnd.integers(0, 5000, 400_000), rnd.integers(5000, 100_000, 400_000)
+    packed = R._packed_pairs(a, b)
+    assert set(zip(*map(np.ndarray.tolist, R._unpacked_pairs(list(packed.rows))))) == set(zip(a.tolist(), b.tolist()))
+    assert sum(map(len, packed.rows)) < 5 * len(a)
+    a, b = np.array([-5, 3, -5, 1 << 62, -(1 << 62)]), np.array([9, 4, -1, (1 << 62) + 1, 1 << 62])
+    x, y = R._unpacked_pairs(list(R._packed_pairs(a, b).rows))
+    assert set(zip(x.tolist(), y.tolist())) == set(zip(a.tolist(), b.tolist()))
+
+
 def test_candidate_pairs_hold_the_near_pairs(spark):
     from codexa.plans import registry
 
