@@ -269,8 +269,8 @@ def _first(n: np.ndarray, share: float) -> np.ndarray:
 
 
 def _own(n: np.ndarray, contained: float) -> np.ndarray:
-    """How many first runs of a set are looked for in larger ones; more than half of them must be there."""
-    return 2 * _first(n, contained) + 1
+    """How many first runs of a set are looked for in larger ones; all but those that may be missing must be there."""
+    return np.minimum(2 * _first(n, contained) + 3, n)
 
 
 def _ordered(runs: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -376,13 +376,14 @@ def similar(rows: DataFrame, key: str, text: str, least: float, k: int, containe
     met = met.groupBy("x", "y", "nx", "ny").agg(F.sum("near").alias("near"), F.sum("inside").alias("inside"))
     rest = lambda n: F.ceil(least * F.col(n) - 1e-9) - 1
     near = (F.col("near") > 0) & (F.col("near") >= F.ceil(least / (1 + least) * (F.col("nx") + F.col("ny")) - 1e-6) - F.greatest(rest("nx"), rest("ny")))
-    inside = F.col("inside") > F.col("nx") - F.ceil(contained * F.col("nx") - 1e-9)
+    missing = F.col("nx") - F.ceil(contained * F.col("nx") - 1e-9)
+    inside = F.col("inside") >= F.least(2 * missing + 3, F.col("nx")) - missing
     pairs = met.where(near | inside).select("x", "y").checkpoint()
     frequent.destroy()
     among.destroy()
-    # the larger text goes to a task once, before the smaller ones that may be like it
-    larger = few(pairs.select("y").distinct().checkpoint())
-    small = texts.join(few(pairs), F.col("key") == F.col("x")).select("x", "y", "text", F.lit(1).alias("turn"))
+    # the larger text goes to a task once, before the smaller ones that may be like it; other texts stay where they are
+    larger, smaller = (few(pairs.select(c).distinct().checkpoint()) for c in ("y", "x"))
+    small = texts.join(smaller, F.col("key") == F.col("x"), "left_semi").join(few(pairs), F.col("key") == F.col("x")).select("x", "y", "text", F.lit(1).alias("turn"))
     large = texts.join(larger, F.col("key") == F.col("y")).select(F.col("key").alias("x"), "y", "text", F.lit(0).alias("turn"))
     both = small.unionByName(large).repartition("y").sortWithinPartitions("y", "turn", "x")
 

@@ -200,6 +200,16 @@ def test_packed_rows_take_few_bytes_and_come_back(spark):
     assert set(zip(x.tolist(), y.tolist())) == set(zip(a.tolist(), b.tolist()))
 
 
+def test_short_texts_need_several_runs_to_be_compared():
+    """One shared run made a short text a candidate of every text that has it before."""
+    import numpy as np
+
+    from codexa.operators import runs as R
+
+    n = np.array([1, 2, 14, 30, 300])
+    assert R._own(n, 0.95).tolist() == [1, 2, 3, 5, 33] and (R._own(n, 0.95) - R._first(n, 0.95)).tolist() == [1, 2, 3, 4, 18]
+
+
 def test_candidate_pairs_hold_the_near_pairs(spark):
     from codexa.plans import registry
 
