@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codexa.functions import text as X
 from codexa.operators.graph import connected_components
-from codexa.operators.runs import similar
+from codexa.operators.runs import banded, similar
 from codexa.sources.tables import few
 
 
@@ -75,26 +75,12 @@ def shingles(tokens: Column, k: int = 3) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(tokens, " "))).otherwise(many)
 
 
-def minhash(flat: DataFrame, key: str, value: str, permutations: int = 64) -> DataFrame:
-    """(key, m): the smallest seeded hash of each permutation, from one row per element."""
-    least = [F.min(F.xxhash64(F.lit(s), value)).alias(f"m{s}") for s in range(permutations)]
-    return flat.groupBy(key).agg(*least).select(key, F.array(*[f"m{s}" for s in range(permutations)]).alias("m"))
-
-
 def candidate_pairs(rows: DataFrame, key: str, text: str, k: int = 5, permutations: int = 128, hot: int = 500) -> DataFrame:
-    """(a, b): distinct pairs that share a band of two minima.
+    """(a, b): distinct pairs that share a band of two minima; keys are bigint.
 
     A band that more than ``hot`` texts share isn't paired; the similar pairs among its texts are found exactly instead.
     """
-    flat = rows.select(key, F.explode(X.let(X.tokens_alnum(text), lambda t: shingles(t, k))).alias("s"))
-    m = minhash(flat, key, "s", permutations)
-    bands = F.transform(F.sequence(F.lit(0), F.lit(permutations // 2 - 1)), lambda i: F.xxhash64(i, F.get("m", 2 * i), F.get("m", 2 * i + 1)))
-    held = m.select(key, F.explode(bands).alias("band")).withColumn("n", F.count("*").over(Window.partitionBy("band")))
-    cool = held.where((F.col("n") > 1) & (F.col("n") <= hot))
-    a, b = cool.select("band", F.col(key).alias("a")), cool.select("band", F.col(key).alias("b"))
-    met = a.join(b, "band").where("a < b").select("a", "b")
-    warm = rows.join(held.where(F.col("n") > hot).select(key).distinct(), key, "left_semi")
-    return met.unionByName(similar_pairs(warm, key, text, k=k).select("a", "b")).distinct()
+    return banded(rows, key, text, k, permutations, hot, lambda warm: similar_pairs(warm, "key", "text", k=k))
 
 
 def similar_pairs(rows: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5, contained: float = 0.95) -> DataFrame:

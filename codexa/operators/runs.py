@@ -402,3 +402,113 @@ def similar(rows: DataFrame, key: str, text: str, least: float, k: int, containe
                 yield frame(out, ["a", "b", "la", "lb", "c"])
 
     return both.mapInPandas(compare, "a bigint, b bigint, la bigint, lb bigint, c bigint")
+
+
+def _minima(runs: np.ndarray, sizes: np.ndarray, permutations: int) -> np.ndarray:
+    """Each text's bands, one row each: hashes of two minima of its runs (of one or more)."""
+    starts, out = np.cumsum(sizes) - sizes, np.empty((len(sizes), permutations // 2), np.uint64)
+    least = lambda i: np.minimum.reduceat(_mixed(np.array([2 * i + 1], np.uint64)) ^ runs * (_mixed(np.array([2 * i + 2], np.uint64)) | np.uint64(1)), starts)
+    for j in range(permutations // 2):
+        out[:, j] = _mixed(_mixed(least(2 * j) + np.uint64(j)) + least(2 * j + 1))
+    return out
+
+
+def banded(rows: DataFrame, key: str, text: str, k: int, permutations: int, hot: int, exact: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): distinct pairs of texts that share a band of two minima of their runs, and ``exact`` pairs of texts in bands that more than ``hot`` share; keys are bigint.
+
+    Hashes of bands are counted before; only bands that several texts may share are sent with their texts.
+    """
+    ensure_checkpoint_dir(rows)
+    sc = rows.sparkSession.sparkContext
+    texts = rows.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
+
+    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part, runs, sizes in _batches(batches, k):
+            some = sizes > 0
+            if some.any():
+                yield part.key.to_numpy(np.int64)[some], _minima(runs, sizes[some], permutations)
+
+    def burning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h, c = _unpacked(64, list(b.rows), 2)
+            yield _packed(64, h[c > hot])
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield _packed(64, _unpacked(64, list(b.rows), 2)[0])
+
+    shared = _counted(lambda batches: (h.ravel() for _, h in bands(batches)), 64, 2)(texts).checkpoint()
+    warm = sc.broadcast(np.sort(_unpacked(64, [bytes(r.rows) for r in shared.mapInPandas(burning, PACKED).select("rows").toLocalIterator()], 1)[0]))
+    marks = sc.broadcast(_bits(shared.mapInPandas(hashes, PACKED), 64))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for keys, h in bands(batches):
+            keys, h = np.repeat(keys, h.shape[1]), h.ravel()
+            keep = _marked(marks.value, h) & ~_within(warm.value, h)
+            held.append((h[keep], keys[keep].view(np.uint64)))
+            n += int(keep.sum())
+            if n >= HELD // 2:
+                yield _packed(64, *(np.concatenate(c) for c in zip(*held)))
+                held, n = [], 0
+        if n:
+            yield _packed(64, *(np.concatenate(c) for c in zip(*held)))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h, key = _unpacked(64, [r for b in batches for r in b.rows], 2)
+        key = key.view(np.int64)
+        order = np.lexsort((key, h))
+        h, key = h[order], key[order]
+        a, j, held, n = np.arange(len(h)), 1, [], 0
+        while len(a):
+            a = a[a + j < len(h)]
+            a = a[h[a] == h[a + j]]
+            held.append((key[a], key[a + j]))
+            n += len(a)
+            if n >= HELD:
+                yield _packed_pairs(*(np.concatenate(c) for c in zip(*held)))
+                held, n = [], 0
+            j += 1
+        if n:
+            yield _packed_pairs(*(np.concatenate(c) for c in zip(*held)))
+
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each pair of a bucket once; a bucket's rows stand together."""
+
+        def out(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
+            a, b = _unpacked_pairs(blobs)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
+            yield pd.DataFrame({"a": a[new], "b": b[new]})
+
+        at, held = None, []
+        for batch in batches:
+            for bucket, r in zip(batch.bucket, batch.rows):
+                if bucket != at and held:
+                    yield from out(held)
+                    held = []
+                at = bucket
+                held.append(r)
+        if held:
+            yield from out(held)
+
+    def in_warm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for keys, h in bands(batches):
+            yield pd.DataFrame({"key": keys[_within(warm.value, h.ravel()).reshape(h.shape).any(1)]})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield _packed_pairs(b.a.to_numpy(np.int64), b.b.to_numpy(np.int64))
+
+    met = texts.mapInPandas(send, PACKED).repartition("bucket").mapInPandas(meet, PACKED)
+    if len(warm.value):
+        hot_texts = texts.join(few(texts.mapInPandas(in_warm, "key bigint").distinct().checkpoint()), "key", "left_semi")
+        met = met.unionByName(exact(hot_texts).select("a", "b").mapInPandas(pack, PACKED))
+    return met.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(once, "a bigint, b bigint")
+
+
+def _within(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values

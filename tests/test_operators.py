@@ -210,6 +210,41 @@ def test_short_texts_need_several_runs_to_be_compared():
     assert R._own(n, 0.95).tolist() == [1, 2, 3, 5, 33] and (R._own(n, 0.95) - R._first(n, 0.95)).tolist() == [1, 2, 3, 4, 18]
 
 
+def test_candidate_pairs_by_brute_force(spark):
+    """Bands went through a window and two joins row by row before; texts that share one, and in hot bands similar ones, are still all there."""
+    import random
+
+    import numpy as np
+
+    from codexa.operators import runs as R
+
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for g in range(20):
+        of = [rnd.choice(base) for _ in range(80)]
+        for _ in range(6):
+            v = of[:]
+            for _ in range(rnd.choice((1, 8, 20))):
+                v[rnd.randrange(80)] = rnd.choice(base)
+            texts.append(" ".join(v))
+    texts += ["one", "", None]
+    ids = [7 * i - 100 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts)), "id long, t string").repartition(3)
+    runs, sizes = R.runs_of(texts, 5)
+    bands = dict(zip(np.array(ids)[sizes > 0].tolist(), R._minima(runs, sizes[sizes > 0], 128)))
+    m = {i: len({j for j in bands if (bands[i] == bands[j]).any()}) for i in bands}
+    want = {(i, j) for i in bands for j in bands if i < j and (bands[i] == bands[j]).any()}
+    assert {(r.a, r.b) for r in Q.candidate_pairs(df, "id", "t").collect()} == want and max(m.values()) > 3 and len(want) > 60
+    held = [b for i in bands for b in bands[i].tolist()]
+    hot = {b for b in held if held.count(b) > 4}
+    cool = {(i, j) for i, j in want if any(x == y and x not in hot for x, y in zip(bands[i].tolist(), bands[j].tolist()))}
+    warm = {i for i in bands if hot & set(bands[i].tolist())}
+    exact = {(r.a, r.b) for r in Q.similar_pairs(df, "id", "t").collect()}
+    got = [(r.a, r.b) for r in Q.candidate_pairs(df, "id", "t", hot=4).collect()]
+    assert set(got) == cool | {p for p in exact if warm >= set(p)} and len(got) == len(set(got)) and hot
+
+
 def test_candidate_pairs_hold_the_near_pairs(spark):
     from codexa.plans import registry
 
