@@ -146,28 +146,42 @@ def _unpacked(bits: int, blobs: list[bytes], k: int) -> list[np.ndarray]:
     return [_added(steps, (np.cumsum(n) - n)[n > 0]) + base, *rest]
 
 
-def _packed_pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    """Distinct pairs of keys, by the first one's hash."""
+def _packed_pairs(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pd.DataFrame:
+    """Distinct pairs of keys and what more is said of each, by the first one's hash."""
     bucket = (_mixed(a.view(np.uint64)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
     order = np.lexsort((b, a, bucket))
     a, b, bucket = a[order].view(np.uint64), b[order].view(np.uint64), bucket[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
-    a, b, bucket = a[new], b[new], bucket[new]
+    a, b, bucket, more = a[new], b[new], bucket[new], [c[order][new].astype(np.uint64, copy=False) for c in more]
     da, db = np.diff(a, prepend=np.zeros(1, np.uint64)), np.diff(b, prepend=np.zeros(1, np.uint64))
     begin = np.diff(bucket, prepend=-1) != 0
     da[begin] = a[begin]
     first = begin | (da != 0)
     db[first] = b[first] - a[first]
-    return _blobs(bucket, da, db)
+    return _blobs(bucket, da, db, *more)
 
 
-def _unpacked_pairs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    _, n, (da, db) = _columns(blobs, 2)
+def _unpacked_pairs(blobs: list[bytes], more: int = 0) -> tuple[np.ndarray, ...]:
+    _, n, (da, db, *rest) = _columns(blobs, 2 + more)
     starts = (np.cumsum(n) - n)[n > 0]
     first = da != 0
     first[starts] = True
     a = _added(da, starts)
-    return a.view(np.int64), (_added(db, np.flatnonzero(first)) + a).view(np.int64)
+    return a.view(np.int64), (_added(db, np.flatnonzero(first)) + a).view(np.int64), *rest
+
+
+def _by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
+    """The blobs of one bucket after the other; a bucket's rows stand together."""
+    at, held = None, []
+    for batch in batches:
+        for bucket, r in zip(batch.bucket, batch.rows):
+            if bucket != at and held:
+                yield held
+                held = []
+            at = bucket
+            held.append(r)
+    if held:
+        yield held
 
 
 def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,11 +287,30 @@ def _own(n: np.ndarray, contained: float) -> np.ndarray:
     return np.minimum(2 * _first(n, contained) + 3, n)
 
 
-def _ordered(runs: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _starts(known: np.ndarray) -> np.ndarray:
+    """Where, among sorted hashes of ``WIRE`` bits, those of each leading bits begin; about one each."""
+    bits = max(1, len(known).bit_length())
+    n = np.bincount((known >> np.uint64(WIRE - bits)).astype(np.int64), minlength=1 << bits)
+    return np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+
+
+def _places(known: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``np.searchsorted(known, values)``, up to the end of the values' leading bits, with few reads of memory."""
+    lead = (values >> np.uint64(WIRE + 1 - len(starts).bit_length())).astype(np.int64)
+    at, end = starts[lead], starts[lead + 1]
+    left = np.flatnonzero(at < end)
+    while len(left):
+        left = left[known[at[left]] < values[left]]
+        at[left] += 1
+        left = left[at[left] < end[left]]
+    return at
+
+
+def _ordered(runs: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of each text in the common order, with their text, their place from 1 and whether they are frequent."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
     short = runs >> np.uint64(64 - WIRE)
-    at = np.minimum(np.searchsorted(frequent, short), max(0, len(frequent) - 1))
+    at = np.minimum(_places(frequent, starts, short), max(0, len(frequent) - 1))
     known = frequent[at] == short if len(frequent) else np.zeros(len(runs), bool)
     df = np.where(known, counts[at], 0) if len(frequent) else np.zeros(len(runs), np.int64)
     order = np.argsort(doc * 65_536 + df, kind="stable")
@@ -289,9 +322,10 @@ def _among_first(texts: DataFrame, k: int, contained: float, frequent) -> np.nda
 
     def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts, several = frequent.value
+        starts = _starts(known)
         held, n = [], 0
         for _, runs, sizes in _batches(batches, k):
-            run, doc, place, often = _ordered(runs, sizes, known, counts)
+            run, doc, place, often = _ordered(runs, sizes, known, counts, starts)
             own = place <= _own(sizes, contained)[doc]
             run, often = run[own], often[own]
             held.append(np.unique((run[often] if several is None else run[often | _marked(several, run)]) >> np.uint64(64 - WIRE)))
@@ -306,7 +340,7 @@ def _among_first(texts: DataFrame, k: int, contained: float, frequent) -> np.nda
 
 
 def _meetings(run: np.ndarray, key: np.ndarray, n: np.ndarray, place: np.ndarray, least: float, contained: float) -> Iterator[pd.DataFrame]:
-    """(x, y, nx, ny, near, inside): how many of these runs two texts share among the first of both, and among the smaller one's first."""
+    """Packed (x, y, nx, ny - nx, near, inside): how many of these runs two texts share among the first of both, and among the smaller one's first."""
     order = np.lexsort((key, n, run))
     run, key, n, place = run[order], key[order], n[order].astype(np.int64), place[order].astype(np.int64)
     first, own = place <= _first(n, least) + 1, place <= _own(n, contained)
@@ -317,9 +351,11 @@ def _meetings(run: np.ndarray, key: np.ndarray, n: np.ndarray, place: np.ndarray
         o = np.lexsort((y, x))
         x, y = x[o], y[o]
         begin = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-        return pd.DataFrame({"x": x[begin], "y": y[begin], "nx": nx[o][begin], "ny": ny[o][begin], "near": np.add.reduceat(near[o], begin), "inside": np.add.reduceat(inside[o], begin)})
+        nx, ny = nx[o][begin], ny[o][begin]
+        return _packed_pairs(x[begin], y[begin], nx, ny - nx, np.add.reduceat(near[o], begin), np.add.reduceat(inside[o], begin))
 
-    a, j = np.arange(len(run)), 1
+    # a pair needs the smaller text's place, so others needn't look for larger ones
+    a, j = np.flatnonzero(first | own), 1
     while len(a):
         a = a[a + j < len(run)]
         a = a[run[a] == run[a + j]]
@@ -344,6 +380,21 @@ def _meetings(run: np.ndarray, key: np.ndarray, n: np.ndarray, place: np.ndarray
         yield added()
 
 
+def _near_or_inside(blobs: list[bytes], least: float, contained: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y) that share enough runs in all their meetings."""
+    x, y, nx, more, near, inside = _unpacked_pairs(blobs, 4)
+    o = np.lexsort((y, x))
+    x, y = x[o], y[o]
+    begin = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.empty(0, np.int64)
+    nx, more, near, inside = (c[o].astype(np.int64) for c in (nx, more, near, inside))
+    nx, ny = nx[begin], (nx + more)[begin]
+    near, inside = (np.add.reduceat(c, begin) if len(begin) else c for c in (near, inside))
+    rest = lambda n: np.ceil(least * n - 1e-9) - 1
+    ok = (near > 0) & (near >= np.ceil(least / (1 + least) * (nx + ny) - 1e-6) - np.maximum(rest(nx), rest(ny)))
+    ok |= inside >= _own(nx, contained) - _first(nx, contained)
+    return x[begin][ok], y[begin][ok]
+
+
 def similar(rows: DataFrame, key: str, text: str, least: float, k: int, contained: float, most: int = MOST) -> DataFrame:
     """(a, b, la, lb, c): the smaller's and the larger's size and common runs of texts that reach ``least`` of their runs together or ``contained`` of the smaller's; keys are bigint."""
     ensure_checkpoint_dir(rows)
@@ -354,10 +405,10 @@ def similar(rows: DataFrame, key: str, text: str, least: float, k: int, containe
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts, several = frequent.value
-        marks = among.value
+        starts, marks = _starts(known), among.value
         held, count = [], 0
         for part, runs, sizes in _batches(batches, k):
-            run, doc, place, often = _ordered(runs, sizes, known, counts)
+            run, doc, place, often = _ordered(runs, sizes, known, counts, starts)
             keep = (place <= _first(sizes, least)[doc] + 1) | _marked(marks, run)
             keep &= often if several is None else often | _marked(several, run)
             held.append((run[keep] >> np.uint64(64 - WIRE), part.key.to_numpy(np.int64)[doc[keep]].view(np.uint64), sizes[doc[keep]], place[keep]))
@@ -372,13 +423,13 @@ def similar(rows: DataFrame, key: str, text: str, least: float, k: int, containe
         run, key, n, place = _unpacked(WIRE, [r for b in batches for r in b.rows], 4)
         yield from _meetings(run, key.view(np.int64), n, place, least, contained)
 
-    met = texts.mapInPandas(send, PACKED).repartition("bucket").mapInPandas(meet, "x bigint, y bigint, nx bigint, ny bigint, near bigint, inside bigint")
-    met = met.groupBy("x", "y", "nx", "ny").agg(F.sum("near").alias("near"), F.sum("inside").alias("inside"))
-    rest = lambda n: F.ceil(least * F.col(n) - 1e-9) - 1
-    near = (F.col("near") > 0) & (F.col("near") >= F.ceil(least / (1 + least) * (F.col("nx") + F.col("ny")) - 1e-6) - F.greatest(rest("nx"), rest("ny")))
-    missing = F.col("nx") - F.ceil(contained * F.col("nx") - 1e-9)
-    inside = F.col("inside") >= F.least(2 * missing + 3, F.col("nx")) - missing
-    pairs = met.where(near | inside).select("x", "y").checkpoint()
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for blobs in _by_bucket(batches):
+            x, y = _near_or_inside(blobs, least, contained)
+            yield pd.DataFrame({"x": x, "y": y})
+
+    met = texts.mapInPandas(send, PACKED).repartition("bucket").mapInPandas(meet, PACKED)
+    pairs = met.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(add, "x bigint, y bigint").checkpoint()
     frequent.destroy()
     among.destroy()
     # the larger text goes to a task once, before the smaller ones that may be like it; other texts stay where they are
@@ -473,26 +524,14 @@ def banded(rows: DataFrame, key: str, text: str, k: int, permutations: int, hot:
             yield _packed_pairs(*(np.concatenate(c) for c in zip(*held)))
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each pair of a bucket once; a bucket's rows stand together."""
-
-        def out(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
+        """Each pair of a bucket once."""
+        for blobs in _by_bucket(batches):
             a, b = _unpacked_pairs(blobs)
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
             yield pd.DataFrame({"a": a[new], "b": b[new]})
 
-        at, held = None, []
-        for batch in batches:
-            for bucket, r in zip(batch.bucket, batch.rows):
-                if bucket != at and held:
-                    yield from out(held)
-                    held = []
-                at = bucket
-                held.append(r)
-        if held:
-            yield from out(held)
-
     def in_warm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, h in bands(batches):
             yield pd.DataFrame({"key": keys[_within(warm.value, h.ravel()).reshape(h.shape).any(1)]})

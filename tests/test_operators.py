@@ -210,6 +210,43 @@ def test_short_texts_need_several_runs_to_be_compared():
     assert R._own(n, 0.95).tolist() == [1, 2, 3, 5, 33] and (R._own(n, 0.95) - R._first(n, 0.95)).tolist() == [1, 2, 3, 4, 18]
 
 
+def test_meetings_of_texts_are_packed(spark):
+    """A meeting took a row of six numbers (48 bytes) before, and every two texts of a run were looked at, even those that need no meeting there."""
+    import numpy as np
+
+    from codexa.operators import runs as R
+
+    rnd = np.random.default_rng(6)
+    n = rnd.choice([3, 12, 40, 45, 300, 900], 600)
+    text = np.repeat(np.arange(len(n)), np.minimum(n, 60))
+    run, place = rnd.integers(0, 200, len(text), dtype=np.uint64), rnd.integers(1, n[text] + 1)
+    run, at = np.unique(run * np.uint64(600) + text.astype(np.uint64), return_index=True)
+    run, text, place = run // np.uint64(600), text[at], place[at]
+    key = text * 7
+    first, own = place <= R._first(n[text], 0.8) + 1, place <= R._own(n[text], 0.95)
+    want = {}
+    for r in np.unique(run):
+        i = sorted(np.flatnonzero(run == r).tolist(), key=lambda i: (n[text[i]], key[i]))
+        for u, p in enumerate(i):
+            for q in i[u + 1 :] if first[p] or own[p] else []:
+                np_, nq = n[text[p]], n[text[q]]
+                most = min(place[p], place[q]) + min(np_ - place[p], nq - place[q])
+                near = first[p] and first[q] and np_ >= 0.8 * nq - 1e-9 and most >= 0.8 / 1.8 * (np_ + nq) - 1e-6
+                inside = own[p] and most >= 0.95 * np_ - 1e-6
+                if near or inside:
+                    x = want.setdefault((int(key[p]), int(key[q])), [int(np_), int(nq - np_), 0, 0])
+                    x[2] += int(near)
+                    x[3] += int(inside)
+    parts = list(R._meetings(run, key, n[text], place, 0.8, 0.95))
+    got = list(zip(*(c.tolist() for c in R._unpacked_pairs([r for b in parts for r in b.rows], 4))))
+    assert {(a, b): list(c) for a, b, *c in got} == want and len(got) == len(want) > 10_000
+    assert sum(len(r) for b in parts for r in b.rows) < 20 * len(got)
+    hashes = rnd.integers(0, 1 << R.WIRE, 5000, dtype=np.uint64)
+    known = np.unique(hashes[:3000])
+    at = np.minimum(R._places(known, R._starts(known), hashes), len(known) - 1)
+    assert ((known[at] == hashes) == np.isin(hashes, known)).all() and len(R._places(known[:0], R._starts(known[:0]), hashes)) == 5000
+
+
 def test_candidate_pairs_by_brute_force(spark):
     """Bands went through a window and two joins row by row before; texts that share one, and in hot bands similar ones, are still all there."""
     import random
