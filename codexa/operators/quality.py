@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexa.functions import text as X
-from codexa.operators.graph import connected_components
+from codexa.operators.graph import connected_components, kept
 from codexa.operators.runs import banded, similar
 from codexa.sources.tables import few
 
@@ -90,7 +90,7 @@ def similar_pairs(rows: DataFrame, key: str, text: str, least: float = 0.8, k: i
     see ``exact_groups``.
     """
     j = similar(rows, key, text, least, k, contained).select("a", "b", (F.col("c") / (F.col("la") + F.col("lb") - F.col("c"))).alias("jaccard"), (F.col("c") / F.least("la", "lb")).alias("containment"))
-    return j.where((F.col("jaccard") >= least) | (F.col("containment") >= contained)).select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"), F.when(F.col("jaccard") >= least, "near").otherwise("contained").alias("kind")).checkpoint()
+    return kept(j.where((F.col("jaccard") >= least) | (F.col("containment") >= contained)).select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"), F.when(F.col("jaccard") >= least, "near").otherwise("contained").alias("kind")))
 
 
 def numbers_differ(pairs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:

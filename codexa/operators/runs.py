@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexa.functions.frames import frame
-from codexa.operators.graph import ensure_checkpoint_dir
+from codexa.operators.graph import ensure_checkpoint_dir, kept
 from codexa.sources.tables import few
 
 #: Ranges of hashes that rows are packed by (a power of two), and bits of the map of runs that stand among a text's first ones.
@@ -40,9 +40,28 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _order(*columns: np.ndarray) -> np.ndarray:
+    """``np.lexsort`` (the last column counts first) in as few sorts as the columns' ranges allow; equal rows come in any order."""
+    packed = []
+    for c in columns if len(columns[0]) else ():
+        c = c.astype(np.uint64) - np.uint64(int(c.min()) % (1 << 64))
+        bits = int(c.max()).bit_length()
+        if packed and packed[-1][1] + bits <= 64:
+            packed[-1] = (packed[-1][0] | c << np.uint64(packed[-1][1]), packed[-1][1] + bits)
+        else:
+            packed.append((c, bits))
+    order = np.argsort(packed[0][0]) if packed else np.empty(0, np.int64)
+    for c, _ in packed[1:]:
+        order = order[np.argsort(c[order], kind="stable")]
+    return order
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +103,11 @@ def runs_of(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(np.concatenate([doc, few]), kind="stable")
         run, doc = np.concatenate([run, single])[order], np.concatenate([doc, few])[order]
     cuts = np.searchsorted(doc, np.arange(len(parts) + 1))
-    sets = [np.unique(run[cuts[i] : cuts[i + 1]]) for i in range(len(parts))]
-    return np.concatenate([np.empty(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        run[i:j].sort()
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])
+    return run[new], np.bincount(doc[new], minlength=len(parts)).astype(np.int64)
 
 
 PACKED = "bucket int, n int, rows binary"
@@ -149,7 +171,7 @@ def _unpacked(bits: int, blobs: list[bytes], k: int) -> list[np.ndarray]:
 def _packed_pairs(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pd.DataFrame:
     """Distinct pairs of keys and what more is said of each, by the first one's hash."""
     bucket = (_mixed(a.view(np.uint64)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-    order = np.lexsort((b, a, bucket))
+    order = _order(b, a, bucket)
     a, b, bucket = a[order].view(np.uint64), b[order].view(np.uint64), bucket[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, bool)
     a, b, bucket, more = a[new], b[new], bucket[new], [c[order][new].astype(np.uint64, copy=False) for c in more]
@@ -158,11 +180,13 @@ def _packed_pairs(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pd.DataFra
     da[begin] = a[begin]
     first = begin | (da != 0)
     db[first] = b[first] - a[first]
+    db = (db << np.uint64(1)) ^ (db.view(np.int64) >> 63).view(np.uint64)  # the second may be smaller; small steps down stay small
     return _blobs(bucket, da, db, *more)
 
 
 def _unpacked_pairs(blobs: list[bytes], more: int = 0) -> tuple[np.ndarray, ...]:
     _, n, (da, db, *rest) = _columns(blobs, 2 + more)
+    db = (db >> np.uint64(1)) ^ (~(db & np.uint64(1)) + np.uint64(1))
     starts = (np.cumsum(n) - n)[n > 0]
     first = da != 0
     first[starts] = True
@@ -243,10 +267,10 @@ def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (marks[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _frequent(texts: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Runs in several texts, sorted, with the number of texts of each; where these aren't all of them, a map of all."""
+def _frequent(texts: DataFrame, k: int, most: int) -> tuple[list[bytes], np.ndarray | None]:
+    """Runs in several texts, packed in their order, with the number of texts of each; where these aren't all of them, a map of all."""
     short = lambda batches: (runs >> np.uint64(64 - WIRE) for _, runs, _sizes in _batches(batches, k))
-    sums = _counted(short, WIRE, 2)(texts).checkpoint()
+    sums = kept(_counted(short, WIRE, 2)(texts))
     total, cut = sums.agg(F.sum("n")).first()[0] or 0, 2
     if total > most:
 
@@ -267,9 +291,15 @@ def _frequent(texts: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarr
             h, c = _unpacked(WIRE, list(b.rows), 2)
             yield _packed(WIRE, h[c >= cut], c[c >= cut])
 
-    h, c = _unpacked(WIRE, [bytes(r.rows) for r in sums.mapInPandas(chosen, PACKED).select("rows").toLocalIterator()], 2)
-    order = np.argsort(h)
-    return h[order], c[order].astype(np.uint16), _bits(sums.select("rows").mapInPandas(_hashes, "rows binary"), WIRE) if cut > 2 else None
+    # a bucket's runs stand together and in order
+    blobs = [rows for _, rows in sorted((r.bucket, bytes(r.rows)) for r in sums.mapInPandas(chosen, PACKED).select("bucket", "rows").toLocalIterator())]
+    return blobs, _bits(sums.select("rows").mapInPandas(_hashes, "rows binary"), WIRE) if cut > 2 else None
+
+
+def _known(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_frequent`` packed: hashes, sorted, and counts."""
+    h, c = _unpacked(WIRE, blobs, 2)
+    return h, c.astype(np.uint16)
 
 
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,7 +343,8 @@ def _ordered(runs: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, counts:
     at = np.minimum(_places(frequent, starts, short), max(0, len(frequent) - 1))
     known = frequent[at] == short if len(frequent) else np.zeros(len(runs), bool)
     df = np.where(known, counts[at], 0) if len(frequent) else np.zeros(len(runs), np.int64)
-    order = np.argsort(doc * 65_536 + df, kind="stable")
+    order = np.argsort(df.astype(np.uint16), kind="stable")  # of two bytes, sorts are quick
+    order = order[np.argsort(doc.astype(np.uint16)[order] if len(sizes) <= 65_536 else doc[order], kind="stable")]
     return runs[order], doc, np.arange(1, len(runs) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes), known[order]
 
 
@@ -321,7 +352,8 @@ def _among_first(texts: DataFrame, k: int, contained: float, frequent) -> np.nda
     """A map of runs that stand among the first ones of a text."""
 
     def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts, several = frequent.value
+        blobs, several = frequent.value
+        known, counts = _known(blobs)
         starts = _starts(known)
         held, n = [], 0
         for _, runs, sizes in _batches(batches, k):
@@ -341,18 +373,18 @@ def _among_first(texts: DataFrame, k: int, contained: float, frequent) -> np.nda
 
 def _meetings(run: np.ndarray, key: np.ndarray, n: np.ndarray, place: np.ndarray, least: float, contained: float) -> Iterator[pd.DataFrame]:
     """Packed (x, y, nx, ny - nx, near, inside): how many of these runs two texts share among the first of both, and among the smaller one's first."""
-    order = np.lexsort((key, n, run))
+    order = _order(key, n, run)
     run, key, n, place = run[order], key[order], n[order].astype(np.int64), place[order].astype(np.int64)
     first, own = place <= _first(n, least) + 1, place <= _own(n, contained)
     found, held = [], 0
 
     def added() -> pd.DataFrame:
         x, y, nx, ny, near, inside = (np.concatenate(c) for c in zip(*found))
-        o = np.lexsort((y, x))
+        o = _order(y, x)
         x, y = x[o], y[o]
         begin = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
         nx, ny = nx[o][begin], ny[o][begin]
-        return _packed_pairs(x[begin], y[begin], nx, ny - nx, np.add.reduceat(near[o], begin), np.add.reduceat(inside[o], begin))
+        return _packed_pairs(x[begin], y[begin], nx, ny - nx, np.add.reduceat(near[o], begin, dtype=np.int64), np.add.reduceat(inside[o], begin, dtype=np.int64))
 
     # a pair needs the smaller text's place, so others needn't look for larger ones
     a, j = np.flatnonzero(first | own), 1
@@ -370,7 +402,7 @@ def _meetings(run: np.ndarray, key: np.ndarray, n: np.ndarray, place: np.ndarray
             ok = near | inside
             if ok.any():
                 p, q = p[ok], q[ok]
-                found.append((key[p], key[q], n[p], n[q], near[ok].astype(np.int64), inside[ok].astype(np.int64)))
+                found.append((key[p], key[q], n[p].astype(np.int32), n[q].astype(np.int32), near[ok], inside[ok]))
                 held += len(p)
                 if held >= HELD // 2:
                     yield added()
@@ -383,7 +415,7 @@ def _meetings(run: np.ndarray, key: np.ndarray, n: np.ndarray, place: np.ndarray
 def _near_or_inside(blobs: list[bytes], least: float, contained: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (x, y) that share enough runs in all their meetings."""
     x, y, nx, more, near, inside = _unpacked_pairs(blobs, 4)
-    o = np.lexsort((y, x))
+    o = _order(y, x)
     x, y = x[o], y[o]
     begin = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.empty(0, np.int64)
     nx, more, near, inside = (c[o].astype(np.int64) for c in (nx, more, near, inside))
@@ -404,7 +436,8 @@ def similar(rows: DataFrame, key: str, text: str, least: float, k: int, containe
     among = sc.broadcast(_among_first(texts, k, contained, frequent))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts, several = frequent.value
+        blobs, several = frequent.value
+        known, counts = _known(blobs)
         starts, marks = _starts(known), among.value
         held, count = [], 0
         for part, runs, sizes in _batches(batches, k):
@@ -429,11 +462,11 @@ def similar(rows: DataFrame, key: str, text: str, least: float, k: int, containe
             yield pd.DataFrame({"x": x, "y": y})
 
     met = texts.mapInPandas(send, PACKED).repartition("bucket").mapInPandas(meet, PACKED)
-    pairs = met.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(add, "x bigint, y bigint").checkpoint()
+    pairs = kept(met.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(add, "x bigint, y bigint"))
     frequent.destroy()
     among.destroy()
     # the larger text goes to a task once, before the smaller ones that may be like it; other texts stay where they are
-    larger, smaller = (few(pairs.select(c).distinct().checkpoint()) for c in ("y", "x"))
+    larger, smaller = (few(kept(pairs.select(c).distinct())) for c in ("y", "x"))
     small = texts.join(smaller, F.col("key") == F.col("x"), "left_semi").join(few(pairs), F.col("key") == F.col("x")).select("x", "y", "text", F.lit(1).alias("turn"))
     large = texts.join(larger, F.col("key") == F.col("y")).select(F.col("key").alias("x"), "y", "text", F.lit(0).alias("turn"))
     both = small.unionByName(large).repartition("y").sortWithinPartitions("y", "turn", "x")

@@ -247,6 +247,51 @@ def test_meetings_of_texts_are_packed(spark):
     assert ((known[at] == hashes) == np.isin(hashes, known)).all() and len(R._places(known[:0], R._starts(known[:0]), hashes)) == 5000
 
 
+def test_similar_pairs_leave_no_shuffle_files(spark):
+    """The files of all steps stayed side by side until the driver collected its garbage before."""
+    import random
+
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(4000)}" for _ in range(300)) for _ in range(200)]
+    texts += [t + f" and {i} more" for i, t in enumerate(texts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        every = [every.apply(i) for i in range(every.size())]
+        return {f.getName(): f.length() for f in every if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    before = files()
+    pairs = Q.similar_pairs(df, "id", "t")
+    left = {f: n for f, n in files().items() if f not in before}
+    assert sum(left.values()) < sum(map(len, texts)) / 5
+    assert {(r.a, r.b) for r in pairs.collect()} == {(i, i + 200) for i in range(200)}
+
+
+def test_pairs_of_any_order_and_frequent_runs_take_few_bytes(spark):
+    """A smaller second key took all its eight bytes, and a frequent run ten of a broadcast, which is a file in every executor."""
+    import numpy as np
+
+    from codexa.operators import runs as R
+
+    rnd = np.random.default_rng(8)
+    a, b = rnd.integers(0, 100_000, 200_000), rnd.integers(0, 100_000, 200_000)
+    packed = R._packed_pairs(a, b)
+    assert set(zip(*map(np.ndarray.tolist, R._unpacked_pairs(list(packed.rows))))) == set(zip(a.tolist(), b.tolist()))
+    assert sum(map(len, packed.rows)) < 6 * len(a)
+    for span in (1 << 20, 1 << 62):
+        x, y, z = rnd.integers(-span, span, 5000), rnd.integers(0, 50, 5000), rnd.integers(0, 9, 5000)
+        rows, sorted_rows = (np.stack([z[o], y[o], x[o]]) for o in (R._order(x, y, z), np.lexsort((x, y, z))))
+        assert (rows == sorted_rows).all()
+    texts = [" ".join(f"w{w}" for w in rnd.integers(0, 5000, 500)) for _ in range(60)]
+    df = spark.createDataFrame([(i, texts[i // 2]) for i in range(120)], "key long, text string")
+    Q.similar_pairs(df.limit(0), "key", "text").count()  # sets the folder
+    blobs, rest = R._frequent(df, 5, R.MOST)
+    known, counts = R._known(blobs)
+    want = np.unique(R.runs_of(texts, 5)[0] >> np.uint64(64 - R.WIRE))
+    assert (known == want).all() and (counts == 2).all() and rest is None and sum(map(len, blobs)) < 6 * len(want)
+
+
 def test_candidate_pairs_by_brute_force(spark):
     """Bands went through a window and two joins row by row before; texts that share one, and in hot bands similar ones, are still all there."""
     import random
